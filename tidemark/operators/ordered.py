@@ -227,6 +227,10 @@ def range_sums(
 EWM_BLOCK = 128
 
 
+def _decayed(decay: float):
+    return lambda acc, x: acc * F.lit(decay) + x
+
+
 def ewm(
     df: DataFrame,
     keys: Sequence[str],
@@ -266,9 +270,7 @@ def ewm(
     for n, (_, a, _) in series.items():
         decay = (1.0 - a) ** EWM_BLOCK
         past = F.collect_list(f"_t_{n}").over(over.rowsBetween(-reach[n], -1))
-        carries.append(
-            F.aggregate(past, F.lit(0.0), lambda acc, x, decay=decay: acc * F.lit(decay) + x).alias(f"_c_{n}")
-        )
+        carries.append(F.aggregate(past, F.lit(0.0), _decayed(decay)).alias(f"_c_{n}"))
     carry = tails.select(*keys, "_sub", "_sup", "_home", *carries).where("_sup = _home").drop("_sup", "_home")
     out = d.join(carry, [*keys, "_sub"], "left")
     cols = {
@@ -281,11 +283,19 @@ def ewm(
     return out.withColumns(cols).drop("_sub", "_j", *[f"_l_{n}" for n in series], *[f"_c_{n}" for n in series])
 
 
-def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Per (keys, value): ``_eq`` ties, ``_le`` rows at or below, ``_n`` rows of the key."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_eq"))
-    out = running(counts, keys, [F.col(value)], value_block(value), {"_le": F.col("_eq")}, totals=True)
-    return out.withColumnRenamed("_le_total", "_n")
+def value_counts(
+    df: DataFrame, keys: Sequence[str], value: str, sums: Mapping[str, Column] | None = None
+) -> DataFrame:
+    """Per (keys, value): ``_eq`` ties, ``_le`` rows at or below, ``_n`` rows of the key.
+
+    Each of ``sums`` adds ``x`` (sum over the ties), ``x_le`` (at or below) and ``x_n`` (whole key).
+    """
+    sums = sums or {}
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(
+        F.count(F.lit(1)).alias("_eq"), *[F.sum(c).alias(n) for n, c in sums.items()])
+    out = running(counts, keys, [F.col(value)], value_block(value),
+                  {"_le": F.col("_eq"), **{f"{n}_le": F.col(n) for n in sums}}, totals=True)
+    return out.withColumnsRenamed({"_le_total": "_n", **{f"{n}_le_total": f"{n}_n" for n in sums}})
 
 
 def ranks(df: DataFrame, keys: Sequence[str], value: str, prefix: str = "") -> DataFrame:

@@ -1,7 +1,7 @@
 """Queries: one module per operator family, collected in one registry."""
 import importlib
 
-FAMILIES = ("joins", "events")
+FAMILIES = ("joins", "events", "windows", "crosssection")
 
 
 def load():

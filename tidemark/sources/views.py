@@ -167,7 +167,18 @@ class Views:
             F.when(F.col("n_close") > F.col("n_open"), 1).otherwise(0).cast("long").alias("target"),
             F.when(F.col("volume") >= 3, "risk_on").when(F.col("volume") >= 2, "neutral").otherwise("risk_off").alias("regime"),
             F.col("volume").alias("liquidity"),
-        )
+        ).withColumns({
+            "user_id": F.substring("ticker", 2, 20).cast("long"),
+            "grade": F.greatest(F.lit(0), F.least(F.lit(4), F.floor((F.col("ret") + 0.201) / 0.4 * 5))).cast("long"),
+        }).withColumns({
+            "scope": F.when(F.col("user_id") % 5 == 0, "ticker_holdout").otherwise("walk_forward"),
+            "slot": F.col("user_id") % 3,
+        }).withColumn("group_id", F.concat_ws("/", F.col("session").cast("string"), F.col("slot").cast("string"))).withColumns({
+            "decision_time": F.col("session").cast("timestamp") + F.make_dt_interval(hours=F.col("slot").cast("int"), secs=F.lit(30)),
+        }).withColumns({
+            "entry_time": F.col("decision_time") + F.expr("interval 5 minutes"),
+            "exit_time": F.col("decision_time") + F.make_dt_interval(mins=(F.lit(35) + 60 * F.col("slot")).cast("int")),
+        })
 
 
 # The collection statuses in their k % 5 order.
@@ -248,4 +259,11 @@ CTE: dict[str, tuple[tuple[str, ...], str]] = {
           CASE WHEN b.volume >= 3 THEN 'risk_on' WHEN b.volume >= 2 THEN 'neutral' ELSE 'risk_off' END AS regime,
           b.volume AS liquidity
         FROM bars_user b JOIN bars_user n ON b.ticker = n.ticker AND n.date = b.date + 1"""),
+    "evidence_x": (("evidence",), """
+        SELECT *, session || '/' || slot AS group_id, decision_time + INTERVAL 5 MINUTE AS entry_time,
+          decision_time + to_minutes(CAST(35 + 60 * slot AS INT)) AS exit_time
+        FROM (SELECT *, CASE WHEN user_id % 5 = 0 THEN 'ticker_holdout' ELSE 'walk_forward' END AS scope, user_id % 3 AS slot,
+            CAST(session AS TIMESTAMP) + to_hours(CAST(user_id % 3 AS INT)) + INTERVAL 30 SECOND AS decision_time
+          FROM (SELECT *, CAST(substr(ticker, 2) AS BIGINT) AS user_id,
+              CAST(greatest(0, least(4, floor((ret + 0.201) / 0.4::DOUBLE * 5))) AS BIGINT) AS grade FROM evidence))"""),
 }
