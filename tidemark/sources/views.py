@@ -152,7 +152,7 @@ class Views:
             "doc_id", "lang", "source", lines.getItem(0).alias("title"),
             F.when(F.size(lines) > 1, lines.getItem(1)).alias("summary"), "text",
             (F.lit("2024-01-01 00:00:00").cast("timestamp")
-             + F.make_dt_interval(mins=(F.col("doc_id") * 37 % 43200).cast("int"))).alias("published"))
+             + F.make_dt_interval(mins=(F.col("doc_id") * 7919 % 43200).cast("int"))).alias("published"))
 
     @cached_property
     def evidence(self) -> DataFrame:
@@ -249,7 +249,7 @@ CTE: dict[str, tuple[tuple[str, ...], str]] = {
     "headlines": ((), """
         SELECT doc_id, lang, source, split_part(text, chr(10), 1) AS title,
           CASE WHEN strpos(text, chr(10)) > 0 THEN substr(text, strpos(text, chr(10)) + 1) END AS summary, text,
-          TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(doc_id * 37 % 43200 AS INT)) AS published
+          TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(doc_id * 7919 % 43200 AS INT)) AS published
         FROM documents"""),
     "evidence": (("bars_user",), """
         SELECT b.ticker, b.date AS session, b.close / (b.high + b.open) AS score,
