@@ -162,7 +162,7 @@ def numbered_labels(v):
 
 
 @query("lbl_10", f"""WITH {_OVL} SELECT l.ticker, epoch_us(l.timestamp) AS timestamp, max(n) AS concurrent_label_count, round(avg(1.0::DOUBLE / n), 6) AS overlap_weight
-FROM lab l JOIN sp ON sp.ticker = l.ticker AND sp.session_date_et = l.session_date_et AND sp.id = l.idx JOIN ac USING (ticker, session_date_et, bar) GROUP BY 1, 2""", ("bars_hour",))
+FROM lab l JOIN sp ON sp.ticker = l.ticker AND sp.session_date_et = l.session_date_et AND sp.id = l.idx JOIN ac ON ac.ticker = sp.ticker AND ac.session_date_et = sp.session_date_et AND ac.bar = sp.bar GROUP BY 1, 2""", ("bars_hour",))
 def lbl_10(v):
     """Concurrency and mean inverse concurrency over each label's bars."""
     return L.bar_overlap(numbered_labels(v), "label_id").select("ticker", us("timestamp"), n("concurrent_label_count"), r("overlap_weight"))
