@@ -33,16 +33,14 @@ def row_identity(columns: Sequence) -> Column:
 
 
 def fingerprint(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Order-insensitive content fingerprint: row count, xor and modular sum of row hashes.
+    """Order-insensitive content fingerprint: row count and four exact 32-bit lane sums of row md5s.
 
-    Map-side combinable; nothing is sorted or collected.
+    Map-side combinable; nothing is sorted or collected, and any engine can recompute it.
     """
-    cols = list(columns or df.columns)
-    h = F.xxhash64(*cols)
-    return df.agg(
-        F.count(F.lit(1)).alias("rows"), F.bit_xor(h).alias("hash_xor"),
-        F.sum(F.pmod(h, F.lit(1_000_003))).alias("hash_sum"),
-    )
+    h = F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in (columns or df.columns)]))
+    d = df.select(h.alias("_h"))
+    lanes = [F.conv(F.substring("_h", 1 + 8 * i, 8), 16, 10).cast("decimal(20,0)") for i in range(4)]
+    return d.agg(F.count(F.lit(1)).alias("rows"), *[F.sum(x).cast("string").alias(f"lane_{i}") for i, x in enumerate(lanes)])
 
 
 def identity_set_hash(df: DataFrame, keys: Sequence[str], ident: str) -> DataFrame:
