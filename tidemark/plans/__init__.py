@@ -1,7 +1,7 @@
 """Queries: one module per operator family, collected in one registry."""
 import importlib
 
-FAMILIES = ("joins", "events", "windows", "crosssection", "evaluation", "aggregates", "labels", "audits", "scalars", "sources")
+FAMILIES = ("joins", "events", "windows", "crosssection", "evaluation", "aggregates", "labels", "audits", "scalars", "sources", "models", "streams")
 
 
 def load():

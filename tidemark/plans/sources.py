@@ -85,7 +85,7 @@ SELECT ticker, first_row, CAST(ticker IN (SELECT 'C' || o_custkey FROM orders WH
 def src_09(v):
     """Screener import: pasted symbols split, validated, kept once, universe flag."""
     pasted = v.t("customer").select("c_custkey", F.concat(F.lit(" c"), "c_custkey", F.lit(", x"), F.col("c_custkey") % 50, F.lit("\n1bad")).alias("cell"))
-    sym = pasted.select("c_custkey", F.upper(F.explode(F.split(F.trim("cell"), r"[,\s]+"))).alias("ticker")).where(F.col("ticker").rlike(r"^[A-Z][A-Z0-9.]{0,9}$"))
+    sym = pasted.select("c_custkey", F.explode(F.split(F.upper(F.trim("cell")), r"[,\s]+")).alias("ticker")).where(F.col("ticker").rlike(r"^[A-Z][A-Z0-9.]{0,9}$"))
     u = sym.groupBy("ticker").agg(F.min("c_custkey").alias("first_row"))
     have = v.t("orders").where("o_orderpriority = '1-URGENT'").select(F.concat(F.lit("C"), F.col("o_custkey")).alias("ticker")).distinct().withColumn("hit", F.lit(1))
     return u.join(have, "ticker", "left").select("ticker", "first_row", n(F.col("hit").isNotNull(), "already_in_universe"))
@@ -208,7 +208,6 @@ def src_20(v):
 def src_21(v):
     """Headline list: a row with only a time carries the last date forward; provider from the title."""
     h = v.headlines
-    w = Window.partitionBy("source", F.to_date("published"))  # one list page
     order = Window.partitionBy("source", F.to_date("published")).orderBy("published", "doc_id")
     first = F.row_number().over(order) == 1
     cell = F.when(first, F.date_format("published", "MMM-dd-yy hh:mma")).otherwise(F.date_format("published", "hh:mma"))
@@ -327,8 +326,10 @@ def snk_07(v):
 def snk_08(v):
     """OHLCV export with provenance columns."""
     path = scratch_path(v.spark, "ohlcv")
-    K.export_ohlcv(v.bars_supp, "1d", "derived", "sip").write.partitionBy("timeframe").parquet(path)
-    return v.spark.read.parquet(path).select("ticker", s("date"), r("close"), s("timeframe"), "source", "price_feed", "adjustment")
+    out = K.export_ohlcv(v.bars_supp, "1d", "derived", "sip")
+    out.write.partitionBy("timeframe").parquet(path)
+    # the declared schema keeps "1d" a string; partition type inference would read it as a double
+    return v.spark.read.schema(out.schema).parquet(path).select("ticker", s("date"), r("close"), s("timeframe"), "source", "price_feed", "adjustment")
 
 
 @query("snk_09", """SELECT ticker, count(*) AS rows, count(close) AS with_close FROM (SELECT ticker, date, close FROM bars_user UNION ALL SELECT ticker, session, NULL FROM evidence_x) GROUP BY 1""", ("bars_user", "evidence_x"))
