@@ -1,7 +1,7 @@
 """Models on Spark ML: walk-forward scores, calibration, batch scoring."""
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
@@ -22,7 +22,7 @@ def estimator(kind: str, target: str, weight: str | None, seed: int = 42) -> Est
     """logistic, boosted, trees (forest in place of extra-trees) or ranker (boosted regression on grades)."""
     common = {"featuresCol": "features", "labelCol": target} | ({"weightCol": weight} if weight else {})
     if kind == "logistic":
-        return LogisticRegression(maxIter=50, regParam=0.01, **common)
+        return LogisticRegression(maxIter=25, regParam=0.01, **common)
     if kind == "boosted":
         return GBTClassifier(maxIter=10, maxDepth=3, seed=seed, **common)
     if kind == "trees":
@@ -105,6 +105,3 @@ def sigmoid(train: DataFrame, probability: str, target: str) -> PipelineModel:
 
 def apply_sigmoid(model: PipelineModel, df: DataFrame, out: str = "calibrated") -> DataFrame:
     return model.transform(df).withColumn(out, vector_to_array("_pr")[1]).drop("features", "_pr", "_rw", "_pd")
-
-
-Metric = Callable[["object"], float]

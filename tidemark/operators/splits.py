@@ -34,7 +34,7 @@ def date_folds(frame: DataFrame, session: str, folds: int = 5, embargo: int = 1)
     s = s.withColumns({"_i": F.row_number().over(order) - 1, "_n": F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))})
     size = F.greatest(F.lit(1), F.floor(F.col("_n") / (folds + 1)))
     d = s.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
-    start = size + F.col("fold") * size
+    start = F.least(size, F.greatest(F.lit(1), F.floor(F.col("_n") / 3))) + F.col("fold") * size
     role = F.when(F.col("_i") < start - embargo, "train").when((F.col("_i") >= start) & (F.col("_i") < start + size), "test")
     return d.withColumn("role", role).where("role is not null").select(session, F.col("fold").cast("int").alias("fold"), "role")
 

@@ -9,6 +9,7 @@ from tidemark.operators import splits as P
 from tidemark.plans.events import _evt_cols, _shape
 from tidemark.plans.fmt import n, r, s, us
 from tidemark.plans.registry import query
+from tidemark.session import ensure_checkpoint_dir
 
 EX = ("evidence_x",)
 _WF = """ss AS (SELECT session, row_number() OVER (ORDER BY session) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT session FROM evidence_x)),
@@ -65,6 +66,11 @@ def spl_05(v):
 
 
 # --- models (no SQL form: fitted estimators) -----------------------------------------------------------------------
+def settled(df):
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 FEATURES = ("score", "downside", "liquidity")
 
 
@@ -79,6 +85,8 @@ def scored(v, kind: str, target: str = "target", folds=(0, 1)):
         rows = M.balanced_weight(rows, target, "overlap_weight", "w")
     else:
         rows = rows.withColumn("w", F.col("overlap_weight"))
+    # estimators pass over their input many times: cut the lineage once, in the shared folder
+    rows = settled(rows.select("ticker", "group_id", "scope", "fold", "role", "holdout", "decision_time", "label_available", "grade", "target", "w", *FEATURES))
     return M.out_of_fold(rows, FEATURES, kind, target, folds, "w", "holdout")
 
 
@@ -126,7 +134,7 @@ def mlt_06(v):
 @query("mlt_07")
 def mlt_07(v):
     """Sigmoid calibrator on a session-disjoint part."""
-    d = P.calibration_split(v.evidence.withColumn("p", F.col("score")), "session", 0.6)
+    d = settled(P.calibration_split(v.evidence.withColumn("p", F.col("score")), "session", 0.6))
     m = M.sigmoid(d.where("part = 'calibrate'"), "p", "target")
     return M.apply_sigmoid(m, d.where("part = 'evaluate'")).select("ticker", "group_id", r("p", "probability"), r("calibrated"))
 
@@ -134,7 +142,7 @@ def mlt_07(v):
 @query("mlt_08")
 def mlt_08(v):
     """Batch scoring with the schema check."""
-    d = training(v)
+    d = settled(training(v))
     m = M.fit(d.where("session < date '2024-01-20'"), FEATURES, "logistic", "target", "overlap_weight")
     return M.score(m, d.where("session >= date '2024-01-20'"), FEATURES).select("ticker", "group_id", r("probability_up"), n("prediction"))
 
@@ -149,7 +157,7 @@ def mlt_09(v):
 @query("top_14")
 def top_14(v):
     """Latest row per ticker, scored and ordered by probability."""
-    d = training(v)
+    d = settled(training(v))
     m = M.fit(d.where("session < date '2024-01-20'"), FEATURES, "logistic", "target", "overlap_weight")
     last = X.latest_per_key(d, ["ticker"], "session")
     return M.score(m, last, FEATURES).select("ticker", s("session"), r("probability_up")).orderBy(F.desc("probability_up"), "ticker")
@@ -159,7 +167,7 @@ def top_14(v):
 _POS, _NEG = ("the", "and", "le", "der"), ("of", "in", "la", "die")
 
 
-@query("udf_01", f"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS ws FROM documents), c AS (SELECT doc_id, len(list_filter(ws, x -> x IN {_POS})) AS p, len(list_filter(ws, x -> x IN {_NEG})) AS g FROM w)
+@query("udf_01", f"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS ws FROM documents), c AS (SELECT doc_id, len(list_filter(ws, lambda x: x IN {_POS})) AS p, len(list_filter(ws, lambda x: x IN {_NEG})) AS g FROM w)
 SELECT doc_id, round(CASE WHEN p + g > 0 THEN (p - g)::DOUBLE / (p + g) ELSE 0 END, 6) AS sentiment_numeric, CASE WHEN p > g THEN 'positive' WHEN p < g THEN 'negative' ELSE 'neutral' END AS label FROM c""")
 def udf_01(v):
     """Pluggable text scorer in Arrow batches over whole texts (lexicon default)."""

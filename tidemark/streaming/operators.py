@@ -35,8 +35,8 @@ def interval_join(decisions: DataFrame, labels: DataFrame, d_ts: str, l_ts: str,
     return d.join(l, F.expr(f"{d_key} = {l_key} AND {l_ts} >= {d_ts} AND {l_ts} <= {d_ts} + INTERVAL {within}"))
 
 
-def session_vwap(ticks: DataFrame, key: list[str], ts: str, price: str, volume: str, ident: str) -> DataFrame:
-    """Running VWAP per (ticker, session): the state is two sums, dropped after a day without rows."""
+def session_vwap(ticks: DataFrame, key: list[str], ts: str, price: str, volume: str, ident: str, delay: str = "1 hour") -> DataFrame:
+    """Running VWAP per (ticker, session): the state is two sums, expired a day of event time after its last row."""
 
     def step(k, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -46,12 +46,12 @@ def session_vwap(ticks: DataFrame, key: list[str], ts: str, price: str, volume:
         rows = pd.concat(list(batches)).sort_values([ts, ident], kind="stable")  # one micro-batch of one session
         c_pv, c_v = pv + (rows[price] * rows[volume]).cumsum(), vol + rows[volume].cumsum()
         state.update((float(c_pv.iloc[-1]), float(c_v.iloc[-1])))
-        state.setTimeoutDuration(86_400_000)
+        state.setTimeoutTimestamp(int(rows[ts].max().timestamp() * 1000) + 86_400_000)
         yield pd.DataFrame({ident: rows[ident], "session_vwap": c_pv / c_v})
 
     kind = ticks.schema[ident].dataType.simpleString()
-    return ticks.groupBy(*key).applyInPandasWithState(
-        step, f"{ident} {kind}, session_vwap double", "pv double, vol double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return ticks.withWatermark(ts, delay).groupBy(*key).applyInPandasWithState(
+        step, f"{ident} {kind}, session_vwap double", "pv double, vol double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def latest_state(union: DataFrame, key: str, ts: str, side: str, ident: str, value: str) -> DataFrame:
