@@ -1,8 +1,6 @@
 """Text rules over news-like rows, as JVM-side expressions on whole texts."""
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -60,18 +58,22 @@ def _text(x) -> Column:
     return F.coalesce(_c(x).cast("string"), F.lit(""))
 
 
-def any_of(words) -> str:
-    """Literal alternation; substring semantics, not word-bounded."""
-    return "|".join(re.escape(w).replace(r"\ ", " ") for w in words)
+def has_any(low, words) -> Column:
+    """Any of the words as a substring (not word-bounded); literal search is several times faster than a pattern."""
+    low = _c(low)
+    out = low.contains(words[0])
+    for w in words[1:]:
+        out = out | low.contains(w)
+    return out
 
 
 def joined(*cols) -> Column:
     return F.concat_ws(" ", *[_text(c) for c in cols])
 
 
-def taxonomy(text: Column, keywords=EVENT_KEYWORDS) -> dict[str, Column]:
-    low = F.lower(text)
-    return {f"event_{k}": low.rlike(any_of(v)).cast("int") for k, v in keywords.items()}
+def taxonomy(low, keywords=EVENT_KEYWORDS) -> dict[str, Column]:
+    """Keyword-group flags of a lower-cased text column (a column, so it is lowered once)."""
+    return {f"event_{k}": has_any(low, v).cast("int") for k, v in keywords.items()}
 
 
 def mentions(text, ticker) -> Column:
@@ -89,7 +91,7 @@ def social_mention(text, ticker, stopped) -> Column:
 
 
 def generic_headline(title) -> Column:
-    return F.lower(_text(title)).rlike(any_of(GENERIC_PHRASES))
+    return has_any(F.lower(_text(title)), GENERIC_PHRASES)
 
 
 def relevance(title_hit, text_hit, generic, family) -> Column:
@@ -127,7 +129,7 @@ def first_theme(text: Column, themes=SCREENER_THEMES, default: str = "other_vola
     low = F.lower(text)
     out = F.when(F.lit(False), "")
     for name, words in themes:
-        out = out.when(low.rlike(any_of(words)), name)
+        out = out.when(has_any(low, words), name)
     return out.otherwise(default)
 
 

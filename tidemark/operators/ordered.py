@@ -244,35 +244,34 @@ def ewm(
     of 128 rows the recursion is a rescaled prefix sum; block tails decay by
     (1-a)**128 per block, so a carry needs only the few preceding tails whose
     weight exceeds 1e-18 -- exact to double precision, with no fold over a key.
+    Blocks are shuffled in groups that overlap by those few blocks: one shuffle,
+    no join, and a long key is spread over many tasks.
     """
+    reach = {
+        n: max(1, math.ceil(math.log(1e-18) / (EWM_BLOCK * math.log(1.0 - a)))) for n, (_, a, _) in series.items()
+    }
+    depth = max(reach.values())
+    span = max(64, 8 * depth)
     d = df.withColumns({
         "_sub": F.floor((F.col(rn) - 1) / EWM_BLOCK).cast("long"),
         "_j": F.pmod(F.col(rn) - 1, F.lit(EWM_BLOCK)).cast("double"),
     })
-    inside = Window.partitionBy(*keys, "_sub").orderBy(rn).rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("_home", F.floor(F.col("_sub") / span).cast("long")).withColumn(
+        "_sup", F.explode(F.array_compact(F.array(
+            "_home", F.when(F.pmod("_sub", F.lit(span)) >= span - depth, F.col("_home") + 1)))))
+    inside = Window.partitionBy(*keys, "_sup", "_sub").orderBy(rn).rowsBetween(Window.unboundedPreceding, 0)
     local = {}
     for n, (col, alpha, first) in series.items():
         weight = F.when(F.col(rn) == first, F.lit(1.0)).when(F.col(rn) > first, F.lit(alpha))
         scaled = weight * F.col(col) * F.pow(F.lit(1.0 - alpha), -F.col("_j"))
         local[f"_l_{n}"] = F.coalesce(F.sum(scaled).over(inside), F.lit(0.0)) * F.pow(F.lit(1.0 - alpha), F.col("_j"))
     d = d.withColumns(local)
-    reach = {
-        n: max(1, math.ceil(math.log(1e-18) / (EWM_BLOCK * math.log(1.0 - a)))) for n, (_, a, _) in series.items()
-    }
-    depth, span = max(reach.values()), 1024
-    tails = d.groupBy(*keys, "_sub").agg(*[F.max_by(f"_l_{n}", rn).alias(f"_t_{n}") for n in series])
-    home = F.floor(F.col("_sub") / span).cast("long")
-    tails = tails.withColumn("_home", home).withColumn(
-        "_sup", F.explode(F.array_compact(F.array(home, F.when(F.pmod("_sub", F.lit(span)) >= span - depth, home + 1))))
-    )
     over = Window.partitionBy(*keys, "_sup").orderBy("_sub")
-    carries = []
+    carry = {}
     for n, (_, a, _) in series.items():
-        decay = (1.0 - a) ** EWM_BLOCK
-        past = F.collect_list(f"_t_{n}").over(over.rowsBetween(-reach[n], -1))
-        carries.append(F.aggregate(past, F.lit(0.0), _decayed(decay)).alias(f"_c_{n}"))
-    carry = tails.select(*keys, "_sub", "_sup", "_home", *carries).where("_sup = _home").drop("_sup", "_home")
-    out = d.join(carry, [*keys, "_sub"], "left")
+        tails = F.collect_list(F.when(F.col("_j") == EWM_BLOCK - 1, F.col(f"_l_{n}"))).over(over.rangeBetween(-reach[n], -1))
+        carry[f"_c_{n}"] = F.aggregate(tails, F.lit(0.0), _decayed((1.0 - a) ** EWM_BLOCK))
+    d = d.withColumns(carry).where("_sup = _home")
     cols = {
         n: F.when(
             F.col(rn) >= first,
@@ -280,7 +279,8 @@ def ewm(
         )
         for n, (_, a, first) in series.items()
     }
-    return out.withColumns(cols).drop("_sub", "_j", *[f"_l_{n}" for n in series], *[f"_c_{n}" for n in series])
+    return d.withColumns(cols).drop(
+        "_sub", "_j", "_home", "_sup", *[f"_l_{n}" for n in series], *[f"_c_{n}" for n in series])
 
 
 def value_counts(

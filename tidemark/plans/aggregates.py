@@ -326,7 +326,7 @@ def flashpoints(events, rules, now):
     ``rules`` is a short literal list, so each text is tested once per rule by a
     row expression and exploded only where it hits.
     """
-    hits = F.array_compact(F.array(*[F.when(F.col("body").rlike(T.any_of(k)), F.struct(F.lit(a).alias("flashpoint"), F.col("body").rlike(T.any_of(e)).alias("esc"))) for a, k, e in rules]))
+    hits = F.array_compact(F.array(*[F.when(T.has_any("body", k), F.struct(F.lit(a).alias("flashpoint"), T.has_any("body", e).alias("esc"))) for a, k, e in rules]))
     h = events.select("doc_id", "title", "published", "sentiment", F.explode(hits).alias("h")).select("*", "h.*")
     g = h.groupBy("flashpoint").agg(F.count(F.lit(1)).alias("event_count"), F.count_if("esc").alias("escalation_event_count"),
                                     F.count_if(F.col("published") >= now - F.expr("interval 6 hours")).alias("recent_event_count_6h"), F.avg("sentiment").alias("mean_sentiment"),

@@ -288,8 +288,8 @@ def _re(words) -> str:
 @query("str_01", f"""SELECT doc_id, {', '.join(f"CAST(regexp_matches(lower({_BODY}), '{_re(w)}') AS BIGINT) AS event_{k}" for k, w in T.EVENT_KEYWORDS.items())} FROM headlines""", ("headlines",))
 def str_01(v):
     """Event taxonomy: nine keyword groups as substrings of the whole text."""
-    tax = T.taxonomy(T.joined("title", "summary", "text"))
-    return v.headlines.select("doc_id", *[n(c, k) for k, c in tax.items()])
+    low = v.headlines.select("doc_id", F.lower(T.joined("title", "summary", "text")).alias("low"))
+    return low.select("doc_id", *[n(c, k) for k, c in T.taxonomy("low").items()])
 
 
 @query("str_02", r"""SELECT doc_id, CAST(regexp_matches(upper(replace(text, 'ß', 'SS')), '(^|[^A-Z0-9])\$?' || (['THE', 'AND', 'LE', 'DER', 'EN'])[doc_id % 5 + 1] || '([^A-Z0-9]|$)') AS BIGINT) AS has_ticker FROM documents""")
@@ -372,12 +372,12 @@ def str_11(v):
     """Flashpoint keyword and escalation hits, rules as data."""
     from tidemark.plans.aggregates import RULES
 
-    body = F.lower(T.joined("title", "summary", "text"))
+    low = v.headlines.select("doc_id", F.lower(T.joined("title", "summary", "text")).alias("low"))
     cols = []
     for a, k, e in RULES[:2]:
-        hit = body.rlike(T.any_of(k))
-        cols += [n(hit, f"hit_{a}"), n(hit & body.rlike(T.any_of(e)), f"escalated_{a}")]
-    return v.headlines.select("doc_id", *cols)
+        hit = T.has_any("low", k)
+        cols += [n(hit, f"hit_{a}"), n(hit & T.has_any("low", e), f"escalated_{a}")]
+    return low.select("doc_id", *cols)
 
 
 @query("str_12", r"""SELECT page_id, regexp_replace(url, '\?[^#]*', '?<redacted>') AS redacted_url, regexp_replace(url || '&auth=' || page_id || ' x', 'auth=[^&\s]+', 'auth=<redacted>', 'g') AS redacted_auth FROM pages""")

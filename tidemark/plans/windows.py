@@ -107,8 +107,8 @@ def ewm_query(name, cols, select, doc):
 ewm_query("win_09", "round(ema_10, 6) AS ema_10, round(ema_20, 6) AS ema_20, round(ema_50, 6) AS ema_50, round(close / ema_50 - 1, 6) AS dist_ema_50",
           lambda d: d.select("ticker", s("date"), r("ema_10"), r("ema_20"), r("ema_50"), r(F.col("close") / F.col("ema_50") - 1, "dist_ema_50")),
           "Exponential means by exact recursion.")
-ewm_query("win_10", "round(e12 - e26, 6) AS macd, round(sig, 6) AS macd_signal, round(e12 - e26 - sig, 6) AS macd_histogram",
-          lambda d: pick(d, "macd", "macd_signal", "macd_histogram"), "MACD, signal and histogram.")
+ewm_query("win_10", "round(e12 - e26, 4) AS macd, round(sig, 4) AS macd_signal, round(e12 - e26 - sig, 4) AS macd_histogram",
+          lambda d: d.select("ticker", s("date"), *[r(c, digits=4) for c in ("macd", "macd_signal", "macd_histogram")]), "MACD, signal and histogram.")
 ewm_query("win_11", "round(CASE WHEN al = 0 AND ag > 0 THEN 100 WHEN al = 0 AND ag = 0 THEN 50 ELSE 100 - 100 / (1 + ag / nullif(al, 0)) END, 6) AS rsi_14_wilder",
           lambda d: pick(d, "rsi_14_wilder"), "Wilder RSI with edge rules.")
 ewm_query("win_13w", "round(atr, 6) AS atr_14_wilder, round(atr / close, 6) AS atr_pct", lambda d: d.select(
@@ -168,10 +168,10 @@ def win_28(v):
     return d.select("ticker", s("date"), r("stop", "setup_stop_pct"), r("target", "setup_target_pct"), r(ratio("target", "stop"), "risk_reward"))
 
 
-@query("win_29", _SETUP_SQL + """ SELECT ticker, CAST(date AS VARCHAR) AS date, round(atr14, 6) AS atr_14, round(ema_20, 6) AS ema_20, round(vz, 6) AS volume_z20, round(e12 - e26, 6) AS macd FROM z""", ("bars_supp",))
+@query("win_29", _SETUP_SQL + """ SELECT ticker, CAST(date AS VARCHAR) AS date, round(atr14, 6) AS atr_14, round(ema_20, 6) AS ema_20, round(vz, 6) AS volume_z20, round(e12 - e26, 4) AS macd FROM z""", ("bars_supp",))
 def win_29(v):
     """Price-feature bundle: rolling and exponential features of one series together."""
-    return pick(W.exponential(daily(v)), "atr_14", "ema_20", "volume_z20", "macd")
+    return W.exponential(daily(v)).select("ticker", s("date"), r("atr_14"), r("ema_20"), r("volume_z20"), r("macd", digits=4))
 
 
 @query("win_30", """WITH b AS (SELECT *, low AS bid, high AS ask, volume * 3 AS bid_size, volume + 7 AS ask_size, volume - 1 AS trade_count FROM bars_user),
