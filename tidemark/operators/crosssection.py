@@ -45,12 +45,18 @@ def robust_z(df: DataFrame, group: Sequence[str], ident: str, features: Sequence
 
 
 def ordinal(df: DataFrame, group: Sequence[str], value: str, tie: str, out: str, ascending: bool = True) -> DataFrame:
-    """1-based position by (value, tie) within the group, and the group size ``group_n``."""
-    key = F.col(value) if ascending else -F.col(value)
-    d = df.withColumn("_o", key)
-    d = number_rows(d, group, [F.col("_o"), F.col(tie)], value_block("_o"), out).drop("_o")
-    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("group_n"))
-    return d.join(sizes, list(group)) if group else d.join(F.broadcast(sizes))
+    """1-based position by (value, tie) within the group, and the group size ``group_n``.
+
+    Rows below come from running value counts; only equal values are numbered
+    by ``tie``, in blocks of the tie, so neither a hot group nor a value shared
+    by most rows has to fit one task.  Null values have no position.
+    """
+    d = ranks(df.withColumn("_o", F.col(value) if ascending else -F.col(value)), group, "_o", "_r_")
+    text = df.schema[tie].dataType.simpleString() == "string"
+    block = F.substring(tie, 1, 4) if text else value_block(tie)
+    d = number_rows(d, [*group, "_o"], [F.col(tie)], block, "_t")
+    return d.withColumns({out: F.col("_r_min_rank") - 1 + F.col("_t"), "group_n": F.col("_r_group_n")}).drop(
+        "_o", "_t", "_r_avg_rank", "_r_min_rank", "_r_ties", "_r_group_n")
 
 
 def grades(df: DataFrame, group: Sequence[str], target: str, tie: str, levels: int = 5, minimum: int = 20) -> DataFrame:
