@@ -31,7 +31,7 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     queries, _ = load()
-    spark.read.parquet(f"{sf_dir}/nation.parquet").count()  # start the executors before the clock
+    queries["win_14"](spark, sf_dir).write.format("noop").mode("overwrite").save()  # load classes before the clock
     seconds: dict[str, float] = {}
     for name in HEADLINE:
         start = time.perf_counter()

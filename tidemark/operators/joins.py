@@ -78,10 +78,12 @@ def interval_match(
     """
     spans = intervals.select(*keys, ident, start.alias("_from"), end.alias("_to")).where(
         F.col("_to").isNull() | (F.col("_to") > F.col("_from")))
-    mark = lambda at, sign: spans.where(F.col(at).isNotNull()).groupBy(*keys, F.col(at).alias("_t")).agg(
-        (F.sum(F.lit(sign))).cast("long").alias("_open"), F.sum(F.col(ident).cast("decimal(38,0)") * sign).alias("_ids"))
-    marks = mark("_from", 1).unionByName(mark("_to", -1)).groupBy(*keys, "_t").agg(
-        F.sum("_open").alias("_open"), F.sum("_ids").alias("_ids")).withColumn("_side", F.lit(0))
+    edges = F.explode(F.array_compact(F.array(
+        F.struct(F.col("_from").alias("_t"), F.lit(1).alias("_sign")),
+        F.when(F.col("_to").isNotNull(), F.struct(F.col("_to").alias("_t"), F.lit(-1).alias("_sign"))))))
+    marks = spans.where("_from is not null").select(*keys, ident, edges.alias("_e")).groupBy(*keys, F.col("_e._t").alias("_t")).agg(
+        F.sum("_e._sign").cast("long").alias("_open"),
+        F.sum(F.col(ident).cast("decimal(38,0)") * F.col("_e._sign")).alias("_ids")).withColumn("_side", F.lit(0))
     rows = decisions.withColumns({"_t": F.col(ts), "_side": F.lit(1)}).unionByName(marks, allowMissingColumns=True)
     swept = running(rows, keys, [F.col("_t"), F.col("_side")], time_block("_t", width_s),
                     {"match_count": F.col("_open"), "_idsum": F.col("_ids")}).where("_side = 1")

@@ -43,7 +43,7 @@ def barriers(path: Column, entry: Column, target: Column, stop: Column, horizon:
 
 def forward_labels(df: DataFrame, horizon: int, atr_multiple: float = 0.5, target_atr: float = 1.0, stop_atr: float = 1.0) -> DataFrame:
     """Daily forward return, up label, threshold bucket and favourable-before-stop (bars with atr_14, atr_pct_14, return_1d)."""
-    d = blocks(df.drop("_rn"), "date", back=20, ahead=horizon)
+    d = blocks(df, "date", back=20, ahead=horizon)
     w = frame(["ticker"])
     d = d.withColumns({
         "_entry": F.lead("open").over(w), "_exit": F.lead("close", horizon).over(w),
@@ -181,7 +181,7 @@ def exact_paths(
 
 def exact_sessions(df: DataFrame, calendar: DataFrame, horizon: int, cost_bps: float = 10.0) -> DataFrame:
     """Swing labels by session shifts that must match calendar ordinals (``calendar``: date, ordinal)."""
-    d = df.drop("_rn").join(calendar, "date")
+    d = df.join(calendar, "date")
     d = blocks(d, "date", back=1, ahead=horizon)
     w = frame(["ticker"])
     ahead = frame(["ticker"], 1, horizon)
@@ -205,7 +205,7 @@ def entry_exit_labels(
     With ``session`` the path stops at the end of the entry bar's session.  The
     last ``horizon`` rows of a ticker are null.
     """
-    d = blocks(df.drop("_rn"), ts, back=1, ahead=horizon)
+    d = blocks(df, ts, back=1, ahead=horizon)
     ahead = frame(["ticker"], 1, horizon)
     fields = {"o": "open", "h": "high", "l": "low", "c": "close"} | ({"s": session} if session else {})
     d = d.withColumns({"_raw": F.collect_list(path_array(fields)).over(ahead)})

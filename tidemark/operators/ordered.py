@@ -88,10 +88,11 @@ def row_blocks(
 
     Window over ``partitionBy(keys, "_blk").orderBy("_rn")`` with ROWS frames of
     at most ``back`` rows behind and ``ahead`` rows in front, then keep
-    ``_own`` rows (see :func:`own`).
+    own rows (see :func:`own`).  Rows that carry ``_rn`` already keep that numbering,
+    which saves a pass; it must cover all rows of the key.
     """
     size = rows_per_block or max(1024, 2 * back, 2 * ahead)
-    numbered = number_rows(df, keys, order, block)
+    numbered = df if "_rn" in df.columns else number_rows(df, keys, order, block)
     home = F.floor((F.col("_rn") - 1) / size).cast("long")
     pos = F.pmod(F.col("_rn") - 1, F.lit(size))
     copies = F.array_compact(

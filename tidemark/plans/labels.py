@@ -14,6 +14,7 @@ from tidemark.plans.events import EVT01, SQL_WINDOW, _evt_cols, _shape, market_n
 from tidemark.plans.fmt import n, r, s, us
 from tidemark.plans.joins import FAMILIES, METRICS, _MEMBER_JOIN, member_match
 from tidemark.plans.registry import query
+from tidemark.session import settled
 from tidemark.plans.windows import D, _P, daily, hourly, pick, roll
 
 _A14 = roll("avg(tr)", "tr", 14, 14)
@@ -149,7 +150,7 @@ SELECT ticker, CAST(date AS VARCHAR) AS date, CASE WHEN ok THEN oc END AS entry_
  CASE WHEN ok THEN CAST(ex * 0.9995::DOUBLE / (en * 1.0005::DOUBLE) - 1 > 0 AS BIGINT) END AS target_net_positive FROM k""", ("bars_supp",))
 def lbl_09(v):
     """Entry/exit path labels with cost and tie policy."""
-    d = L.entry_exit_labels(daily(v).select("ticker", "date", "open", "high", "low", "close", "atr_14"))
+    d = L.entry_exit_labels(daily(v).select("ticker", "date", "open", "high", "low", "close", "atr_14", "_rn"))
     return d.select("ticker", s("date"), "entry_exit_outcome", n("bars_to_exit"), r("target_price"), n("target_entry_success"), n("target_exit_risk"), r("net_realized_return"), n("target_net_positive"))
 
 
@@ -285,6 +286,7 @@ def pit_03(v):
 
     d = L.forward_labels(daily(v), 5).select("ticker", "date", "return_1d", "dist_sma_20", "future_return")
     d = d.join(bench_returns(v), "date", "left").withColumn("rel_return_1d", F.col("return_1d") - F.col("ret"))
+    d = settled(d)  # read by the rank's count, its join and the output: written once, not computed thrice
     pct = X.rank_features(d, ["date"], "ticker", ["rel_return_1d"])
     out = d.join(pct.select("date", "ticker", "pct_rel_return_1d"), ["date", "ticker"], "left")
     return out.select("ticker", s("date"), r("return_1d"), r("dist_sma_20"), r("rel_return_1d"), r("pct_rel_return_1d"), r("future_return"))

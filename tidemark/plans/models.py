@@ -9,7 +9,7 @@ from tidemark.operators import splits as P
 from tidemark.plans.events import _evt_cols, _shape
 from tidemark.plans.fmt import n, r, s, us
 from tidemark.plans.registry import query
-from tidemark.session import ensure_checkpoint_dir
+from tidemark.session import settled
 
 EX = ("evidence_x",)
 _WF = """ss AS (SELECT session, row_number() OVER (ORDER BY session) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT session FROM evidence_x)),
@@ -66,11 +66,6 @@ def spl_05(v):
 
 
 # --- models (no SQL form: fitted estimators) -----------------------------------------------------------------------
-def settled(df):
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 FEATURES = ("score", "downside", "liquidity")
 
 

@@ -125,7 +125,7 @@ _SETUP_SQL = f"""WITH RECURSIVE {_EWM}, z AS (SELECT e.*, d.high, d.low, d.volum
 
 def setups(v):
     d = W.exponential(daily(v))
-    b = W.blocks(d.drop("_rn"), "date", back=8)
+    b = W.blocks(d, "date", back=8)
     w = frame(["ticker"])
     return own(b.withColumns({"prior_ema_10": F.lag("ema_10").over(w), "prior_hist": F.lag("macd_histogram").over(w),
                               "c3": F.lag("close", 3).over(w), "c6": F.lag("close", 6).over(w)}))
