@@ -125,9 +125,10 @@ def rnk_08(v):
     """Spearman correlation per group, averaged."""
     d = ranks(v.evidence, ["group_id"], "score", "a_")
     d = ranks(d, ["group_id"], "ret", "b_")
-    c = d.groupBy("group_id").agg(F.corr("a_avg_rank", "b_avg_rank").alias("rho"), F.count(F.lit(1)).alias("k")).where("k >= 2")
-    rho = F.when(~F.isnan("rho"), F.col("rho"))
-    return c.agg(F.count(rho).alias("groups"), r(F.avg(rho), "mean_rank_correlation"))
+    # constant ranks have no correlation: null rather than a division error
+    rho = F.try_divide(F.covar_pop("a_avg_rank", "b_avg_rank"), F.stddev_pop("a_avg_rank") * F.stddev_pop("b_avg_rank"))
+    c = d.groupBy("group_id").agg(rho.alias("rho"), F.count(F.lit(1)).alias("k")).where("k >= 2")
+    return c.agg(F.count("rho").alias("groups"), r(F.avg("rho"), "mean_rank_correlation"))
 
 
 _NDCG = """pos AS (SELECT group_id, score, grade, row_number() OVER (PARTITION BY group_id ORDER BY score DESC, ticker) AS p, avg(grade) OVER (PARTITION BY group_id, score) AS g,
