@@ -74,23 +74,16 @@ def aud_06(v):
     from tidemark.operators.joins import latest_row
 
     ev = v.news.withColumn("slow", F.col("first_seen") + F.expr("interval 12 hours"))
-    # the latest first_seen known at the decision is not the latest availability: carry its running maximum
     d = latest_row(v.decisions_user.select("ticker", "decision_time"), ev, ["ticker"], "decision_time", "feature_available_at", ["slow"])
-    from tidemark.operators.ordered import range_sums  # noqa: F401
-
     late = ev.where("slow > feature_available_at").select("ticker", "feature_available_at", "slow")
-    from tidemark.operators.ordered import as_of
-
     m = running_max(d.select("ticker", "decision_time", F.col("matched_at").alias("latest_event_available_at")), late)
     return A.audit(m.where("latest_event_available_at is not null"), FUTURE)
 
 
 def running_max(decisions, rows):
-    """Largest ``slow`` among rows known at the decision: 12 h after the latest first_seen within one day, else older."""
+    """Largest ``slow`` among rows known at the decision: running maximum within day blocks plus the carry of earlier days."""
     from tidemark.operators.ordered import as_of
 
-    # first_seen trails availability by at most five minutes, so the maximum is among the rows of the last matched
-    # day; per (ticker, availability) maxima are reduced first, then carried forward as a running maximum by day
     from pyspark.sql import Window as Wn
 
     from tidemark.operators.ordered import time_block
