@@ -77,23 +77,27 @@ def common_shingles(docs: DataFrame, text_col: str, size: int, most: int) -> tup
 
 
 def _signed(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, common: tuple) -> DataFrame:
-    """``id, p, n, cls, grp, prefix``: set size, digest of the set, hash of size and prefix, and the prefix (once for each
-    group and task, else null)."""
+    """``id, p, n, cls, grp, tail, end, prefix``: set size, digest of the set, hash of size and prefix, where the prefix ends in
+    the common order, and the prefix (once for each group and task, else null)."""
     sent = docs.sparkSession.sparkContext.broadcast(common)
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, ranks = sent.value
         told: set[int] = set()
         for b in batches:
-            n, cls, grp, prefix = [], [], [], []
+            n, cls, grp, prefix, tail, end = [], [], [], [], [], []
             for text in b["text"]:
                 s = shingle_set(text, size)
-                first = s
+                first, plain, rank = s, len(s), np.empty(0, np.int64)
                 if len(s) and len(hashes):
                     at = np.minimum(np.searchsorted(hashes, s), len(hashes) - 1)
                     often = hashes[at] == s
-                    first = np.concatenate([s[~often], s[often][np.argsort(ranks[at[often]])]])
+                    rank = np.sort(ranks[at[often]])
+                    first, plain = np.concatenate([s[~often], s[often][np.argsort(ranks[at[often]])]]), int((~often).sum())
                 first = first[: _prefix_length(len(s), percent)] if len(s) else s
+                # place of the prefix's last shingle in the common order: a frequent one's rank, else its hash
+                tail.append(int(rank[len(first) - plain - 1]) if len(first) > plain else -1)
+                end.append(int(first[-1]) - (1 << 63) if len(first) else 0)
                 g = xxhash.xxh64_intdigest(first.tobytes(), len(s)) - (1 << 63)
                 n.append(len(s))
                 cls.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
@@ -102,10 +106,10 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int
                     told = set()
                 prefix.append(None if g in told or not len(s) else first.view(np.int64))
                 told.add(g)
-            yield pd.DataFrame({"id": b["id"], "p": b["p"], "n": n, "cls": cls, "grp": grp, "prefix": prefix})
+            yield pd.DataFrame({"id": b["id"], "p": b["p"], "n": n, "cls": cls, "grp": grp, "tail": tail, "end": end, "prefix": prefix})
 
     rows = docs.select(F.col(id_col).cast("string").alias("id"), _place(id_col).alias("p"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    signed = rows.mapInPandas(sign, "id string, p long, n int, cls binary, grp long, prefix array<long>")
+    signed = rows.mapInPandas(sign, "id string, p long, n int, cls binary, grp long, tail long, end long, prefix array<long>")
     return written(signed.withColumn("id", F.col("id").cast(docs.schema[id_col].dataType)), "shingle-prefixes")
 
 
@@ -142,7 +146,7 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, size: int, wanted: DataFr
 def _verified(pairs: DataFrame, classes: DataFrame, percent: int, sets) -> DataFrame:
     """The pairs (``a, b``) whose shingle sets reach the likeness."""
     asked = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", "p"), "cls")
-    held = written(sets(asked), "shingle-sets")
+    held = sets(asked)
     both = pairs.join(held.select(F.col("cls").alias("a"), F.col("shingles").alias("sa")), "a").join(held.select(F.col("cls").alias("b"), F.col("shingles").alias("sb")), "b")
     # 100 * i >= percent * (x + y - i)
     reached = F.size(F.array_intersect("sa", "sb")) * (100 + percent) >= (F.size("sa") + F.size("sb")) * percent
@@ -150,18 +154,20 @@ def _verified(pairs: DataFrame, classes: DataFrame, percent: int, sets) -> DataF
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """``cls, comp`` for every linked class: the smallest label that links reach.  Each round takes the least label of the
-    neighbours and then that label's own label; labels are written to the shared folder in between."""
-    both = links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    """``cls, comp`` for every linked class: the smallest label that links reach.  In each round all classes of a label take the
+    least label that any of them has as a neighbour, then that label's own label, so components merge in pairs at least
+    and long chains take a logarithmic number of rounds.  Labels are written to the shared folder in between."""
+    both = written(links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     labels = written(both.select(F.col("a").alias("cls"), F.col("a").alias("comp")).distinct(), "labels")
     for _ in range(most_rounds):
-        near = both.join(labels.select(F.col("cls").alias("b"), "comp"), "b").groupBy(F.col("a").alias("cls")).agg(F.min("comp").alias("least"))
-        next_ = labels.join(near, "cls").select("cls", F.least("comp", "least").alias("comp"), F.col("comp").alias("was"))
-        jump = next_.select(F.col("cls").alias("comp"), F.col("comp").alias("further"))
-        moved = written(next_.join(jump, "comp").select("cls", F.col("further").alias("comp"), "was"), "labels")
-        labels = moved.select("cls", "comp")
-        if moved.where(F.col("comp") != F.col("was")).isEmpty():
+        of_a, of_b = (labels.select(F.col("cls").alias(c), F.col("comp").alias(f"c{c}")) for c in "ab")
+        open_ = written(both.join(of_a, "a").join(of_b, "b").where("ca <> cb"), "open-links")
+        if open_.isEmpty():
             return labels
+        least = open_.groupBy(F.col("ca").alias("comp")).agg(F.min("cb").alias("least"))
+        moved = labels.join(least, "comp", "left").select("cls", F.least("comp", F.coalesce("least", "comp")).alias("comp"))
+        jump = moved.select(F.col("cls").alias("comp"), F.col("comp").alias("further"))
+        labels = written(moved.join(jump, "comp").select("cls", F.col("further").alias("comp")), "labels")
     raise RuntimeError("the links did not settle; raise most_rounds")
 
 
@@ -170,6 +176,18 @@ def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
     return members.join(components(links), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
 
 
+def _may_reach(a: str, b: str, percent: int) -> Column:
+    """Whether two sets (``n``, ``ends`` with these suffixes), with ``o`` shared shingles in their prefixes, the last at places
+    ``la`` and ``lb``, can reach the likeness.  Both hold their shingles in one order, so only what follows the last shared
+    place can be shared too; and the prefix that ends first in that order was compared whole, so of that set only the rest.
+    """
+    na, nb = F.col(f"n{a}"), F.col(f"n{b}")
+    need = F.ceil((na + nb) * percent / (100.0 + percent) - 1e-9)
+    first = F.when(F.col(f"ends{a}") <= F.col(f"ends{b}"), na).otherwise(nb)
+    beyond = F.ceil(first * percent / 100.0 - 1e-9) - 1
+    return F.col("o") + F.least(na - F.col("la") - 1, nb - F.col("lb") - 1, beyond) >= need
+
+
 def _across(entries: DataFrame, key: list[str], meet: Column | None = None) -> DataFrame:
     """Pairs ``a, b`` of classes in one list (``key``) but different components, with both sides' ``n`` and ``at``: every member
     outside the list's largest component with every other.  ``meet``: the bands an entry meets besides its own list."""
@@ -205,9 +223,9 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     common = common_shingles(docs, text_col, size, most_common)
     signed = _signed(docs, id_col, text_col, size, percent, common)
     key = ["grp", "n"]
-    members = signed.where("n > 0").groupBy("cls", *key).agg(F.min("p").alias("p"))  # every different set
+    members = signed.where("n > 0").groupBy("cls", *key).agg(F.min("p").alias("p"), F.min(F.struct("tail", "end")).alias("ends"))  # every different set
     members = written(members, "classes")
-    groups = members.groupBy(*key).agg(F.min("cls").alias("rep"))
+    groups = members.groupBy(*key).agg(F.min("cls").alias("rep"), F.min("ends").alias("ends"))
 
     # lists: the groups of a shingle, by size band; a list of one group is dropped
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
@@ -219,12 +237,16 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     live = seen.where((F.col("low") != F.col("high")) & ~F.coalesce(F.col("before") == entry, F.lit(False)))
     live = written(live.select("s", *key, "at", band.alias("band")), "lists")
     in_band = Window.partitionBy("s", "band").orderBy(*key)
-    met = live.select(F.first(entry).over(in_band).alias("x"), F.lag(entry).over(in_band).alias("y"), entry.alias("z"))
-    met = met.select("z", F.explode(F.array("x", "y")).alias("x")).where(F.col("x").isNotNull() & (F.col("x") != F.col("z"))).distinct()
-    fits = F.least("x.n", "z.n") * 100 >= F.greatest("x.n", "z.n") * percent
-    met = met.where(fits).select(F.col("x.grp").alias("g1"), F.col("x.n").alias("n1"), F.col("z.grp").alias("g2"), F.col("z.n").alias("n2"))
-    reps1, reps2 = (groups.select(F.col("grp").alias(f"g{i}"), F.col("n").alias(f"n{i}"), F.col("rep").alias(f"r{i}")) for i in (1, 2))
-    across = met.join(reps1, ["g1", "n1"]).join(reps2, ["g2", "n2"]).select(F.least("r1", "r2").alias("a"), F.greatest("r1", "r2").alias("b"))
+    place = F.struct("grp", "n", "at")
+    met = live.select(F.first(place).over(in_band).alias("x"), F.lag(place).over(in_band).alias("y"), place.alias("z"))
+    met = met.select("z", F.explode(F.array_distinct(F.array("x", "y"))).alias("x")).where(F.col("x").isNotNull() & (F.col("x") != F.col("z")))
+    met = met.groupBy(F.col("x.grp").alias("g1"), F.col("x.n").alias("n1"), F.col("z.grp").alias("g2"), F.col("z.n").alias("n2")).agg(
+        F.count(F.lit(1)).alias("o"), F.max("x.at").alias("la"), F.max("z.at").alias("lb")
+    )
+    reps1, reps2 = (groups.select(*[F.col(c).alias(f"{c}{i}") for c in ("grp", "n", "rep", "ends")]) for i in (1, 2))
+    met = met.withColumnsRenamed({"g1": "grp1", "g2": "grp2"}).join(reps1, ["grp1", "n1"]).join(reps2, ["grp2", "n2"])
+    # lists where they did not meet are not counted: a pair dropped here comes back in the second round if it still matters
+    across = met.where(_may_reach("1", "2", percent)).select(F.least("rep1", "rep2").alias("a"), F.greatest("rep1", "rep2").alias("b"))
     inside = members.join(groups, key).where(F.col("cls") != F.col("rep")).select(F.col("rep").alias("a"), F.col("cls").alias("b"))
     pairs = written(across.unionAll(inside).distinct(), "pairs")
 
@@ -239,9 +261,10 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     cross = _across(entries, ["s"], F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))
     cross = cross.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
     shared = cross.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("o"), F.max("ata").alias("la"), F.max("atb").alias("lb"))
-    # both hold their shared shingles in one order: past the last one in the prefixes, only what follows it can be shared
-    need = F.ceil((F.col("na") + F.col("nb")) * percent / (100.0 + percent) - 1e-9)
-    close = shared.where(F.col("o") + F.least(F.col("na") - F.col("la") - 1, F.col("nb") - F.col("lb") - 1) >= need).select("a", "b")
+    shared = shared.withColumnsRenamed({"na": "n1", "nb": "n2"})
+    for side, i in (("a", 1), ("b", 2)):
+        shared = shared.join(members.select(F.col("cls").alias(side), F.col("ends").alias(f"ends{i}")), side)
+    close = shared.where(_may_reach("1", "2", percent)).select("a", "b")
     within = _across(labels.withColumn("at", F.lit(0)), key).select("a", "b")
     rest = written(close.unionAll(within).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
     if not rest.isEmpty():
