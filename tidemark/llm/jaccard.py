@@ -37,18 +37,18 @@ def _prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def common_shingles(docs: DataFrame, text_col: str, size: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that make up at least 1 in ``most`` of all shingle occurrences, so ``most`` at most, by ascending frequency;
-    returned sorted by hash, with their rank.
+def common_shingles(docs: DataFrame, text_col: str, size: int, often_from: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles counted ``often_from`` times or more, by ascending frequency; returned sorted by hash, with their rank.  At most
+    ``most``: where more are that frequent, the bar is raised to 1 in ``most`` of all occurrences.
 
-    What is frequent overall is frequent in some part: a task passes on only shingles that reach that share in the part it
-    holds.  The order of the prefix is right whatever the counts say; they only keep common passages out of it.
+    A task passes on only the shingles that repeat within the stretch of texts it holds, so counts may be low.  The common
+    order of the prefixes is right whatever they say; they only keep passages of many texts out of the prefixes.
     """
 
     def repeated(held: list[np.ndarray]) -> pd.DataFrame:
         flat = np.concatenate(held) if held else np.empty(0, np.uint64)
         s, n = np.unique(flat, return_counts=True)
-        often = n >= max(2, len(flat) // most)
+        often = n >= 2
         total = pd.DataFrame({"s": np.array([0], np.int64), "n": [0], "total": [len(flat)]})
         return pd.concat([pd.DataFrame({"s": s[often].view(np.int64), "n": n[often], "total": 0}), total])
 
@@ -65,9 +65,11 @@ def common_shingles(docs: DataFrame, text_col: str, size: int, most: int) -> tup
         yield repeated(held)
 
     parts = docs.select(F.col(text_col).cast("string").alias("text")).mapInPandas(count, "s long, n long, total long")
-    sums = written(parts.groupBy("s").agg(F.sum("n").alias("n"), F.sum("total").alias("total")), "shingle-counts")
+    sums = parts.groupBy("s").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    sums = written(sums.where((F.col("n") >= often_from) | (F.col("total") > 0)), "shingle-counts")
     total = sums.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
-    rows = sums.where(F.col("n") > 0).where(F.col("n") * most >= total).select("s", "n").toArrow()
+    frequent = sums.where(F.col("n") >= often_from).select("s", "n")
+    rows = (frequent if frequent.count() <= most else frequent.where(F.col("n") * most >= total)).toArrow()
     s = rows["s"].to_numpy().view(np.uint64)
     order = np.lexsort((s, rows["n"].to_numpy()))
     rank = np.empty(len(s), np.int64)
@@ -176,16 +178,40 @@ def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
     return members.join(components(links), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
 
 
-def _may_reach(a: str, b: str, percent: int) -> Column:
-    """Whether two sets (``n``, ``ends`` with these suffixes), with ``o`` shared shingles in their prefixes, the last at places
-    ``la`` and ``lb``, can reach the likeness.  Both hold their shingles in one order, so only what follows the last shared
-    place can be shared too; and the prefix that ends first in that order was compared whole, so of that set only the rest.
-    """
-    na, nb = F.col(f"n{a}"), F.col(f"n{b}")
-    need = F.ceil((na + nb) * percent / (100.0 + percent) - 1e-9)
-    first = F.when(F.col(f"ends{a}") <= F.col(f"ends{b}"), na).otherwise(nb)
-    beyond = F.ceil(first * percent / 100.0 - 1e-9) - 1
-    return F.col("o") + F.least(na - F.col("la") - 1, nb - F.col("lb") - 1, beyond) >= need
+def _likely(shared: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``a, b`` of sizes ``na, nb`` that can reach the likeness, given ``o`` shared shingles in their prefixes, the last
+    at places ``la`` and ``lb``.  Both hold their shingles in one order, so only what follows the last shared place can be
+    shared too; and the prefix that ends first in that order was compared whole, so of that set only the rest."""
+    need = F.ceil((F.col("na") + F.col("nb")) * percent / (100.0 + percent) - 1e-9)
+    # the smaller set's rest is a bound that needs no further look at the pair
+    rough = F.col("o") + F.least(F.col("na") - F.col("la") - 1, F.col("nb") - F.col("lb") - 1, F.ceil(F.greatest("na", "nb") * percent / 100.0 - 1e-9) - 1)
+    pairs = shared.where(rough >= need)
+    for side in "ab":
+        pairs = pairs.join(members.select(F.col("cls").alias(side), F.col("ends").alias(f"ends_{side}")), side)
+    first = F.when(F.col("ends_a") <= F.col("ends_b"), F.col("na")).otherwise(F.col("nb"))
+    return pairs.where(F.col("o") + F.ceil(first * percent / 100.0 - 1e-9) - 1 >= need).select("a", "b")
+
+
+def _mixed(entries: DataFrame, key: list[str]) -> DataFrame:
+    """Entries of the lists that hold several components."""
+    several = entries.groupBy(*key).agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select(*key)
+    return entries.join(several, key, "left_semi")
+
+
+def _sparse(entries: DataFrame, members: DataFrame, percent: int, seed: int) -> DataFrame:
+    """Few pairs of different components: in every list and size band each entry meets the first and the one before it in a
+    seeded order.  Lists where a pair does not meet are not counted for its bound, so this may drop pairs that the last
+    round looks at again."""
+    place = F.struct("cls", "comp", "n", "at")
+    order = Window.partitionBy("s", "band").orderBy(F.xxhash64(F.lit(seed), "cls"), "cls")
+    met = entries.select(F.first(place).over(order).alias("x"), F.lag(place).over(order).alias("y"), place.alias("z"))
+    met = met.select("z", F.explode(F.array_distinct(F.array("x", "y"))).alias("x")).where(F.col("x.comp") != F.col("z.comp"))
+    first = F.col("x.cls") < F.col("z.cls")
+    pick = {f"{c}{k}": F.when(first if k == "a" else ~first, F.col(f"x.{c}")).otherwise(F.col(f"z.{c}")) for c in ("cls", "n", "at") for k in "ab"}
+    shared = met.select(*[c.alias(k) for k, c in pick.items()]).groupBy(F.col("clsa").alias("a"), F.col("clsb").alias("b"), "na", "nb").agg(
+        F.count(F.lit(1)).alias("o"), F.max("ata").alias("la"), F.max("atb").alias("lb")
+    )
+    return _likely(shared.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent), members, percent)
 
 
 def _across(entries: DataFrame, key: list[str], meet: Column | None = None) -> DataFrame:
@@ -203,7 +229,7 @@ def _across(entries: DataFrame, key: list[str], meet: Column | None = None) -> D
     return cross.select(F.least("x_cls", "y_cls").alias("a"), F.greatest("x_cls", "y_cls").alias("b"), *[c.alias(k) for k, c in pick.items()])
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, most_common: int = 1 << 20) -> DataFrame:
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, often_from: int = 16, most_common: int = 1 << 21) -> DataFrame:
     """One row per row of ``docs``: id, ``n_shingles``, ``component_id``, ``n_links`` (verified links of its class of equal sets
     found on the way; the component needs no more), ``set_digest``.
 
@@ -211,21 +237,22 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     id reachable by links, itself included.  Sets without shingles link with nothing, not even one another.
 
     Equal sets are one class.  Classes of equal size and equal prefix are one group, and only groups meet: on the shingles of
-    their prefixes, in a common order that puts frequent shingles last.  In the first round every group meets the first
-    of its list and its neighbour there, and every class the first of its group; what verifies is contracted.  In the second,
-    all pairs of one list in different components meet, apart from those between members of its largest component; a
-    bound from the shared part of the prefixes drops most, and the rest is expanded to members and verified.  So a group
-    of near copies costs pairs in proportion to its size, and no link between different components is missed.
+    their prefixes, in a common order that puts frequent shingles last.  First every group meets the first of each of its
+    lists and one neighbour there, and every class the first of its group; what verifies is contracted.  Lists that still
+    hold several components do the same again, member by member, in another order.  Last, all pairs of one list in
+    different components meet, apart from those between members of its largest component; a bound from the shared part of
+    the prefixes drops most, and the rest is verified.  So a group of near copies costs pairs in proportion to its size,
+    and no link between different components is missed.
 
     Null text is empty.  A null id is never a component's id while another is there.  Repeated rows are returned as often as
     they come.  An empty table gives no rows.  Other columns are not read.
     """
-    common = common_shingles(docs, text_col, size, most_common)
+    common = common_shingles(docs, text_col, size, often_from, most_common)
     signed = _signed(docs, id_col, text_col, size, percent, common)
     key = ["grp", "n"]
     members = signed.where("n > 0").groupBy("cls", *key).agg(F.min("p").alias("p"), F.min(F.struct("tail", "end")).alias("ends"))  # every different set
     members = written(members, "classes")
-    groups = members.groupBy(*key).agg(F.min("cls").alias("rep"), F.min("ends").alias("ends"))
+    groups = members.groupBy(*key).agg(F.min("cls").alias("rep"))
 
     # lists: the groups of a shingle, by size band; a list of one group is dropped
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
@@ -236,35 +263,28 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     seen = postings.withColumns({"before": F.lag(entry).over(in_list), "low": F.first(entry).over(whole), "high": F.last(entry).over(whole)})
     live = seen.where((F.col("low") != F.col("high")) & ~F.coalesce(F.col("before") == entry, F.lit(False)))
     live = written(live.select("s", *key, "at", band.alias("band")), "lists")
-    in_band = Window.partitionBy("s", "band").orderBy(*key)
-    place = F.struct("grp", "n", "at")
-    met = live.select(F.first(place).over(in_band).alias("x"), F.lag(place).over(in_band).alias("y"), place.alias("z"))
-    met = met.select("z", F.explode(F.array_distinct(F.array("x", "y"))).alias("x")).where(F.col("x").isNotNull() & (F.col("x") != F.col("z")))
-    met = met.groupBy(F.col("x.grp").alias("g1"), F.col("x.n").alias("n1"), F.col("z.grp").alias("g2"), F.col("z.n").alias("n2")).agg(
-        F.count(F.lit(1)).alias("o"), F.max("x.at").alias("la"), F.max("z.at").alias("lb")
-    )
-    reps1, reps2 = (groups.select(*[F.col(c).alias(f"{c}{i}") for c in ("grp", "n", "rep", "ends")]) for i in (1, 2))
-    met = met.withColumnsRenamed({"g1": "grp1", "g2": "grp2"}).join(reps1, ["grp1", "n1"]).join(reps2, ["grp2", "n2"])
-    # lists where they did not meet are not counted: a pair dropped here comes back in the second round if it still matters
-    across = met.where(_may_reach("1", "2", percent)).select(F.least("rep1", "rep2").alias("a"), F.greatest("rep1", "rep2").alias("b"))
     inside = members.join(groups, key).where(F.col("cls") != F.col("rep")).select(F.col("rep").alias("a"), F.col("cls").alias("b"))
-    pairs = written(across.unionAll(inside).distinct(), "pairs")
+    reps = live.join(groups.select(*key, F.col("rep").alias("cls"), F.col("rep").alias("comp")), key)
+    pairs = written(_sparse(reps, members, percent, 0).unionAll(inside).distinct(), "pairs")
 
     def sets(wanted: DataFrame) -> DataFrame:
         return _sets(docs, id_col, text_col, size, wanted)
 
     links = _verified(pairs, members, percent, sets)
 
-    # second round: pairs of a list in different components
+    # what is still apart in some list meets others there, in another order
     labels = written(_labelled(members, links), "labelled")
-    entries = written(live.join(labels, key), "entries")
+    more = written(_sparse(_mixed(live.join(labels, key), ["s"]), members, percent, 1).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    if not more.isEmpty():
+        pairs, links = pairs.unionAll(more), links.unionAll(_verified(more, members, percent, sets))
+        labels = written(_labelled(members, links), "labelled")
+
+    # last round: all pairs of a list in different components
+    entries = written(_mixed(live.join(labels, key), ["s"]), "entries")
     cross = _across(entries, ["s"], F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))
     cross = cross.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
     shared = cross.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("o"), F.max("ata").alias("la"), F.max("atb").alias("lb"))
-    shared = shared.withColumnsRenamed({"na": "n1", "nb": "n2"})
-    for side, i in (("a", 1), ("b", 2)):
-        shared = shared.join(members.select(F.col("cls").alias(side), F.col("ends").alias(f"ends{i}")), side)
-    close = shared.where(_may_reach("1", "2", percent)).select("a", "b")
+    close = _likely(shared, members, percent)
     within = _across(labels.withColumn("at", F.lit(0)), key).select("a", "b")
     rest = written(close.unionAll(within).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
     if not rest.isEmpty():
