@@ -108,7 +108,7 @@ class Lattice:
             score[0, lone] = np.array([logp[self.vocab.byte_ids[list(chr(c).encode("utf-8", "surrogatepass"))]].sum() for c in some.tolist()])[where]
         return score
 
-    def _groups(self, words: list[str], characters: int = 400_000):
+    def _groups(self, words: list[str], characters: int = 100_000):
         """Words of equal length together, at most about ``characters`` at a time: their places, and code points by position."""
         size = np.fromiter(map(len, words), np.int64, len(words))
         order = np.argsort(size, kind="stable")
@@ -120,22 +120,25 @@ class Lattice:
                 text = "".join([words[i] for i in some]).encode("utf-32-le", "surrogatepass")
                 yield some, n, np.ascontiguousarray(np.frombuffer(text, np.uint32).reshape(len(some), n).T).astype(np.int64)
 
-    def viterbi(self, words: list[str]) -> list[tuple[list[int], float]]:
-        """Ids and score of each word's best segmentation; of equal scores, the longest last piece."""
-        out: list = [([], 0.0)] * len(words)
+    def viterbi(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Best segmentations; of equal scores, the longest last piece.  Returns places in ``words``, ids of all pieces one word
+        after the other in that order, their number per word and the words' scores.  Empty words are left out."""
+        places, tokens, lens, scores = [np.empty(0, np.int64)], [np.empty(0, np.int32)], [np.empty(0, np.int64)], [np.empty(0)]
         for some, n, codes in self._groups(words):
             m = len(some)
             ids = self.arcs(codes.ravel(), m)
-            score = self.weighed(ids, self.own).reshape(self.width, n, m)
+            longest = int(np.flatnonzero((ids != -1).any(1))[-1]) + 1
+            score = self.weighed(ids[:longest], self.own).reshape(longest, n, m)
             best, back = np.empty((n + 1, m)), np.zeros((n + 1, m), np.int64)
             best[0] = 0.0
+            each = np.arange(m)
             for j in range(1, n + 1):
-                w = min(j, self.width)
-                cand = best[j - w:j] + score[np.arange(w - 1, -1, -1), np.arange(j - w, j)]  # longest first: a tie keeps it
+                w = min(j, longest)
+                cand = best[j - w:j] + _ending(score, j, w)[::-1]  # longest first: a tie keeps it
                 pick = cand.argmax(0)
                 back[j] = w - pick
-                best[j] = cand[pick, np.arange(m)]
-            left, who, steps = np.full(m, n), np.arange(m), []
+                best[j] = cand[pick, each]
+            left, who, steps = np.full(m, n), each, []
             while len(who):
                 k = back[left[who], who]
                 left[who] -= k
@@ -145,14 +148,28 @@ class Lattice:
                 who = who[left[who] > 0]
             grid = np.stack(steps[::-1], 1)
             there = grid != -1
-            tokens, edge = grid[there].tolist(), np.concatenate([[0], np.cumsum(there.sum(1))]).tolist()
-            strange = (grid < -1).any(1).tolist()
-            for i, place in enumerate(some.tolist()):
-                seq = tokens[edge[i]:edge[i + 1]]
-                if strange[i]:
-                    seq = [x for t in seq for x in ([t] if t >= 0 else self.vocab.byte_ids[list(chr(-2 - t).encode("utf-8", "surrogatepass"))].tolist())]
-                out[place] = (seq, float(best[n, i]))
-        return out
+            flat, count = self._spelled(grid[there], there.sum(1))
+            places.append(some)
+            tokens.append(flat)
+            lens.append(count)
+            scores.append(best[n])
+        return np.concatenate(places), np.concatenate(tokens), np.concatenate(lens), np.concatenate(scores)
+
+    def _spelled(self, flat: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Unknown characters replaced by the ids of their bytes."""
+        strange = np.flatnonzero(flat < 0)
+        if not len(strange):
+            return flat.astype(np.int32), count
+        some, where = np.unique(-2 - flat[strange], return_inverse=True)
+        spelled = [self.vocab.byte_ids[list(chr(c).encode("utf-8", "surrogatepass"))] for c in some.tolist()]
+        times = np.ones(len(flat), np.int64)
+        times[strange] = np.array([len(x) for x in spelled])[where]
+        out, start = np.repeat(flat, times).astype(np.int32), np.cumsum(times) - times
+        for c, ids in enumerate(spelled):
+            at = start[strange[where == c]]
+            for j, i in enumerate(ids.tolist()):
+                out[at + j] = i
+        return out, np.add.reduceat(times, np.cumsum(count) - count)
 
     def marginals(self, words: list[str], logps: list[np.ndarray], weights: np.ndarray | None = None, counts: np.ndarray | None = None) -> np.ndarray:
         """Natural log of the summed probability of all segmentations (words, logps), by the forward recursion in log space,
@@ -164,18 +181,20 @@ class Lattice:
         for some, n, codes in self._groups(words):
             m = len(some)
             ids = self.arcs(codes.ravel(), m)
+            longest = int(np.flatnonzero((ids != -1).any(1))[-1]) + 1
+            ids = ids[:longest]
             for z, logp in enumerate(logps):
-                score = self.weighed(ids, logp).reshape(self.width, n, m)
+                score = self.weighed(ids, logp).reshape(longest, n, m)
                 alpha = np.zeros((n + 1, m))
                 for j in range(1, n + 1):
-                    w = min(j, self.width)
-                    alpha[j] = _logsum(alpha[j - w:j] + score[np.arange(w - 1, -1, -1), np.arange(j - w, j)])
+                    w = min(j, longest)
+                    alpha[j] = _logsum(alpha[j - w:j] + _ending(score, j, w)[::-1])
                 out[some, z] = alpha[n]
             if counts is None:
                 continue
             beta = np.zeros((n + 1, m))
             for p in range(n - 1, -1, -1):
-                w = min(n - p, self.width)
+                w = min(n - p, longest)
                 beta[p] = _logsum(beta[p + 1:p + w + 1] + score[:w, p])
             k, at = np.nonzero(ids != -1)
             p, word = at // m, at % m
@@ -213,6 +232,12 @@ class Lattice:
         return best[exits_from:].T
 
 
+def _ending(score: np.ndarray, j: int, w: int) -> np.ndarray:
+    """Of scores (length, start, word), those of the arcs that end at ``j``, by length from 1 to ``w``; a view."""
+    length, start, word = score.strides
+    return np.lib.stride_tricks.as_strided(score[0, j - 1], (w, score.shape[2]), (length - start, word), writeable=False)
+
+
 def _logsum(terms: np.ndarray) -> np.ndarray:
     top = terms.max(0)
     return top + np.log(np.exp(terms - top).sum(0))

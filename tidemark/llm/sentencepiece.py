@@ -3,10 +3,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cached_property
 from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,45 +22,60 @@ _ENCODERS: dict[int, Encoder] = {}
 
 
 class Encoder:
-    """Encodes texts in a Python worker.  Segmentations of short units are kept from batch to batch and dropped when there
-    are more than ``kept`` of them."""
+    """Encodes texts in a Python worker.  Segmentations of short units are kept from batch to batch, in flat arrays, and dropped
+    when there are more than ``kept`` of them."""
 
-    def __init__(self, model: bytes, kept: int = 150_000):
+    def __init__(self, model: bytes, kept: int = 250_000):
         self.vocab = Vocabulary.read(model)
-        self.lattice = Lattice(self.vocab)
-        self.kept, self.known = kept, {}
+        self.kept = kept
+        self._forget()
         self.bytes_of = [p.replace(SPACE, " ").encode() for p in self.vocab.pieces]
         for b, i in enumerate(self.vocab.byte_ids.tolist()):
             self.bytes_of[i] = bytes([b])
 
+    @cached_property
+    def lattice(self) -> Lattice:
+        return Lattice(self.vocab)
+
     @classmethod
     def here(cls, sent: Broadcast) -> Encoder:
-        """One encoder per worker process and broadcast; a worker runs many tasks."""
+        """One encoder per worker process; a worker runs many tasks."""
         key = hash(sent.value)
         if key not in _ENCODERS:
             _ENCODERS.clear()
             _ENCODERS[key] = cls(sent.value)
         return _ENCODERS[key]
 
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.tokens, self.lens, self.scores = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0)
+
     def units(self, marked: str) -> list[str]:
         """The stretches between places that no piece crosses."""
         return UNITS.findall(marked) if self.lattice.cuts_at_spaces else [marked] if marked else []
 
-    def paths(self, texts: list[str]) -> list[tuple[list[int], float]]:
-        """Ids and score of each marked text's best path."""
+    def paths(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Best paths of marked texts: ids of all texts one after the other, where each text's begin and end, and scores."""
         split = [self.units(t) for t in texts]
-        asked = {u for units in split for u in units}
         if len(self.known) > self.kept:
-            self.known = {}
-        new = [u for u in asked if u not in self.known]
-        here = dict(zip(new, self.lattice.viterbi(new)))
-        lone = {u: here[u] for u in new if len(u) > 64}
-        self.known.update((u, p) for u, p in here.items() if len(u) <= 64)
-        out = []
-        for units in split:
-            found = [self.known[u] if len(u) <= 64 else lone[u] for u in units]
-            out.append((list(chain.from_iterable([f[0] for f in found])), sum([f[1] for f in found])))
-        return out
+            self._forget()
+        new = list(set(chain.from_iterable(split)).difference(self.known))
+        places, tokens, lens, scores = self.lattice.viterbi(new)
+        base = len(self.known)
+        self.known.update(zip([new[i] for i in places.tolist()], range(base, base + len(new))))
+        self.tokens, self.lens, self.scores = np.concatenate([self.tokens, tokens]), np.concatenate([self.lens, lens]), np.concatenate([self.scores, scores])
+        per = np.fromiter(map(len, split), np.int64, len(split))
+        used = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64, int(per.sum()))
+        start = np.cumsum(self.lens) - self.lens
+        count = self.lens[used]
+        ends = np.cumsum(count)
+        flat = self.tokens[np.repeat(start[used] - (ends - count), count) + np.arange(int(count.sum()))]
+        unit_edges = np.concatenate([[0], np.cumsum(per)])
+        edges = np.concatenate([[0], ends])[unit_edges]
+        sums = np.concatenate([[0.0], np.cumsum(self.scores[used])])[unit_edges]
+        if base + len(new) > self.kept:
+            self._forget()
+        return flat, edges, np.diff(sums)
 
     def matrix(self, part: str, size: int) -> np.ndarray:
         """Boundary-state matrix of a chunk of ``size`` characters, followed in ``part`` by what the next chunk begins with.
@@ -70,7 +87,7 @@ class Encoder:
         if cuts:
             first, last = cuts[0], cuts[-1]
             head = self.lattice.between(part[:first], w, first)[:, :1]
-            middle = self.paths([part[first:last]])[0][1] if last > first else 0.0
+            middle = float(self.paths([part[first:last]])[2][0]) if last > first else 0.0
             found = head + middle + self.lattice.between(part[last:], 1, size - last)
         else:
             found = self.lattice.between(part, w, size)
@@ -84,6 +101,11 @@ class Encoder:
         return raw.decode("utf-8", "replace")[1:]
 
 
+def _arrow(flat: np.ndarray, edges: np.ndarray, scores: np.ndarray) -> pa.StructArray:
+    ids = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(flat, pa.int32()))
+    return pa.StructArray.from_arrays([ids, pa.array(scores)], ["ids", "path_score"])
+
+
 def mark(text: str) -> str:
     """Spaces become marks, one more in front; an empty text stays empty."""
     return SPACE + text.replace(" ", SPACE) if text else ""
@@ -114,13 +136,12 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", chunk: int
     docs = docs.select(*kept)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
 
-    def short(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def short(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         coder = Encoder.here(sent)
         for texts in batches:
-            found = coder.paths([mark(t) for t in texts])
-            yield pd.DataFrame({"ids": [np.array(f[0], np.int32) for f in found], "path_score": [float(f[1]) for f in found]})
+            yield _arrow(*coder.paths([mark(t) for t in texts.to_pylist()]))
 
-    small = docs.where(F.length(text) <= chunk).withColumn(key, F.pandas_udf(short, "ids array<int>, path_score double")(text))
+    small = docs.where(F.length(text) <= chunk).withColumn(key, F.arrow_udf(short, "ids array<int>, path_score double")(text))
     giant = docs.where(F.length(text) > chunk).withColumn(key, F.unhex(F.sha2(text, 256)))
     whole = _giants(giant.select(F.col(key).alias("key"), text.alias("text")), sent, chunk, fan)
     out = small.select(*kept, F.col(key)["ids"].alias("ids"), F.size(F.col(key)["ids"]).cast("long").alias("n_tokens"), F.col(key)["path_score"].alias("path_score"))
@@ -162,15 +183,15 @@ def _giants(texts: DataFrame, sent: Broadcast, chunk: int, fan: int) -> DataFram
         children = level.withColumn("up", F.floor(F.col("idx") / fan)).join(above, ["key", "up"])
         states = children.groupBy("key", "up").applyInPandas(_settled, "key binary, idx long, entry int, exit int")
 
-    def backtrace(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def backtrace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Encoder.here(sent)
         for b in batches:
-            stretch = [p[a:min(chunk, len(p)) + z] for p, a, z in zip(b["part"], b["entry"], b["exit"])]
-            found = coder.paths(stretch)
-            yield pd.DataFrame({"key": b["key"], "idx": b["idx"], "ids": [np.array(f[0], np.int32) for f in found], "score": [float(f[1]) for f in found]})
+            stretch = [p[a:min(chunk, len(p)) + z] for p, a, z in zip(b["part"].to_pylist(), b["entry"].to_pylist(), b["exit"].to_pylist())]
+            found = _arrow(*coder.paths(stretch))
+            yield pa.RecordBatch.from_arrays([b["key"], b["idx"], found.field("ids"), found.field("path_score")], ["key", "idx", "ids", "score"])
 
     chunks = texts.mapInPandas(cut, "key binary, idx long, part string").dropDuplicates(["key", "idx"])
-    done = chunks.join(states, ["key", "idx"]).mapInPandas(backtrace, "key binary, idx long, ids array<int>, score double")
+    done = chunks.join(states, ["key", "idx"]).mapInArrow(backtrace, "key binary, idx long, ids array<int>, score double")
     whole = done.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("idx", "ids"))).alias("parts"), F.sum("score").alias("path_score"))
     return whole.select("key", F.flatten(F.transform("parts", lambda p: p["ids"])).alias("ids"), "path_score")
 
@@ -214,9 +235,11 @@ def decode(df: DataFrame, model_path: str, ids_col: str = "ids", text_col: str =
     ``decode(encode(t))`` is ``t`` unless ``t`` holds U+2581, which comes back as a space."""
     sent = _sent(df.sparkSession, model_path)
 
-    def texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         coder = Encoder.here(sent)
         for ids in batches:
-            yield pd.Series([coder.text(x.tolist()) if x is not None else "" for x in ids], dtype=object)
+            flat = ids.flatten().to_numpy(zero_copy_only=False).tolist()
+            edges = np.concatenate([[0], np.cumsum(ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).tolist()
+            yield pa.array([coder.text(flat[a:z]) for a, z in zip(edges, edges[1:])], pa.string())
 
-    return df.withColumn(text_col, F.pandas_udf(texts, "string")(F.col(ids_col)))
+    return df.withColumn(text_col, F.arrow_udf(texts, "string")(F.col(ids_col)))
