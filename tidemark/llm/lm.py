@@ -104,7 +104,7 @@ def word_counts(docs: DataFrame, train: Column, text_col: str, group: Column, gr
     return parts.groupBy("word").agg(F.sum("total").alias("total"), *[F.sum(n).alias(n) for n in names])
 
 
-def fit(counts: DataFrame, ends: list[int], model: bytes, rounds: int = 3) -> SubwordModel:
+def fit(counts: DataFrame, ends: list[int], model: bytes, rounds: int = 1) -> SubwordModel:
     """Weights of every class by expectation maximisation over its training words: each round sums every piece's expected
     uses over all segmentations of all words, starting from the vocabulary's own scores.  Only one number per piece and
     class reaches the driver."""
@@ -180,7 +180,7 @@ def _classes(docs: DataFrame, train: Column, class_col: str | None, most: int) -
 
 def lm_scores(
     docs: DataFrame, model_path: str, train: Column, id_col: str = "doc_id", text_col: str = "text", class_col: str | None = None,
-    most_classes: int = 8, common: int = 100_000, rounds: int = 3,
+    most_classes: int = 8, common: int = 100_000, rounds: int = 1,
 ) -> DataFrame:
     """One row per row of ``docs``: id, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``.
 

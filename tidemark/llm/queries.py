@@ -26,9 +26,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's piece ids, and whether they decode to its text again."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = sentencepiece.encode(docs, PIECES)
-    back = sentencepiece.decode(coded, PIECES)
-    return back.select("doc_id", "ids", "n_tokens", "path_score", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+    return sentencepiece.encode(docs, PIECES).select("doc_id", "ids", "n_tokens", "path_score", "round_trip")
 
 
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

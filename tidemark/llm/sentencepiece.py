@@ -17,7 +17,7 @@ from tidemark.llm.common import fresh
 from tidemark.llm.lattice import NEG, SPACE, Lattice, Vocabulary, max_plus
 
 UNITS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-RESULT = ("ids", "n_tokens", "path_score")
+RESULT = ("ids", "n_tokens", "path_score", "round_trip")
 _ENCODERS: dict[int, Encoder] = {}
 
 
@@ -25,7 +25,7 @@ class Encoder:
     """Encodes texts in a Python worker.  Segmentations of short units are kept from batch to batch, in flat arrays, and dropped
     when there are more than ``kept`` of them."""
 
-    def __init__(self, model: bytes, kept: int = 250_000):
+    def __init__(self, model: bytes, kept: int = 100_000):
         self.vocab = Vocabulary.read(model)
         self.kept = kept
         self._forget()
@@ -95,15 +95,20 @@ class Encoder:
         out[:, : found.shape[1]] = found
         return out
 
+    def spells(self, flat: np.ndarray, edges: np.ndarray, marked: list[str]) -> np.ndarray:
+        """Whether the ids between the edges decode to the marked texts again."""
+        pieces, at = [self.bytes_of[i] for i in flat.tolist()], edges.tolist()
+        return np.array([b"".join(pieces[a:z]) == t.replace(SPACE, " ").encode("utf-8", "surrogatepass") for a, z, t in zip(at, at[1:], marked)], bool)
+
     def text(self, ids) -> str:
         """The text of ids: byte pieces joined, space marks back to spaces, the added first space removed."""
         raw = b"".join([self.bytes_of[i] for i in ids])
         return raw.decode("utf-8", "replace")[1:]
 
 
-def _arrow(flat: np.ndarray, edges: np.ndarray, scores: np.ndarray) -> pa.StructArray:
+def _arrow(flat: np.ndarray, edges: np.ndarray, scores: np.ndarray, same: np.ndarray) -> pa.StructArray:
     ids = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(flat, pa.int32()))
-    return pa.StructArray.from_arrays([ids, pa.array(scores)], ["ids", "path_score"])
+    return pa.StructArray.from_arrays([ids, pa.array(scores), pa.array(same)], ["ids", "path_score", "round_trip"])
 
 
 def mark(text: str) -> str:
@@ -118,7 +123,8 @@ def _sent(spark: SparkSession, model_path: str) -> Broadcast:
 
 
 def encode(docs: DataFrame, model_path: str, text_col: str = "text", chunk: int = 16_384, fan: int = 64) -> DataFrame:
-    """``docs`` with ``ids`` (array of int), ``n_tokens`` and ``path_score``, of the segmentation whose pieces' scores sum highest.
+    """``docs`` with ``ids`` (array of int), ``n_tokens``, ``path_score`` and ``round_trip`` (whether the ids decode to the text
+    again), of the segmentation whose pieces' scores sum highest.
 
     Any SentencePiece file with byte pieces serves; its pieces and scores are read as a unigram vocabulary.  Spaces become
     marks, one is put in front, nothing else is normalised; unknown characters are spelled in bytes.  Of equal scores the
@@ -139,14 +145,18 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", chunk: int
     def short(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         coder = Encoder.here(sent)
         for texts in batches:
-            yield _arrow(*coder.paths([mark(t) for t in texts.to_pylist()]))
+            plain = texts.to_pylist()
+            marked = [mark(t) for t in plain]
+            flat, edges, scores = coder.paths(marked)
+            same = coder.spells(flat, edges, marked) & np.array([SPACE not in t for t in plain], bool)
+            yield _arrow(flat, edges, scores, same)
 
-    small = docs.where(F.length(text) <= chunk).withColumn(key, F.arrow_udf(short, "ids array<int>, path_score double")(text))
+    small = docs.where(F.length(text) <= chunk).withColumn(key, F.arrow_udf(short, "ids array<int>, path_score double, round_trip boolean")(text))
     giant = docs.where(F.length(text) > chunk).withColumn(key, F.unhex(F.sha2(text, 256)))
     whole = _giants(giant.select(F.col(key).alias("key"), text.alias("text")), sent, chunk, fan)
-    out = small.select(*kept, F.col(key)["ids"].alias("ids"), F.size(F.col(key)["ids"]).cast("long").alias("n_tokens"), F.col(key)["path_score"].alias("path_score"))
+    out = small.select(*kept, F.col(key)["ids"].alias("ids"), F.size(F.col(key)["ids"]).cast("long").alias("n_tokens"), F.col(key)["path_score"].alias("path_score"), F.col(key)["round_trip"].alias("round_trip"))
     joined = giant.join(whole, giant[key] == whole["key"])
-    return out.unionByName(joined.select(*kept, "ids", F.size("ids").cast("long").alias("n_tokens"), "path_score"))
+    return out.unionByName(joined.select(*kept, "ids", F.size("ids").cast("long").alias("n_tokens"), "path_score", (F.col("same") & ~F.contains(text, F.lit(SPACE))).alias("round_trip")))
 
 
 def _giants(texts: DataFrame, sent: Broadcast, chunk: int, fan: int) -> DataFrame:
@@ -187,13 +197,14 @@ def _giants(texts: DataFrame, sent: Broadcast, chunk: int, fan: int) -> DataFram
         coder = Encoder.here(sent)
         for b in batches:
             stretch = [p[a:min(chunk, len(p)) + z] for p, a, z in zip(b["part"].to_pylist(), b["entry"].to_pylist(), b["exit"].to_pylist())]
-            found = _arrow(*coder.paths(stretch))
-            yield pa.RecordBatch.from_arrays([b["key"], b["idx"], found.field("ids"), found.field("path_score")], ["key", "idx", "ids", "score"])
+            flat, edges, scores = coder.paths(stretch)
+            found = _arrow(flat, edges, scores, coder.spells(flat, edges, stretch))
+            yield pa.RecordBatch.from_arrays([b["key"], b["idx"], *found.flatten()], ["key", "idx", "ids", "score", "same"])
 
     chunks = texts.mapInPandas(cut, "key binary, idx long, part string").dropDuplicates(["key", "idx"])
-    done = chunks.join(states, ["key", "idx"]).mapInArrow(backtrace, "key binary, idx long, ids array<int>, score double")
-    whole = done.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("idx", "ids"))).alias("parts"), F.sum("score").alias("path_score"))
-    return whole.select("key", F.flatten(F.transform("parts", lambda p: p["ids"])).alias("ids"), "path_score")
+    done = chunks.join(states, ["key", "idx"]).mapInArrow(backtrace, "key binary, idx long, ids array<int>, score double, same boolean")
+    whole = done.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("idx", "ids"))).alias("parts"), F.sum("score").alias("path_score"), F.min("same").alias("same"))
+    return whole.select("key", F.flatten(F.transform("parts", lambda p: p["ids"])).alias("ids"), "path_score", "same")
 
 
 def _matrices(pdf: pd.DataFrame) -> list[np.ndarray]:
