@@ -184,7 +184,7 @@ def _giants(texts: DataFrame, sent: Broadcast, chunk: int, fan: int) -> DataFram
     most = texts.agg(F.coalesce(F.max(F.length("text")), F.lit(0))).first()[0]
     count = -(-(most + 1) // chunk)
     while count > fan:
-        grouped = levels[-1].groupBy("key", F.floor(F.col("idx") / fan).alias("up"))
+        grouped = levels[-1].withColumn("up", F.floor(F.col("idx") / fan)).groupBy("key", "up")
         levels.append(grouped.applyInPandas(_combined, "key binary, idx long, n long, m binary"))
         count = -(-count // fan)
     states = levels[-1].withColumns({"entry": F.lit(0), "exit": F.lit(0)}).groupBy("key").applyInPandas(_settled, "key binary, idx long, entry int, exit int")
