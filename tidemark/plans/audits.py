@@ -205,12 +205,12 @@ def aud_19(v):
 
 
 @query("top_11", f"""WITH p AS (SELECT *, CASE WHEN liquidity >= 2 THEN liquidity END AS sparse FROM evidence_x), a AS ({_pr("session < DATE '2024-01-15'")}), b AS ({_pr("session >= DATE '2024-01-15' AND liquidity >= 3")})
-SELECT feature, round(greatest(abs(b.mean - a.mean) / greatest(abs(coalesce(a.std, 0)), 1e-6), abs(b.missing_rate - a.missing_rate)), 6) AS severity FROM a JOIN b USING (feature) ORDER BY severity DESC, feature LIMIT 3""", EX)
+SELECT feature, round(greatest(abs(b.mean - a.mean) / greatest(abs(coalesce(a.std, 0)), 1e-6), abs(b.missing_rate - a.missing_rate)), 6) AS severity FROM a JOIN b USING (feature) ORDER BY severity DESC, feature LIMIT 10""", EX)
 def top_11(v):
     """Largest drift rows."""
     d = v.evidence.withColumn("sparse", F.when(F.col("liquidity") >= 2, F.col("liquidity")))
     out = A.drift(profile(d.where("session >= date '2024-01-15' and liquidity >= 3"), _DF), profile(d.where("session < date '2024-01-15'"), _DF))
-    return out.select("feature", r(F.greatest("standardized_mean_shift", "missing_rate_delta"), "severity")).orderBy(F.desc("severity"), "feature").limit(3)
+    return out.select("feature", r(F.greatest("standardized_mean_shift", "missing_rate_delta"), "severity")).orderBy(F.desc("severity"), "feature").limit(10)
 
 
 @query("aud_20", """WITH e AS (SELECT * FROM news WHERE relevance >= 0.3), c AS (SELECT count(DISTINCT d.ticker) AS t, count(DISTINCT e.ticker) AS h, count(*) AS k FROM decisions_user d LEFT JOIN (SELECT DISTINCT ticker FROM e) e USING (ticker))

@@ -391,7 +391,7 @@ def jsn_01(v):
     """Provider id from the first present JSON key; malformed JSON is null."""
     e = F.col("event_id")
     key = F.when(e % 3 == 0, "id").otherwise("accession_number")
-    body = F.concat(F.lit('{"'), key, F.lit('":"e'), e.cast("string"), F.lit('",'), F.substring("props", 2, 100))
+    body = F.concat(F.lit('{"'), key, F.lit('":"e'), e.cast("string"), F.lit('",'), F.expr("substring(props, 2)"))
     raw = F.when(e % 3 == 2, "{not json").otherwise(body)
     return v.t("events").select("event_id", I.provider_event_id(raw).alias("provider_id"), n(I.json_text(raw, "$.k"), "k"))
 

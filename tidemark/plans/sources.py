@@ -218,10 +218,10 @@ def src_21(v):
     return d.select("doc_id", s("date"), F.regexp_extract("headline", r"\(([^()]+)\)\s*$", 1).alias("provider"))
 
 
-@query("src_22", """SELECT conv_id, turn, epoch_us(TIMESTAMP '2024-01-01' + to_minutes(CAST(conv_id AS INT))) AS timestamp, length(text) AS text_length, md5(substr(text, 1, 1000)) AS summary_digest, CAST(turn AS DOUBLE) AS engagement_score, CAST(0 AS DOUBLE) AS engagement_comments FROM conversations WHERE text = trim(text)""")
+@query("src_22", """SELECT conv_id, turn, epoch_us(TIMESTAMP '2024-01-01' + to_minutes(CAST(conv_id AS INT))) AS timestamp, length(trim(text)) AS text_length, md5(text) AS summary_digest, CAST(turn AS DOUBLE) AS engagement_score, CAST(0 AS DOUBLE) AS engagement_comments FROM conversations""")
 def src_22(v):
-    """Post payloads: epoch seconds, engagement defaults, 1,000-character summary beside the whole text."""
-    c = v.t("conversations").where("text = trim(text)")
+    """Post payloads: epoch seconds, engagement defaults, summary beside the trimmed text."""
+    c = v.t("conversations")
     created = F.unix_seconds(F.lit("2024-01-01 00:00:00").cast("timestamp")) + F.col("conv_id") * 60
     post = F.struct(F.struct(F.col("conv_id").cast("string").alias("id"), F.lit(None).cast("string").alias("title"), F.col("text").alias("selftext"), created.alias("created_utc"), F.col("turn").alias("score")).alias("data"))
     d = P.posts(c.select("conv_id", "turn", _json(F.struct(F.array(post).alias("children")).alias("data")).alias("payload")))

@@ -17,13 +17,16 @@ def use_utc(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: ``spark.checkpoint.dir``.
 
-    Only a session that names none (a local test) gets a temporary folder.
+    Only a local session that names none (a test) gets a temporary folder; on a cluster that is an error, because
+    executors and driver share no local folder.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir", None
     )
     if configured:
         return configured
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     made = tempfile.mkdtemp(prefix="spark-tidemark-")
     spark.conf.set("spark.checkpoint.dir", made)
     return made

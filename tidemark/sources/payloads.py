@@ -6,6 +6,7 @@ work is spread by payload and nothing is grouped.
 from __future__ import annotations
 
 import json
+import math
 import re
 
 import pandas as pd
@@ -74,7 +75,7 @@ def _flatten(text: str, max_depth: int, max_fields: int) -> dict[str, str]:
     return out
 
 
-def flat_scalars(payload: str = "payload", max_depth: int = 6, max_fields: int = 80) -> Column:
+def flat_scalars(payload: str = "payload", max_depth: float = math.inf, max_fields: float = math.inf) -> Column:
     """Nested JSON to a flat map: ``a_b`` for scalars, ``a_count`` and ``a_first_*`` for lists."""
 
     @F.pandas_udf("map<string,string>")
@@ -152,7 +153,7 @@ def index_changes(df: DataFrame, html: str = "html") -> DataFrame:
     head = F.element_at("_rows", 1)
     need = ("Effective Date", "Index Name", "Action", "Company Name", "Ticker", "GICS Sector")
     t = t.where((F.size("_rows") > 1) & F.array_contains(F.transform(F.array(*[F.lit(x) for x in need]), lambda x: F.array_contains(F.element_at(F.col("_rows"), 1), x)), F.lit(False)).__invert__())
-    t = t.withColumns({"_h": head, "page_sha256": F.sha2(html, 256)}).select("*", F.explode(F.slice("_rows", 2, 1_000_000)).alias("_r")).where(F.size("_r") >= F.size("_h"))
+    t = t.withColumns({"_h": head, "page_sha256": F.sha2(html, 256)}).select("*", F.explode(F.slice("_rows", F.lit(2), F.greatest(F.size("_rows"), F.lit(0)))).alias("_r")).where(F.size("_r") >= F.size("_h"))
     at = lambda name: F.element_at("_r", F.array_position("_h", F.lit(name)).cast("int"))
     out = t.withColumns({
         "_index": F.trim(F.replace(at("Index Name"), F.lit("®"), F.lit(""))), "action": F.lower(at("Action")), "ticker": clean_ticker(at("Ticker")), "company": at("Company Name"),
@@ -163,13 +164,13 @@ def index_changes(df: DataFrame, html: str = "html") -> DataFrame:
 
 
 def posts(df: DataFrame, payload: str = "payload") -> DataFrame:
-    """Posts with engagement, epoch seconds to UTC, 1,000-character summary."""
+    """Posts with engagement, epoch seconds to UTC, the whole text as summary."""
     schema = "struct<data: struct<children: array<struct<data: struct<id:string,title:string,selftext:string,created_utc:double,score:double,num_comments:double,upvote_ratio:double,permalink:string>>>>>"
     c = df.select("*", F.explode(F.from_json(payload, schema)["data"]["children"]).alias("_c")).drop(payload)
     d = F.col("_c.data")
     z = lambda x: F.coalesce(x, F.lit(0.0))
     return c.withColumns({
-        "post_id": d["id"], "timestamp": F.timestamp_micros((d["created_utc"] * 1_000_000).cast("long")), "title": F.coalesce(d["title"], F.lit("")), "summary": F.substring(d["selftext"], 1, 1000),
+        "post_id": d["id"], "timestamp": F.timestamp_micros((d["created_utc"] * 1_000_000).cast("long")), "title": F.coalesce(d["title"], F.lit("")), "summary": d["selftext"],
         "text": F.trim(F.concat_ws(" ", d["title"], d["selftext"])), "engagement_score": z(d["score"]), "engagement_comments": z(d["num_comments"]), "engagement_upvote_ratio": z(d["upvote_ratio"])}).drop("_c")
 
 
