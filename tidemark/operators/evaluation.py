@@ -75,7 +75,7 @@ def ndcg(df: DataFrame, group: Sequence[str], score: str, gain: str, k: int) ->
 
 def profit_factor(ret: str) -> Column:
     gains, losses = F.sum(F.when(F.col(ret) > 0, F.col(ret)).otherwise(0.0)), -F.sum(F.when(F.col(ret) < 0, F.col(ret)).otherwise(0.0))
-    return F.when(losses > 0, gains / losses)
+    return F.when(losses > 0, gains / losses).when(gains > 0, gains / 1e-12)
 
 
 def period_returns(trades: DataFrame, keys: Sequence[str], session: str, group: str, ret: str) -> DataFrame:

@@ -64,7 +64,7 @@ def _econ_sql(keys: str, trades: str, group: str = "group_id", extra: str = "")
  eq AS (SELECT *, product(1 + sr) OVER (PARTITION BY {k} ORDER BY session ROWS UNBOUNDED PRECEDING) AS e FROM ps),
  dd AS (SELECT *, e / max(e) OVER (PARTITION BY {k} ORDER BY session ROWS UNBOUNDED PRECEDING) - 1 AS d FROM eq),
  ss AS (SELECT {k}, arg_max(e, session) - 1 AS cum, abs(min(d)) AS mdd, avg(CAST(sr < 0 AS INT)) AS neg, count(*) AS sessions FROM dd GROUP BY ALL),
- ec AS (SELECT {k}, selected_trades, selected_decision_groups, m AS avg_trade_return, wr AS win_rate, CASE WHEN lo > 0 THEN ga / lo END AS profit_factor, cum AS cumulative_return,
+ ec AS (SELECT {k}, selected_trades, selected_decision_groups, m AS avg_trade_return, wr AS win_rate, CASE WHEN lo > 0 THEN ga / lo WHEN ga > 0 THEN ga / 1e-12 END AS profit_factor, cum AS cumulative_return,
    mdd AS max_drawdown, neg AS negative_session_rate, sessions, cum / nullif(mdd, 0) AS return_drawdown_ratio{', ex AS avg_excess_return' if extra else ''} FROM bs JOIN ss {on})"""
 
 

@@ -223,7 +223,7 @@ def jon_14(v):
     return out.select("ticker", s("date"), r("market_return"), r("sector_return"))
 
 
-@query("jon_17", """WITH p AS (SELECT ticker, session, round(score, 9) AS opportunity FROM evidence),
+@query("jon_17", """WITH p AS (SELECT ticker, session, score AS opportunity FROM evidence),
  q AS (SELECT ticker, session, downside FROM evidence WHERE regime <> 'risk_off'),
  c AS (SELECT session, avg(downside) AS base FROM evidence GROUP BY 1)
 SELECT p.ticker, CAST(p.session AS VARCHAR) AS session, round(p.opportunity, 6) AS p_opportunity, round(q.downside, 6) AS p_downside,
@@ -232,7 +232,7 @@ FROM p LEFT JOIN q USING (ticker, session) LEFT JOIN c USING (session)""", ("evi
 def jon_17(v):
     """Opportunity, downside and calibration outputs joined one to one, with a completeness flag."""
     e = v.evidence
-    p = e.select("ticker", "session", F.round("score", 9).alias("opportunity"))
+    p = e.select("ticker", "session", F.col("score").alias("opportunity"))
     q = e.where("regime <> 'risk_off'").select("ticker", "session", "downside")
     c = e.groupBy("session").agg(F.avg("downside").alias("base"))
     return p.join(q, ["ticker", "session"], "left").join(c, "session", "left").select(
