@@ -15,7 +15,8 @@ from tidemark.plans.registry import query
 from tidemark.sources.views import bars
 
 EX = ("evidence_x",)
-SENT = F.coalesce("sentiment", F.lit(0.0))
+def sent():
+    return F.coalesce("sentiment", F.lit(0.0))
 DAYK = ("ticker", F.to_date("first_seen").alias("date"))
 
 
@@ -70,7 +71,7 @@ SELECT CAST(date AS VARCHAR) AS date, c AS market_context_news_count, round(m, 6
  round(m - m5, 6) AS market_context_sentiment_momentum_5d FROM z""", ("news",))
 def agg_05(v):
     """Market-context daily aggregate with 30-row z-score and 5-row momentum (one row per date)."""
-    d = v.news.where("k % 10 = 0").groupBy(F.to_date("first_seen").alias("date")).agg(F.count(F.lit(1)).alias("c"), F.avg(SENT).alias("m"))
+    d = v.news.where("k % 10 = 0").groupBy(F.to_date("first_seen").alias("date")).agg(F.count(F.lit(1)).alias("c"), F.avg(sent()).alias("m"))
     w = Window.partitionBy(F.lit(0)).orderBy("date")
     w30 = w.rowsBetween(-29, 0)
     z = d.withColumns({"k": F.count("c").over(w30), "a": F.avg("c").over(w30), "sd": F.stddev_samp("c").over(w30), "m5": F.avg("m").over(w.rowsBetween(-4, 0))})
