@@ -178,40 +178,41 @@ def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
     return members.join(components(links), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
 
 
-def _likely(shared: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``a, b`` of sizes ``na, nb`` that can reach the likeness, given ``o`` shared shingles in their prefixes, the last
-    at places ``la`` and ``lb``.  Both hold their shingles in one order, so only what follows the last shared place can be
+def _likely(shared: DataFrame, ends: DataFrame, percent: int) -> DataFrame:
+    """The pairs of classes ``a, b`` that can reach the likeness, of those keyed ``a, na, b, nb`` (key and set size), given ``o``
+    shared shingles in their prefixes, the last at places ``la`` and ``lb``.  ``ends``: class and prefix end of ``key, n``.  Both hold their shingles in one order, so only what follows the last shared place can be
     shared too; and the prefix that ends first in that order was compared whole, so of that set only the rest."""
     need = F.ceil((F.col("na") + F.col("nb")) * percent / (100.0 + percent) - 1e-9)
     # the smaller set's rest is a bound that needs no further look at the pair
     rough = F.col("o") + F.least(F.col("na") - F.col("la") - 1, F.col("nb") - F.col("lb") - 1, F.ceil(F.greatest("na", "nb") * percent / 100.0 - 1e-9) - 1)
     pairs = shared.where(rough >= need)
     for side in "ab":
-        pairs = pairs.join(members.select(F.col("cls").alias(side), F.col("ends").alias(f"ends_{side}")), side)
+        pairs = pairs.join(ends.select(F.col("key").alias(side), F.col("n").alias(f"n{side}"), F.col("cls").alias(f"cls_{side}"), F.col("ends").alias(f"ends_{side}")), [side, f"n{side}"])
     first = F.when(F.col("ends_a") <= F.col("ends_b"), F.col("na")).otherwise(F.col("nb"))
-    return pairs.where(F.col("o") + F.ceil(first * percent / 100.0 - 1e-9) - 1 >= need).select("a", "b")
+    return pairs.where(F.col("o") + F.ceil(first * percent / 100.0 - 1e-9) - 1 >= need).select(F.least("cls_a", "cls_b").alias("a"), F.greatest("cls_a", "cls_b").alias("b"))
 
 
-def _mixed(entries: DataFrame, key: list[str]) -> DataFrame:
-    """Entries of the lists that hold several components."""
-    several = entries.groupBy(*key).agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select(*key)
-    return entries.join(several, key, "left_semi")
+def _mixed(lists: DataFrame, labels: DataFrame, key: list[str]) -> DataFrame:
+    """The entries, groups still, of the lists that hold several components."""
+    spans = labels.groupBy(*key).agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
+    several = lists.select("s", *key).join(spans, key).groupBy("s").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("s")
+    return lists.join(several, "s", "left_semi")
 
 
-def _sparse(entries: DataFrame, members: DataFrame, percent: int, seed: int) -> DataFrame:
-    """Few pairs of different components: in every list and size band each entry meets the first and the one before it in a
+def _sparse(entries: DataFrame, ends: DataFrame, percent: int, seed: int) -> DataFrame:
+    """Few pairs of different components, entries being groups or classes (``key``): in every list and size band each entry meets the first and the one before it in a
     seeded order.  Lists where a pair does not meet are not counted for its bound, so this may drop pairs that the last
     round looks at again."""
-    place = F.struct("cls", "comp", "n", "at")
-    order = Window.partitionBy("s", "band").orderBy(F.xxhash64(F.lit(seed), "cls"), "cls")
+    place = F.struct("key", "comp", "n", "at")
+    order = Window.partitionBy("s", "band").orderBy(F.xxhash64(F.lit(seed), "key"), "key")
     met = entries.select(F.first(place).over(order).alias("x"), F.lag(place).over(order).alias("y"), place.alias("z"))
     met = met.select("z", F.explode(F.array_distinct(F.array("x", "y"))).alias("x")).where(F.col("x.comp") != F.col("z.comp"))
-    first = F.col("x.cls") < F.col("z.cls")
-    pick = {f"{c}{k}": F.when(first if k == "a" else ~first, F.col(f"x.{c}")).otherwise(F.col(f"z.{c}")) for c in ("cls", "n", "at") for k in "ab"}
-    shared = met.select(*[c.alias(k) for k, c in pick.items()]).groupBy(F.col("clsa").alias("a"), F.col("clsb").alias("b"), "na", "nb").agg(
+    first = F.col("x.key") < F.col("z.key")
+    pick = {f"{c}{k}": F.when(first if k == "a" else ~first, F.col(f"x.{c}")).otherwise(F.col(f"z.{c}")) for c in ("key", "n", "at") for k in "ab"}
+    shared = met.select(*[c.alias(k) for k, c in pick.items()]).groupBy(F.col("keya").alias("a"), F.col("keyb").alias("b"), "na", "nb").agg(
         F.count(F.lit(1)).alias("o"), F.max("ata").alias("la"), F.max("atb").alias("lb")
     )
-    return _likely(shared.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent), members, percent)
+    return _likely(shared.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent), ends, percent)
 
 
 def _across(entries: DataFrame, key: list[str], meet: Column | None = None) -> DataFrame:
@@ -252,7 +253,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     key = ["grp", "n"]
     members = signed.where("n > 0").groupBy("cls", *key).agg(F.min("p").alias("p"), F.min(F.struct("tail", "end")).alias("ends"))  # every different set
     members = written(members, "classes")
-    groups = members.groupBy(*key).agg(F.min("cls").alias("rep"))
+    groups = members.groupBy(*key).agg(F.min("cls").alias("rep"), F.min("ends").alias("ends"))  # one prefix has one end
+    ends = members.select(F.col("cls").alias("key"), "n", "cls", "ends")
 
     # lists: the groups of a shingle, by size band; a list of one group is dropped
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
@@ -263,33 +265,36 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     seen = postings.withColumns({"before": F.lag(entry).over(in_list), "low": F.first(entry).over(whole), "high": F.last(entry).over(whole)})
     live = seen.where((F.col("low") != F.col("high")) & ~F.coalesce(F.col("before") == entry, F.lit(False)))
     live = written(live.select("s", *key, "at", band.alias("band")), "lists")
-    inside = members.join(groups, key).where(F.col("cls") != F.col("rep")).select(F.col("rep").alias("a"), F.col("cls").alias("b"))
-    reps = live.join(groups.select(*key, F.col("rep").alias("cls"), F.col("rep").alias("comp")), key)
-    pairs = written(_sparse(reps, members, percent, 0).unionAll(inside).distinct(), "pairs")
+    inside = members.select("cls", *key).join(groups, key).where(F.col("cls") != F.col("rep")).select(F.col("rep").alias("a"), F.col("cls").alias("b"))
+    apart = live.select("s", "band", F.col("grp").alias("key"), F.col("grp").alias("comp"), "n", "at")
+    pairs = _sparse(apart, groups.select(F.col("grp").alias("key"), "n", F.col("rep").alias("cls"), "ends"), percent, 0)
+    pairs = written(pairs.unionAll(inside).distinct(), "pairs")
 
     def sets(wanted: DataFrame) -> DataFrame:
         return _sets(docs, id_col, text_col, size, wanted)
 
     links = _verified(pairs, members, percent, sets)
 
-    # what is still apart in some list meets others there, in another order
-    labels = written(_labelled(members, links), "labelled")
-    more = written(_sparse(_mixed(live.join(labels, key), ["s"]), members, percent, 1).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    # what is still apart in some list meets others there, in another order; a list of one component stays one
+    labels = written(_labelled(members.select("cls", *key), links), "labelled")
+    live = written(_mixed(live, labels, key), "mixed-lists")
+    more = written(_sparse(live.join(labels, key).withColumn("key", F.col("cls")), ends, percent, 1).join(pairs, ["a", "b"], "left_anti"), "pairs")
     if not more.isEmpty():
         pairs, links = pairs.unionAll(more), links.unionAll(_verified(more, members, percent, sets))
-        labels = written(_labelled(members, links), "labelled")
+        labels = written(_labelled(members.select("cls", *key), links), "labelled")
 
     # last round: all pairs of a list in different components
-    entries = written(_mixed(live.join(labels, key), ["s"]), "entries")
+    live = written(_mixed(live, labels, key), "mixed-lists")
+    entries = written(live.join(labels, key).select("s", "band", "cls", "comp", "n", "at"), "entries")
     cross = _across(entries, ["s"], F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))
     cross = cross.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
     shared = cross.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("o"), F.max("ata").alias("la"), F.max("atb").alias("lb"))
-    close = _likely(shared, members, percent)
+    close = _likely(shared, ends, percent)
     within = _across(labels.withColumn("at", F.lit(0)), key).select("a", "b")
     rest = written(close.unionAll(within).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
     if not rest.isEmpty():
         links = links.unionAll(_verified(rest, members, percent, sets))
-        labels = _labelled(members, links)
+        labels = _labelled(members.select("cls", *key), links)
 
     degree = links.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count(F.lit(1)).alias("n_links"))
     rows = signed.select("id", "n", "cls")
