@@ -18,17 +18,20 @@ def prepare(features: Sequence[str]) -> list:
             StandardScaler(inputCol="_raw", outputCol="features", withMean=True)]
 
 
-def estimator(kind: str, target: str, weight: str | None, seed: int = 42) -> Estimator:
-    """logistic, boosted, trees (forest in place of extra-trees) or ranker (boosted regression on grades)."""
+def estimator(kind: str, target: str, weight: str | None, seed: int = 42, rounds: int = 150, step: float = 0.05, depth: int = 5, iterations: int = 1_000) -> Estimator:
+    """logistic, boosted, trees (forest in place of extra-trees) or ranker (boosted regression on grades).
+
+    ``rounds``: boosting rounds of ``step``, or trees of the forest, ``depth`` deep; ``iterations``: of the logistic fit at most.
+    """
     common = {"featuresCol": "features", "labelCol": target} | ({"weightCol": weight} if weight else {})
     if kind == "logistic":
-        return LogisticRegression(maxIter=25, regParam=0.01, **common)
+        return LogisticRegression(maxIter=iterations, regParam=0.01, **common)
     if kind == "boosted":
-        return GBTClassifier(maxIter=10, maxDepth=3, seed=seed, **common)
+        return GBTClassifier(maxIter=rounds, stepSize=step, maxDepth=depth, seed=seed, **common)
     if kind == "trees":
-        return RandomForestClassifier(numTrees=20, maxDepth=5, seed=seed, **common)
+        return RandomForestClassifier(numTrees=rounds, maxDepth=depth, seed=seed, **common)
     if kind == "ranker":
-        return GBTRegressor(maxIter=10, maxDepth=3, seed=seed, **common)
+        return GBTRegressor(maxIter=rounds, stepSize=step, maxDepth=depth, seed=seed, **common)
     raise ValueError(f"unknown model kind {kind!r}")
 
 
@@ -40,8 +43,11 @@ def balanced_weight(df: DataFrame, target: str, weight: str, out: str = "class_w
     return df.join(F.broadcast(c), target).withColumn(out, F.col(weight) * F.col("_w")).drop("_w")  # one row per class
 
 
-def fit(df: DataFrame, features: Sequence[str], kind: str, target: str, weight: str | None = None) -> PipelineModel:
-    return Pipeline(stages=[*prepare(features), estimator(kind, target, weight)]).fit(df)
+def fit(df: DataFrame, features: Sequence[str], kind: str, target: str, weight: str | None = None, **options) -> PipelineModel:
+    """Classifiers balance the two classes by the rows they are fit on, so no other row's label reaches a model."""
+    if weight and kind != "ranker":
+        df, weight = balanced_weight(df, target, weight, "_balanced"), "_balanced"
+    return Pipeline(stages=[*prepare(features), estimator(kind, target, weight, **options)]).fit(df)
 
 
 def score(model: PipelineModel, df: DataFrame, required: Sequence[str], out: str = "probability_up") -> DataFrame:
@@ -55,7 +61,7 @@ def score(model: PipelineModel, df: DataFrame, required: Sequence[str], out: str
 
 
 def out_of_fold(rows: DataFrame, features: Sequence[str], kind: str, target: str, folds: Sequence[int], weight: str | None = None,
-                holdout: str | None = None) -> DataFrame:
+                holdout: str | None = None, **options) -> DataFrame:
     """Fold loop (a handful of folds): fit on purged training rows, score the fold's test rows and the ticker holdout.
 
     ``rows`` carries fold and role (see splits.causal_rows); rows of the
@@ -65,7 +71,7 @@ def out_of_fold(rows: DataFrame, features: Sequence[str], kind: str, target: str
     for k in folds:
         fold = rows.where(F.col("fold") == k)
         train = fold.where("role = 'train'") if holdout is None else fold.where((F.col("role") == "train") & ~F.col(holdout))
-        model = fit(train, features, kind, target, weight)
+        model = fit(train, features, kind, target, weight, **options)
         parts.append(score(model, fold.where("role = 'test'"), features))
     out = parts[0]
     for p in parts[1:]:

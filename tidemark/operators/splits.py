@@ -48,11 +48,11 @@ def causal_rows(frame: DataFrame, plan: DataFrame, session: str, decision: str,
 
 
 def calibration_split(frame: DataFrame, session: str, fraction: float) -> DataFrame:
-    """Session-disjoint halves: the first ``fraction`` of sessions fits, the rest evaluates."""
+    """Session-disjoint halves: the first ``fraction`` of sessions fits, two at least, the rest, two at least, evaluates."""
     s = frame.select(session).distinct()
     order = Window.partitionBy(F.lit(0)).orderBy(session)
     s = s.withColumns({"_i": F.row_number().over(order), "_n": F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))})
-    part = F.when(F.col("_i") <= F.greatest(F.lit(1), F.floor(F.col("_n") * fraction)), "calibrate").otherwise("evaluate")
+    part = F.when(F.col("_i") <= F.least(F.col("_n") - 2, F.greatest(F.lit(2), F.floor(F.col("_n") * fraction))), "calibrate").otherwise("evaluate")
     return frame.join(s.select(session, part.alias("part")), session)
 
 

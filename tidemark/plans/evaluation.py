@@ -139,12 +139,12 @@ def boot_sql(blocks: str, it: int, seed: int) -> str:
  ci AS (SELECT quantile_cont(v, 0.025) AS low, quantile_cont(v, 0.975) AS high FROM sa), pt AS (SELECT sum(t) / sum(c) AS point FROM bl)"""
 
 
-@query("evl_08", f"""WITH {SEL}, b0 AS (SELECT session, sum(ret) AS t, count(ret)::DOUBLE AS c FROM sel GROUP BY 1), {boot_sql('b0', 200, 42)}
+@query("evl_08", f"""WITH {SEL}, b0 AS (SELECT session, sum(ret) AS t, count(ret)::DOUBLE AS c FROM sel GROUP BY 1), {boot_sql('b0', 1000, 42)}
 SELECT round(point, 6) AS point, round(low, 6) AS low, round(high, 6) AS high FROM pt, ci""", EX)
 def evl_08(v):
     """Session-block bootstrap interval of the mean trade return."""
     b = selected(v).groupBy("session").agg(F.sum("ret").alias("t"), F.count("ret").cast("double").alias("c"))
-    return V.bootstrap(b, [], "session", "t", "c", 200, 42).select(r("point"), r("low"), r("high"))
+    return V.bootstrap(b, [], "session", "t", "c", 1000, 42).select(r("point"), r("low"), r("high"))
 
 
 @query("evl_09", f"""WITH RECURSIVE {_NDCG}, nn AS (SELECT avg(CASE WHEN ideal > 0 THEN dcg / ideal ELSE 0 END) AS m, count(*) AS k FROM nd WHERE rows >= 2),
@@ -171,7 +171,7 @@ def evl_09(v):
 @query("evl_10", f"""WITH sb AS (SELECT * FROM evidence_x QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY score DESC, ticker) <= 10),
  so AS (SELECT * FROM evidence_x WHERE downside <= 0.95 QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY score + 0.1::DOUBLE * downside DESC, ticker) <= 10),
  p AS (SELECT session, avg(b.m) AS base, avg(o.m) AS overlay FROM (SELECT group_id, session, avg(ret) AS m FROM sb GROUP BY 1, 2) b JOIN (SELECT group_id, session, avg(ret) AS m FROM so GROUP BY 1, 2) o USING (group_id, session) GROUP BY 1),
- b0 AS (SELECT session, overlay - base AS t, 1.0::DOUBLE AS c FROM p), {boot_sql('b0', 200, 7)}
+ b0 AS (SELECT session, overlay - base AS t, 1.0::DOUBLE AS c FROM p), {boot_sql('b0', 1000, 7)}
 SELECT round((SELECT avg(base) FROM p), 6) AS baseline_mean, round((SELECT avg(overlay) FROM p), 6) AS overlay_mean, round(point, 6) AS delta, round(low, 6) AS delta_low, round(high, 6) AS delta_high FROM pt, ci""", EX)
 def evl_10(v):
     """Paired ablation: baseline against overlay selection with a paired interval."""
@@ -180,7 +180,7 @@ def evl_10(v):
     over = X.top_k(e.where("downside <= 0.95"), ["group_id"], [F.desc("adj"), F.col("ticker")], 10).groupBy("group_id", "session").agg(F.avg("ret").alias("o"))
     p = base.join(over, ["group_id", "session"]).groupBy("session").agg(F.avg("b").alias("b"), F.avg("o").alias("o"))
     means = p.agg(r(F.avg("b"), "baseline_mean"), r(F.avg("o"), "overlay_mean"))
-    ci = V.bootstrap(p.select("session", (F.col("o") - F.col("b")).alias("t"), F.lit(1.0).alias("c")), [], "session", "t", "c", 200, 7)
+    ci = V.bootstrap(p.select("session", (F.col("o") - F.col("b")).alias("t"), F.lit(1.0).alias("c")), [], "session", "t", "c", 1000, 7)
     return means.join(F.broadcast(ci)).select("baseline_mean", "overlay_mean", r("point", "delta"), r("low", "delta_low"), r("high", "delta_high"))  # one-row aggregates
 
 

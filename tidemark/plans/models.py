@@ -51,7 +51,7 @@ def spl_03(v):
 
 
 @query("spl_04", """WITH ss AS (SELECT session, row_number() OVER (ORDER BY session) AS i, count(*) OVER () AS n FROM (SELECT DISTINCT session FROM evidence_x))
-SELECT CASE WHEN i <= greatest(1, floor(n * 0.6::DOUBLE)) THEN 'calibrate' ELSE 'evaluate' END AS part, count(*) AS rows, count(DISTINCT e.session) AS sessions FROM evidence_x e JOIN ss USING (session) GROUP BY 1""", EX)
+SELECT CASE WHEN i <= least(n - 2, greatest(2, floor(n * 0.6::DOUBLE))) THEN 'calibrate' ELSE 'evaluate' END AS part, count(*) AS rows, count(DISTINCT e.session) AS sessions FROM evidence_x e JOIN ss USING (session) GROUP BY 1""", EX)
 def spl_04(v):
     """Session-disjoint calibration split."""
     return P.calibration_split(v.evidence, "session", 0.6).groupBy("part").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("session").alias("sessions"))
@@ -74,15 +74,24 @@ def training(v):
     return d.withColumn("downside", F.when(F.col("liquidity") >= 2, F.col("downside")))
 
 
-def scored(v, kind: str, target: str = "target", folds=(0, 1)):
-    rows = P.causal_rows(training(v), plan(v), "session", "decision_time", "label_available")
-    if kind == "logistic":
-        rows = M.balanced_weight(rows, target, "overlap_weight", "w")
-    else:
-        rows = rows.withColumn("w", F.col("overlap_weight"))
+FOLDS = (0, 1, 2, 3)
+
+
+def scored(v, kind: str, target: str = "target", **options):
+    rows = P.causal_rows(training(v), plan(v), "session", "decision_time", "label_available").withColumn("w", F.col("overlap_weight"))
     # estimators pass over their input many times: cut the lineage once, in the shared folder
     rows = settled(rows.select("ticker", "group_id", "scope", "fold", "role", "holdout", "decision_time", "label_available", "grade", "target", "w", *FEATURES))
-    return M.out_of_fold(rows, FEATURES, kind, target, folds, "w", "holdout")
+    return M.out_of_fold(rows, FEATURES, kind, target, FOLDS, "w", "holdout", **options)
+
+
+def latest_model(v):
+    """A logistic model of the last fold's purged training rows, and all rows from that fold's first test session on."""
+    d = training(v)
+    fold = P.causal_rows(d, plan(v), "session", "decision_time", "label_available").where(F.col("fold") == FOLDS[-1])
+    fold = settled(fold.select("session", "role", "target", "overlap_weight", *FEATURES))
+    cut = fold.where("role = 'test'").agg(F.min("session").alias("_cut"))
+    later = d.join(F.broadcast(cut)).where("session >= _cut").drop("_cut")  # one-row aggregate
+    return M.fit(fold.where("role = 'train'"), FEATURES, "logistic", "target", "overlap_weight"), later
 
 
 def shown(df):
@@ -98,31 +107,31 @@ def mlt_01(v):
 @query("mlt_02")
 def mlt_02(v):
     """Overlap-weighted gradient-boosted classifier; out-of-fold scores."""
-    return shown(scored(v, "boosted", folds=(0,)))
+    return shown(scored(v, "boosted", rounds=10))
 
 
 @query("mlt_03")
 def mlt_03(v):
     """Random forest (stands in for extra-trees); out-of-fold scores."""
-    return shown(scored(v, "trees", folds=(0,)))
+    return shown(scored(v, "trees", rounds=20))
 
 
 @query("mlt_04")
 def mlt_04(v):
     """Pointwise boosted ranker on grades, judged by NDCG@10 per group."""
-    return V.ndcg(scored(v, "ranker", "grade", folds=(0,)), ["group_id"], "probability_up", "grade", 10).select("group_id", "rows", r("ndcg"))
+    return V.ndcg(scored(v, "ranker", "grade", rounds=10), ["group_id"], "probability_up", "grade", 10).select("group_id", "rows", r("ndcg"))
 
 
 @query("mlt_05")
 def mlt_05(v):
     """Fold loop with a ticker holdout that never trains: rows and mean score per fold and scope."""
-    return scored(v, "logistic", folds=(0, 1, 2, 3)).groupBy(n("fold"), "scope").agg(F.count(F.lit(1)).alias("rows"), r(F.avg("probability_up"), "mean_probability"))
+    return scored(v, "logistic").groupBy(n("fold"), "scope").agg(F.count(F.lit(1)).alias("rows"), r(F.avg("probability_up"), "mean_probability"))
 
 
 @query("mlt_06")
 def mlt_06(v):
     """Isotonic calibration from earlier folds only."""
-    out = M.prior_fold_calibration(scored(v, "logistic", folds=(0, 1, 2)), (0, 1, 2), "probability_up", "target", "decision_time", "label_available")
+    out = M.prior_fold_calibration(scored(v, "logistic"), FOLDS, "probability_up", "target", "decision_time", "label_available")
     return out.select("ticker", "group_id", n("fold"), r("probability_up"), r("calibrated"))
 
 
@@ -137,9 +146,8 @@ def mlt_07(v):
 @query("mlt_08")
 def mlt_08(v):
     """Batch scoring with the schema check."""
-    d = settled(training(v))
-    m = M.fit(d.where("session < date '2024-01-20'"), FEATURES, "logistic", "target", "overlap_weight")
-    return M.score(m, d.where("session >= date '2024-01-20'"), FEATURES).select("ticker", "group_id", r("probability_up"), n("prediction"))
+    m, later = latest_model(v)
+    return M.score(m, later, FEATURES).select("ticker", "group_id", r("probability_up"), n("prediction"))
 
 
 @query("mlt_09")
@@ -152,9 +160,8 @@ def mlt_09(v):
 @query("top_14")
 def top_14(v):
     """Latest row per ticker, scored and ordered by probability."""
-    d = settled(training(v))
-    m = M.fit(d.where("session < date '2024-01-20'"), FEATURES, "logistic", "target", "overlap_weight")
-    last = X.latest_per_key(d, ["ticker"], "session")
+    m, later = latest_model(v)
+    last = X.latest_per_key(later, ["ticker"], "session")
     return M.score(m, last, FEATURES).select("ticker", s("session"), r("probability_up")).orderBy(F.desc("probability_up"), "ticker")
 
 
@@ -172,7 +179,7 @@ def udf_01(v):
 
 
 @query("udf_04", """WITH b AS (SELECT session, sum(ret) AS t, count(*) AS c, max(ret) AS m FROM evidence_x GROUP BY 1), bl AS (SELECT *, row_number() OVER (ORDER BY session) - 1 AS pos, count(*) OVER () AS n FROM b),
- dr AS (SELECT i, CAST('0x' || substr(md5('42:' || i || ':' || pos), 1, 8) AS BIGINT) % n AS pick FROM bl, range(100) z(i)), sa AS (SELECT i, max(m) - sum(t) / sum(c) AS v FROM dr JOIN bl ON bl.pos = dr.pick GROUP BY 1)
+ dr AS (SELECT i, CAST('0x' || substr(md5('42:' || i || ':' || pos), 1, 8) AS BIGINT) % n AS pick FROM bl, range(1000) z(i)), sa AS (SELECT i, max(m) - sum(t) / sum(c) AS v FROM dr JOIN bl ON bl.pos = dr.pick GROUP BY 1)
 SELECT i AS iteration, round(v, 6) AS metric FROM sa""", EX)
 def udf_04(v):
     """User metric over resampled session blocks, one pandas call per iteration on block summaries."""
@@ -182,7 +189,7 @@ def udf_04(v):
     b = v.evidence.groupBy("session").agg(F.sum("ret").alias("t"), F.count(F.lit(1)).cast("double").alias("c"), F.max("ret").alias("m"))
     w = Window.partitionBy(F.lit(0))
     b = b.withColumns({"pos": F.row_number().over(w.orderBy("session")) - 1, "n": F.count(F.lit(1)).over(w)})  # one row per session
-    draws = b.select("pos", "n", F.explode(F.sequence(F.lit(0), F.lit(99))).alias("iteration"))
+    draws = b.select("pos", "n", F.explode(F.sequence(F.lit(0), F.lit(999))).alias("iteration"))
     h = F.md5(F.concat_ws(":", F.lit("42"), F.col("iteration").cast("string"), F.col("pos").cast("string")))
     picks = draws.select("iteration", F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("long"), F.col("n")).alias("pos")).join(b.select("pos", "t", "c", "m"), "pos")
 

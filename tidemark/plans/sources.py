@@ -176,10 +176,10 @@ def src_17(v):
     return d.select("ticker", us("timestamp"), r("open"), r("close"), "volume", "price_feed")
 
 
-@query("src_18", "SELECT 'P' || p_partkey AS old_symbol, 'Q' || p_partkey AS new_symbol, CAST(DATE '2020-01-01' + CAST(p_size AS INT) AS VARCHAR) AS process_date FROM part WHERE p_size > 25")
+@query("src_18", "SELECT 'P' || p_partkey AS old_symbol, 'Q' || p_partkey AS new_symbol, CAST(DATE '2020-01-01' + CAST(p_size AS INT) AS VARCHAR) AS process_date FROM part")
 def src_18(v):
     """Symbol-change rows, ordered by date then symbol."""
-    d = v.t("part").where("p_size > 25").select(F.concat(F.lit("P"), "p_partkey").alias("old_symbol"), F.concat(F.lit("Q"), "p_partkey").alias("new_symbol"), s(F.date_add(F.lit("2020-01-01").cast("date"), F.col("p_size")), "process_date"))
+    d = v.t("part").select(F.concat(F.lit("P"), "p_partkey").alias("old_symbol"), F.concat(F.lit("Q"), "p_partkey").alias("new_symbol"), s(F.date_add(F.lit("2020-01-01").cast("date"), F.col("p_size")), "process_date"))
     return d.orderBy("process_date", "old_symbol")
 
 
