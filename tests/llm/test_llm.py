@@ -101,6 +101,26 @@ def test_jaccard_edge_rows(docs):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {1, 4, 5, 6, 7, None}
 
 
+def test_jaccard_links_are_all_counted(spark):
+    rng = np.random.default_rng(5)
+    texts = []
+    for length, copies in ((90, 60), (30, 5), (200, 3)):
+        base = rng.integers(0, 400, length).tolist()
+        for k in range(copies):  # few edits and tails of up to a fifth of the length: links across sizes, and pairs that miss the bar
+            t = base + rng.integers(400, 9000, k % 13 * length // 60).tolist()
+            t[int(rng.integers(0, length))] = int(rng.integers(1000, 9000))
+            texts.append(" ".join(f"t{x}" for x in t))
+    texts += ["", texts[0], "a b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    words = [t.split() for t in texts]
+    sets = [frozenset(tuple(w[j:j + 5]) for j in range(max(1, len(w) - 4))) if w else frozenset() for w in words]
+    want = [sum(100 * len(a & b) >= 75 * len(a | b) for b in set(sets) - {a, frozenset()}) if a else 0 for a in sets]
+    assert max(want) > 20
+    for blocks in ({}, {"block_rows": 7}, {"block_shingles": 500}):
+        got = jaccard.jaccard_join(df, often_from=4, **blocks)
+        assert [r["n_links"] for r in got.orderBy("doc_id").collect()] == want
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(b"%04d" % i, b"%04d" % (i + 1)) for i in range(300)], "a binary, b binary")
     assert jaccard.components(links).select("comp").distinct().count() == 1
