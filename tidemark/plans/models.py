@@ -107,19 +107,19 @@ def mlt_01(v):
 @query("mlt_02")
 def mlt_02(v):
     """Overlap-weighted gradient-boosted classifier; out-of-fold scores."""
-    return shown(scored(v, "boosted", rounds=10))
+    return shown(scored(v, "boosted"))
 
 
 @query("mlt_03")
 def mlt_03(v):
     """Random forest (stands in for extra-trees); out-of-fold scores."""
-    return shown(scored(v, "trees", rounds=20))
+    return shown(scored(v, "trees"))
 
 
 @query("mlt_04")
 def mlt_04(v):
     """Pointwise boosted ranker on grades, judged by NDCG@10 per group."""
-    return V.ndcg(scored(v, "ranker", "grade", rounds=10), ["group_id"], "probability_up", "grade", 10).select("group_id", "rows", r("ndcg"))
+    return V.ndcg(scored(v, "ranker", "grade"), ["group_id"], "probability_up", "grade", 10).select("group_id", "rows", r("ndcg"))
 
 
 @query("mlt_05")
