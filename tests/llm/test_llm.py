@@ -273,6 +273,19 @@ def test_mixing(spark, docs, none):
     assert mixing.mix(docs).count() > 0 and mixing.mix(none).count() == 0 and mixing.queued(docs).count() == len(ROWS)
 
 
+def test_repeated_ids_keep_their_rows(spark, monkeypatch):
+    text = lambda k: " ".join(f"{k}w{i}" for i in range(40))
+    near = text("a") + " tail"
+    df = spark.createDataFrame([(1, text("a")), (2, near), (2, text("b")), (3, text("c")), (3, text("d")), (3, text("d"))], "doc_id long, text string")
+    kept = sorted(map(tuple, jaccard.one_of_each(df).collect()))
+    assert kept == [(1, text("a")), (2, text("b")), (3, text("c")), (3, text("d"))]
+
+    rows = [(7, None, "a"), (7, "", "a"), (7, "", "b"), (7, None, None), (8, "one two", "a"), (8, "one two", "a"), (9, "x", "a"), (9, "x", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    monkeypatch.setattr(queries, "read", lambda *_: docs)
+    assert sorted(r["doc_id"] for r in queries.op10_mix(spark, "").collect()) == sorted(r[0] for r in rows)
+
+
 def test_queries_match_their_sql(spark):
     duckdb = pytest.importorskip("duckdb")
     sf = "/root/testdata/sf0.001"

@@ -345,6 +345,11 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Null text is empty.  A null id is never a component's id while another is there.  Repeated rows are returned as often as
     they come.  An empty table gives no rows.  Other columns are not read.
     """
+    return _joined(docs, id_col, text_col, size, percent, often_from, most_common, block_rows, block_shingles).drop("_comp")
+
+
+def _joined(docs: DataFrame, id_col: str, text_col: str, size: int = 5, percent: int = 75, often_from: int = 16, most_common: int = 1 << 21, block_rows: int = 1024, block_shingles: int = 1 << 20) -> DataFrame:
+    """See jaccard_join; with ``_comp``, which tells components apart whose smallest ids are equal."""
     common = common_shingles(docs, text_col, size, often_from, most_common)
     signed = _signed(docs, id_col, text_col, size, percent, common)
     key = ["grp", "n"]
@@ -401,16 +406,34 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = signed.select("id", "n", "cls")
     full = rows.where("n > 0").join(labels, "cls")
     least = full.groupBy("comp").agg(F.min("id").alias("component_id"))
-    full = full.join(least, "comp").select("id", "n", "component_id", "n_links", "cls")
-    empty = rows.where("n = 0").select("id", "n", F.col("id").alias("component_id"), F.lit(0).cast("long").alias("n_links"), "cls")
-    return full.unionAll(empty).select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), "component_id", "n_links", F.lower(F.hex("cls")).alias("set_digest"))
+    full = full.join(least, "comp").select("id", "n", "component_id", "n_links", "cls", "comp")
+    empty = rows.where("n = 0").select("id", "n", F.col("id").alias("component_id"), F.lit(0).cast("long").alias("n_links"), "cls", F.col("cls").alias("comp"))
+    return full.unionAll(empty).select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), "component_id", "n_links", F.lower(F.hex("cls")).alias("set_digest"), F.col("comp").alias("_comp"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one document of each component: the one with the component's id (of rows with that id, the smallest by a
-    hash of the row).  Documents without words are each their own; so are rows with a null id."""
-    found = jaccard_join(docs, id_col, text_col, **options)
-    dropped = found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    kept = docs.join(dropped, id_col, "left_anti")
+    """``docs`` with one document of each component: the one with the component's id (of its rows with that id, the smallest by a
+    hash of the row).  Documents without words are each their own; so are rows with a null id.  Rows that share an id but
+    not their set are told apart by the set's digest."""
+    found = _joined(docs, id_col, text_col, **options).select(F.col(id_col).alias("_i"), F.col("component_id").alias("_c"), F.col("set_digest").alias("_d"), "_comp")
+    found = written(found, "components")
+    several = found.where("_i IS NOT NULL").groupBy("_i").agg(F.min("_d").alias("_low"), F.max("_d").alias("_high")).where("_low <> _high").select("_i")
+    several = written(several, "several-sets")
+    dropped = found.where("_i <> _c").select("_i").unionAll(several).distinct().withColumnRenamed("_i", id_col)
     same = Window.partitionBy(id_col).orderBy(row_hash(docs.columns))
-    return kept.withColumn("_nth", F.row_number().over(same)).where((F.col("_nth") == 1) | F.col(id_col).isNull()).drop("_nth")
+    kept = docs.join(dropped, id_col, "left_anti").withColumn("_nth", F.row_number().over(same))
+    kept = kept.where((F.col("_nth") == 1) | F.col(id_col).isNull()).select(*docs.columns)
+    if several.isEmpty():
+        return kept
+
+    size = options.get("size", 5)
+
+    def digest(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: hashlib.blake2b(shingle_set(x, size).tobytes(), digest_size=16).hexdigest())
+
+    shared = docs.join(several.withColumnRenamed("_i", id_col), id_col, "left_semi")
+    shared = shared.withColumn("_d", F.pandas_udf(digest, "string")(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    stay = found.where("_i = _c").select(F.col("_i").alias(id_col), "_d", "_comp").distinct()
+    same = Window.partitionBy(id_col, "_comp").orderBy(row_hash(docs.columns))
+    shared = shared.join(stay, [id_col, "_d"]).withColumn("_nth", F.row_number().over(same)).where("_nth = 1")
+    return kept.unionByName(shared.select(*docs.columns))

@@ -36,7 +36,8 @@ def queued(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (5.0, 2.0, 1.0),
     share: float = 1.5, cap: float = 2.0, seed: int = 17, block_rows: int = 20_000,
 ) -> DataFrame:
-    """One light row per document: ``id, source, row_key, size, source_size, target, cum``.
+    """One light row per document: ``id, source, row_key, nth, size, source_size, target, cum``; ``nth`` tells rows of a source
+    with the same id and text apart.
 
     ``cum`` is the source's running size through the document, in the shuffled order of a seeded hash of id and text.
     The running sum of a source is cut along the hash into blocks of about ``block_rows`` rows: block totals first, then a
@@ -55,11 +56,13 @@ def queued(
     offset = F.coalesce(F.sum("size").over(Window.partitionBy("_src").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     targets = source_targets(sums, weights, share, cap).withColumn("_src", F.coalesce(F.concat(F.lit("s"), "source"), F.lit(""))).drop("source")
     placed = sums.select("_src", "_block", offset.alias("_offset")).join(targets, "_src")
-    inside = Window.partitionBy("_src", "_block").orderBy("_shuffle", "id", "row_key").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy("_src", "_block").orderBy("_shuffle", "id", "row_key")
+    inside = order.rowsBetween(Window.unboundedPreceding, 0)
     return (
         rows.join(placed, ["_src", "_block"])
-        .withColumn("cum", F.col("_offset") + F.sum("size").over(inside))
-        .select("id", "source", "row_key", "size", "source_size", "target", "cum")
+        # equal rows share a block: its row number tells them apart
+        .withColumns({"cum": F.col("_offset") + F.sum("size").over(inside), "nth": F.row_number().over(order)})
+        .select("id", "source", "row_key", "nth", "size", "source_size", "target", "cum")
     )
 
 

@@ -90,7 +90,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix of all documents to target weights takes of each, repeats counted."""
     queue = mixing.queued(read(spark, sf_dir, "documents"))
-    taken = mixing.mixed(queue).groupBy("id", "row_key", "cum", "size", "source_size", "target").agg(
+    taken = mixing.mixed(queue).groupBy("id", "source", "row_key", "nth", "cum", "size", "source_size", "target").agg(
         F.sum("taken").alias("taken"), F.max(F.when(F.col("taken") > 0, F.col("virtual_finish"))).alias("virtual_finish")
     )
     return taken.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "virtual_finish")
