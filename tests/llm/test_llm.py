@@ -205,6 +205,15 @@ def test_lm_scores(docs, none):
     assert lm.lm_scores(docs, queries.PIECES, F.lit(False)).where("base_score <> 0").count() == 0
 
 
+def test_lm_query_runs_three_rounds(monkeypatch, docs):
+    asked = []
+    fit = lm.fit
+    monkeypatch.setattr(lm, "fit", lambda counts, ends, vocabulary, rounds: asked.append(rounds) or fit(counts, ends, vocabulary, rounds))
+    monkeypatch.setattr(queries, "read", lambda *_: docs)
+    queries.op8_lm_score(docs.sparkSession, "")
+    assert asked == [3]
+
+
 def test_toxicity(spark, docs, none):
     rng = np.random.default_rng(2)
     rows = []
