@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, exact_dedup, jaccard, lm, merkle, mixing, sentencepiece, token_counts, toxicity, urlfilter
+from tidemark.llm import chat, divergence, exact_dedup, jaccard, line_quality, lm, merkle, mixing, sentencepiece, spelling, token_counts, toxicity, urlfilter
 from tidemark.llm.common import crc_fold
 
 VOCABULARIES = "/opt/tokenizers"  # a parameter of every operator that takes a vocabulary
@@ -96,7 +96,28 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "virtual_finish")
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_chat, op3_jaccard_join, op4_merkle, op5_exact_dedup, op6_toxicity, op7_url_filter, op8_lm_score, op9_token_counts, op10_mix)}
+def op11_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts of every document, and whether enough of it is content by the labelled lines."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    crf = line_quality.learn(docs, read(spark, sf_dir, "labels"))
+    return line_quality.line_quality(docs, crf).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the documents with the far commoner near word it may be a variant of, and the root of its chain."""
+    words = spelling.corpus_words(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return spelling.spelling_groups(words)
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far every source is from the others of its language, and its 200 most telling terms."""
+    return divergence.divergence(read(spark, sf_dir, "documents").select("lang", "source", "text"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_sentencepiece, op2_chat, op3_jaccard_join, op4_merkle, op5_exact_dedup, op6_toxicity, op7_url_filter, op8_lm_score, op9_token_counts, op10_mix,
+    op11_line_quality, op12_spelling, op13_divergence,
+)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _TURN = "'<|' || x.role || '|>' || chr(10) || x.text || '<|end|>' || chr(10)"
@@ -136,4 +157,25 @@ r(verdict, h, p) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en
 m AS (SELECT page_id, max_by(h || p, length(h || p)) AS rule, max_by(verdict, length(h || p)) AS verdict
       FROM u JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM u LEFT JOIN m USING (page_id)""",
+    "op13_divergence": r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+t AS (SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+c AS (SELECT r, lang, source, term, count(*) AS n FROM t GROUP BY ALL),
+k AS (SELECT lang, term FROM c GROUP BY ALL HAVING count(*) >= 3),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+gc AS (SELECT lang, source, term, sum(n)::HUGEINT AS n FROM c SEMI JOIN k USING (lang, term) GROUP BY ALL),
+gn AS (SELECT lang, source, coalesce(sum(n), 0)::HUGEINT AS total FROM g LEFT JOIN gc USING (lang, source) GROUP BY ALL),
+p AS (SELECT g.lang, g.source, k.term, coalesce(gc.n, 0) AS n, 1 + 1000000000 * (coalesce(gc.n, 0) + 1) // (gn.total + v.v) AS p
+      FROM g JOIN k USING (lang) JOIN v USING (lang) JOIN gn USING (lang, source) LEFT JOIN gc USING (lang, source, term)),
+ln AS (SELECT lang, sum(total) AS total FROM gn GROUP BY lang),
+q AS (SELECT lang, term, 1 + 1000000000 * (sum(n) + 1) // (any_value(ln.total) + any_value(v.v)) AS q FROM p JOIN ln USING (lang) JOIN v USING (lang) GROUP BY lang, term),
+s AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b USING (lang, term) WHERE a.source <> b.source GROUP BY ALL),
+o AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value
+      FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+e AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // q AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+x AS (SELECT * FROM o UNION ALL SELECT * FROM e),
+y AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM x)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM y WHERE part = 'pair' OR rank <= 200""",
 }
