@@ -163,11 +163,12 @@ def likely_edits(words: list[str], length: int, alphabet: np.ndarray, shards: Sh
     if length in shards.lengths:
         without = whole - terms
         for letter in alphabet.tolist():
-            row, col = np.nonzero(codes < letter)
-            edited = mixed(without[row, col] + np.uint64(letter + 1) * powers[col])
-            at = shards.probe(edited, length)
-            if len(at):
-                yield row[at], [words[r][:c] + chr(letter) + words[r][c + 1:] for r, c in zip(row[at].tolist(), col[at].tolist())]
+            cell = np.flatnonzero(codes < letter)
+            edited = mixed((without + np.uint64(letter + 1) * powers).ravel()[cell])
+            cell = cell[shards.probe(edited, length)]
+            if len(cell):
+                row, col = cell // length, cell % length
+                yield row, [words[r][:c] + chr(letter) + words[r][c + 1:] for r, c in zip(row.tolist(), col.tolist())]
 
 
 def _filters(vocabulary: DataFrame, parts: dict[int, int]) -> DataFrame:
@@ -187,11 +188,23 @@ def _filters(vocabulary: DataFrame, parts: dict[int, int]) -> DataFrame:
     return hashed.groupBy("length", "part").applyInPandas(build, "length int, part int, bits binary")
 
 
-def near_pairs(vocabulary: DataFrame, part_words: int = 1 << 18, max_bytes: int = 64 << 20, cells: int = 1 << 20) -> DataFrame:
+def gathered(frames: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:
+    """Frames of ``rows`` rows or more, but for the last: work on arrays needs words of one length by the thousand."""
+    held: list[pd.DataFrame] = []
+    for frame in frames:
+        held.append(frame)
+        if sum(map(len, held)) >= rows:
+            yield pd.concat(held)
+            held = []
+    if held:
+        yield pd.concat(held)
+
+
+def near_pairs(vocabulary: DataFrame, part_words: int = 1 << 18, max_bytes: int = 64 << 20, cells: int = 1 << 15) -> DataFrame:
     """Every near pair of ``vocabulary`` (``word`` unique, ``n``, ``length``) once: ``word``, ``n``, ``other``, ``other_n``.
 
-    ``part_words`` bounds what one filter is built of, ``max_bytes`` what one round broadcasts, ``cells`` the code points
-    that are edited at once.
+    ``part_words`` bounds what one filter is built of, ``max_bytes`` what one round broadcasts, ``cells`` the words
+    that a task gathers and the code points that it edits at once.
     """
     spark = vocabulary.sparkSession
     sizes = {r["length"]: r["count"] for r in vocabulary.groupBy("length").count().collect()}  # one row per word length
@@ -218,7 +231,7 @@ def near_pairs(vocabulary: DataFrame, part_words: int = 1 << 18, max_bytes: int
         sent = spark.sparkContext.broadcast(Shards({(r["length"], r["part"]): Blocked(np.frombuffer(r["bits"], np.uint64)) for r in rows}, parts))
 
         def edits(frames: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            for frame in frames:
+            for frame in gathered(frames, cells):
                 for length, group in frame.groupby("length"):
                     words, n = group["word"].tolist(), group["n"].to_numpy()
                     step = max(1, cells // length)
