@@ -7,7 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.ordered import greedy, quantiles, value_counts
+from tidemark.operators.intervals import non_overlapping
+from tidemark.operators.ordered import quantiles, value_counts
 
 
 def classification(df: DataFrame, keys: Sequence[str], target: str, probability: str) -> DataFrame:
@@ -117,10 +118,10 @@ def conservative(economic_rows: DataFrame, measures: Sequence[str]) -> DataFrame
 def non_overlapping_groups(groups: DataFrame, keys: Sequence[str], group: str, entry: str, exit_: str) -> DataFrame:
     """Groups kept by the greedy rule entry > last exit.
 
-    Input is reduced to distinct groups, i.e. decision times, before the fold.
+    Input is reduced to distinct groups, i.e. decision times.
     """
     g = groups.groupBy(*keys, group).agg(F.min(F.unix_micros(entry)).alias("_s"), F.max(F.unix_micros(exit_)).alias("_e"))
-    return greedy(g, keys, "_s", "_e", group)
+    return non_overlapping(g, keys, "_s", "_e", group)
 
 
 def bootstrap(blocks: DataFrame, keys: Sequence[str], session: str, total: str, count: str, iterations: int, seed: int) -> DataFrame:

@@ -46,3 +46,10 @@ def settled(df):
     """Cut the lineage through a reliable checkpoint in the shared folder."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df, label: str = "step"):
+    """Write below the shared folder and read again: cuts the lineage and, unlike a checkpoint, computes ``df`` once."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
