@@ -1,12 +1,8 @@
 """Streaming forms of the operators; each equals its batch twin on a bounded replay."""
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def tumbling_bars(ticks: DataFrame, ts: str, key: str, price: str, ident: str, width: str, delay: str) -> DataFrame:
@@ -33,60 +29,3 @@ def interval_join(decisions: DataFrame, labels: DataFrame, d_ts: str, l_ts: str,
     """Decisions joined to labels that end within ``within`` after them; both sides bounded by watermarks."""
     d, l = decisions.withWatermark(d_ts, delay), labels.withWatermark(l_ts, delay)  # noqa: E741
     return d.join(l, F.expr(f"{d_key} = {l_key} AND {l_ts} >= {d_ts} AND {l_ts} <= {d_ts} + INTERVAL {within}"))
-
-
-def session_vwap(ticks: DataFrame, key: list[str], ts: str, price: str, volume: str, ident: str, delay: str = "1 hour") -> DataFrame:
-    """Running VWAP per (ticker, session): the state is two sums, expired a day of event time after its last row."""
-
-    def step(k, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        pv, vol = state.get if state.exists else (0.0, 0.0)
-        rows = pd.concat(list(batches)).sort_values([ts, ident], kind="stable")  # one micro-batch of one session
-        c_pv, c_v = pv + (rows[price] * rows[volume]).cumsum(), vol + rows[volume].cumsum()
-        state.update((float(c_pv.iloc[-1]), float(c_v.iloc[-1])))
-        state.setTimeoutTimestamp(int(rows[ts].max().timestamp() * 1000) + 86_400_000)
-        yield pd.DataFrame({ident: rows[ident], "session_vwap": c_pv / c_v})
-
-    kind = ticks.schema[ident].dataType.simpleString()
-    return ticks.withWatermark(ts, delay).groupBy(*key).applyInPandasWithState(
-        step, f"{ident} {kind}, session_vwap double", "pv double, vol double", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def latest_state(union: DataFrame, key: str, ts: str, side: str, ident: str, value: str) -> DataFrame:
-    """Stateful as-of: rows with ``side`` 0 update the key's value, rows with 1 read it.
-
-    One row per key survives in the state, so nothing known is lost to eviction.
-    """
-
-    def step(k, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values([ts, side, ident], kind="stable")
-        known = rows[value].where(rows[side] == 0).ffill()
-        if state.exists:
-            known = known.fillna(state.get[0])
-        last = known.iloc[-1]
-        if pd.notna(last):
-            state.update((last,))
-        ask = rows[side] == 1
-        yield pd.DataFrame({ident: rows[ident][ask], "known": known[ask].astype(object).where(known[ask].notna(), None)})
-
-    kind = union.schema[ident].dataType.simpleString()
-    return union.groupBy(key).applyInPandasWithState(step, f"{ident} {kind}, known string", "value string", "append", GroupStateTimeout.NoTimeout)
-
-
-def ewm_state(rows_in: DataFrame, key: str, ts: str, ident: str, value: str, alpha: float) -> DataFrame:
-    """Exponential mean carried per key; the state is one number and never expires."""
-
-    def step(k, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values([ts, ident], kind="stable")
-        x = rows[value].astype(float)
-        if state.exists:
-            y = pd.concat([pd.Series([state.get[0]]), x]).ewm(alpha=alpha, adjust=False).mean().iloc[1:]
-        else:
-            y = x.ewm(alpha=alpha, adjust=False).mean()
-        state.update((float(y.iloc[-1]),))
-        yield pd.DataFrame({ident: rows[ident].to_numpy(), "ewm": y.to_numpy()})
-
-    kind = rows_in.schema[ident].dataType.simpleString()
-    return rows_in.groupBy(key).applyInPandasWithState(step, f"{ident} {kind}, ewm double", "y double", "append", GroupStateTimeout.NoTimeout)

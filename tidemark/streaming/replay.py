@@ -15,8 +15,10 @@ def open_files(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return as_instants(spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(directory))
 
 
-def open_folder(spark: SparkSession, path: str, schema) -> DataFrame:
-    return spark.readStream.schema(schema).parquet(path)
+def open_folder(spark: SparkSession, path: str, schema, files_per_batch: int | None = None) -> DataFrame:
+    """Stream over the files of a folder, oldest first, ``files_per_batch`` to a micro-batch (all that are there if not given)."""
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).parquet(path)
 
 
 def run_to_end(stream: DataFrame, label: str, home: str | None = None) -> str:
