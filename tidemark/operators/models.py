@@ -7,7 +7,7 @@ from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, IsotonicRegression
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -79,31 +79,6 @@ def out_of_fold(rows: DataFrame, features: Sequence[str], kind: str, target: str
     return out
 
 
-def isotonic(train: DataFrame, probability: str, target: str):
-    d = train.select(F.col(probability).alias("features"), F.col(target).cast("double").alias("label"))
-    return IsotonicRegression(featuresCol="features", labelCol="label", predictionCol="calibrated").fit(
-        VectorAssembler(inputCols=["features"], outputCol="fv").transform(d).select(F.col("fv").alias("features"), "label"))
-
-
-def apply_isotonic(model, df: DataFrame, probability: str, out: str = "calibrated") -> DataFrame:
-    d = VectorAssembler(inputCols=[probability], outputCol="features").transform(df)
-    return model.transform(d).withColumn(out, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("calibrated")))).drop("features")
-
-
-def prior_fold_calibration(scored: DataFrame, folds: Sequence[int], probability: str, target: str, decision: str, label_available: str) -> DataFrame:
-    """Calibrate fold k on earlier folds whose labels matured before its first decision; the first fold only seeds."""
-    parts = []
-    for k in folds[1:]:
-        now = scored.where(F.col("fold") == k)
-        first = now.agg(F.min(decision).alias("_first"))
-        past = scored.where(F.col("fold") < k).join(F.broadcast(first)).where(F.col(label_available) < F.col("_first"))  # one-row aggregate
-        parts.append(apply_isotonic(isotonic(past, probability, target), now, probability))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
 def sigmoid(train: DataFrame, probability: str, target: str) -> PipelineModel:
     return Pipeline(stages=[VectorAssembler(inputCols=[probability], outputCol="features"),
                             LogisticRegression(featuresCol="features", labelCol=target, probabilityCol="_pr", rawPredictionCol="_rw", predictionCol="_pd")]).fit(train)

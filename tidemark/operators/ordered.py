@@ -13,7 +13,7 @@ a lost executor recomputes the same blocks.
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -124,6 +124,7 @@ def as_of(
     parts: Mapping[str, tuple[Column | None, Sequence[str]]],
     tie: Sequence[str] = (),
     width_s: int = DAY,
+    block: Callable[[str], Column] | None = None,
 ) -> DataFrame:
     """Backward inclusive as-of join: latest right row with ``right_ts <= left_ts``.
 
@@ -131,9 +132,11 @@ def as_of(
     columns); several conditional latest rows (one per source family, metric,
     ...) cost one pass.  Each struct also holds the matched time as ``_at``.
     Right rows that share key and time are first reduced to the one with the
-    greatest ``tie`` values.
+    greatest ``tie`` values.  ``block`` (a monotone block of a column) takes the
+    place of time blocks where the order is not a time.
     """
     names = list(parts)
+    block = block or (lambda c: time_block(c, width_s))
     prepared = right.where(F.col(right_ts).isNotNull()).select(
         *keys, F.col(right_ts).alias("_t"),
         F.struct(*tie).alias("_tie") if tie else F.lit(0).alias("_tie"),
@@ -145,12 +148,12 @@ def as_of(
     reduced = prepared.groupBy(*keys, "_t").agg(
         *[F.max_by(n, F.when(F.col(n).isNotNull(), F.col("_tie"))).alias(n) for n in names]
     )
-    reduced = reduced.withColumn("_b", time_block("_t", width_s))
+    reduced = reduced.withColumn("_b", block("_t"))
     last_in_block = reduced.groupBy(*keys, "_b").agg(
         *[F.max_by(n, F.when(F.col(n).isNotNull(), F.col("_t"))).alias(n) for n in names],
         F.lit(0).alias("_need"),
     )
-    tagged = left.withColumns({"_t": F.col(left_ts), "_b": time_block(left_ts, width_s), "_s": F.lit(1)})
+    tagged = left.withColumns({"_t": F.col(left_ts), "_b": block(left_ts), "_s": F.lit(1)})
     needed = tagged.select(*keys, "_b").distinct().withColumn("_need", F.lit(1))
     blocks = last_in_block.unionByName(needed, allowMissingColumns=True)
     # a needed block sorts before the block's own rows: only earlier blocks feed its carry

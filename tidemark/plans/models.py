@@ -2,6 +2,7 @@
 from pyspark.sql import functions as F
 
 from tidemark.functions import sentiment as N
+from tidemark.operators import calibration as C
 from tidemark.operators import crosssection as X
 from tidemark.operators import evaluation as V
 from tidemark.operators import models as M
@@ -128,10 +129,30 @@ def mlt_05(v):
     return scored(v, "logistic").groupBy(n("fold"), "scope").agg(F.count(F.lit(1)).alias("rows"), r(F.avg("probability_up"), "mean_probability"))
 
 
-@query("mlt_06")
+_ISO = """ix AS (SELECT k, x, sum(w) AS w, sum(y) AS y FROM it GROUP BY 1, 2),
+ io AS (SELECT *, sum(w) OVER (PARTITION BY k ORDER BY x) AS cw, sum(y) OVER (PARTITION BY k ORDER BY x) AS cy FROM ix),
+ ia AS (SELECT a.k, a.x AS a, b.x AS b, (b.cy - a.cy + a.y) / (b.cw - a.cw + a.w) AS m FROM io a JOIN io b ON a.k = b.k AND a.x <= b.x),
+ ib AS (SELECT k, a, b AS x, min(m) OVER (PARTITION BY k, a ORDER BY b DESC) AS least FROM ia), kn AS (SELECT k, x, max(least) AS fit FROM ib GROUP BY 1, 2),
+ il AS (SELECT p.*, l.x AS lx, l.fit AS lf FROM ip p ASOF LEFT JOIN kn l ON p.k = l.k AND p.x >= l.x), iu AS (SELECT p.*, u.x AS ux, u.fit AS uf FROM il p ASOF LEFT JOIN kn u ON p.k = u.k AND p.x <= u.x),
+ ir AS (SELECT *, least(1, greatest(0, CASE WHEN lf IS NULL AND uf IS NULL THEN x WHEN lf IS NULL THEN uf WHEN uf IS NULL OR lx = ux THEN lf ELSE lf + (uf - lf) * (x - lx) / (ux - lx) END)) AS calibrated FROM iu)"""
+# max over the first point, min over the last, of averages: the definition of the isotonic fit
+
+
+@query("mlt_06", f"""WITH {_CR}, te AS (SELECT ticker, group_id, fold, avail, target, decision_time, round(score, 2) AS p FROM cr WHERE role = 'test'), fd AS (SELECT fold AS k, min(decision_time) AS t FROM te WHERE fold > 0 GROUP BY 1),
+ pa AS (SELECT k, p AS x, 1.0::DOUBLE AS w, CAST(target AS DOUBLE) AS y FROM te JOIN fd ON te.fold < fd.k AND te.avail < fd.t), ok AS (SELECT k FROM pa GROUP BY 1 HAVING count(*) >= 100 AND count(DISTINCT y) = 2),
+ it AS (SELECT * FROM pa SEMI JOIN ok USING (k)), ip AS (SELECT ticker, group_id, fold, fold AS k, p AS x FROM te WHERE fold > 0), {_ISO}
+SELECT ticker, group_id, fold, round(x, 6) AS probability_up, round(calibrated, 6) AS calibrated FROM ir""", EX)
 def mlt_06(v):
-    """Isotonic calibration from earlier folds only."""
-    out = M.prior_fold_calibration(scored(v, "logistic"), FOLDS, "probability_up", "target", "decision_time", "label_available")
+    """Isotonic calibration of raw scores from earlier folds only, with minimum rows."""
+    rows = causal(v).where("role = 'test'").withColumn("p", F.round("score", 2))
+    out = C.prior_fold_isotonic(rows, FOLDS, "p", "target", "decision_time", "label_available")
+    return out.select("ticker", "group_id", n("fold"), r("p", "probability_up"), r("calibrated"))
+
+
+@query("mlt_06m")
+def mlt_06m(v):
+    """Isotonic calibration of a fitted model's out-of-fold scores."""
+    out = C.prior_fold_isotonic(scored(v, "logistic"), FOLDS, "probability_up", "target", "decision_time", "label_available")
     return out.select("ticker", "group_id", n("fold"), r("probability_up"), r("calibrated"))
 
 
@@ -143,6 +164,16 @@ def mlt_07(v):
     return M.apply_sigmoid(m, d.where("part = 'evaluate'")).select("ticker", "group_id", r("p", "probability"), r("calibrated"))
 
 
+@query("mlt_07i", f"""WITH ss AS (SELECT session, row_number() OVER (ORDER BY session) AS i, count(*) OVER () AS n FROM (SELECT DISTINCT session FROM evidence_x)),
+ pt AS (SELECT e.*, i <= least(n - 2, greatest(2, floor(n * 0.6::DOUBLE))) AS fitting, round(score, 2) AS x FROM evidence_x e JOIN ss USING (session)),
+ it AS (SELECT 0 AS k, x, 1.0::DOUBLE AS w, CAST(target AS DOUBLE) AS y FROM pt WHERE fitting), ip AS (SELECT 0 AS k, ticker, group_id, x FROM pt WHERE NOT fitting), {_ISO}
+SELECT ticker, group_id, round(x, 6) AS probability, round(calibrated, 6) AS calibrated FROM ir""", EX)
+def mlt_07i(v):
+    """Isotonic calibrator on a session-disjoint part."""
+    d = P.calibration_split(v.evidence.withColumn("p", F.round("score", 2)), "session", 0.6)
+    return C.disjoint_isotonic(d, "p", "target", F.col("part") == "calibrate").select("ticker", "group_id", r("p", "probability"), r("calibrated"))
+
+
 @query("mlt_08")
 def mlt_08(v):
     """Batch scoring with the schema check."""
