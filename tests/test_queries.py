@@ -45,19 +45,3 @@ def test_query_matches_sql(spark, duck, name):
 def test_every_query_is_registered_once():
     queries, oracles = load()
     assert len(queries) > 300 and set(oracles) <= set(queries)
-
-
-@pytest.mark.parametrize("name", ("mlt_02", "mlt_03", "mlt_04"))
-def test_models_run_at_the_defaults(monkeypatch, name):
-    from tidemark.plans import models
-
-    class Asked(Exception):
-        pass
-
-    def asked(v, kind, target="target", **options):
-        raise Asked(options)
-
-    monkeypatch.setattr(models, "scored", asked)
-    with pytest.raises(Asked) as e:
-        getattr(models, name)(None)
-    assert e.value.args[0] == {}

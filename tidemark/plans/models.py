@@ -7,6 +7,7 @@ from tidemark.operators import crosssection as X
 from tidemark.operators import evaluation as V
 from tidemark.operators import models as M
 from tidemark.operators import splits as P
+from tidemark.plans.crosssection import _NDCG
 from tidemark.plans.events import _evt_cols, _shape
 from tidemark.plans.fmt import n, r, s, us
 from tidemark.plans.registry import query
@@ -81,8 +82,8 @@ FOLDS = (0, 1, 2, 3)
 def scored(v, kind: str, target: str = "target", **options):
     rows = P.causal_rows(training(v), plan(v), "session", "decision_time", "label_available").withColumn("w", F.col("overlap_weight"))
     # estimators pass over their input many times: cut the lineage once, in the shared folder
-    rows = settled(rows.select("ticker", "group_id", "scope", "fold", "role", "holdout", "decision_time", "label_available", "grade", "target", "w", *FEATURES))
-    return M.out_of_fold(rows, FEATURES, kind, target, FOLDS, "w", "holdout", **options)
+    rows = settled(rows.select("ticker", "group_id", "scope", "fold", "role", "holdout", "decision_time", "label_available", "grade", "target", "ret", "w", *FEATURES))
+    return M.out_of_fold(rows, FEATURES, kind, target, FOLDS, "w", "holdout", "group_id", "ticker", **options)
 
 
 def latest_model(v):
@@ -96,7 +97,7 @@ def latest_model(v):
 
 
 def shown(df):
-    return df.select("ticker", "group_id", "scope", n("fold"), r("probability_up"), n("prediction"))
+    return df.select("ticker", "group_id", F.col("audit_scope").alias("scope"), n("fold"), r("probability_up"), n("prediction"))
 
 
 @query("mlt_01")
@@ -113,20 +114,31 @@ def mlt_02(v):
 
 @query("mlt_03")
 def mlt_03(v):
-    """Random forest (stands in for extra-trees); out-of-fold scores."""
+    """Extremely randomised trees; out-of-fold scores."""
     return shown(scored(v, "trees"))
 
 
 @query("mlt_04")
 def mlt_04(v):
-    """Pointwise boosted ranker on grades, judged by NDCG@10 per group."""
-    return V.ndcg(scored(v, "ranker", "grade"), ["group_id"], "probability_up", "grade", 10).select("group_id", "rows", r("ndcg"))
+    """Grouped learning to rank on grades (LambdaMART), judged by NDCG@10 per held-out group."""
+    return V.ndcg(scored(v, "ranker", "grade"), ["audit_scope", "group_id"], "probability_up", "grade", 10).select(F.col("audit_scope").alias("scope"), "group_id", "rows", r("ndcg"))
 
 
 @query("mlt_05")
 def mlt_05(v):
-    """Fold loop with a ticker holdout that never trains: rows and mean score per fold and scope."""
-    return scored(v, "logistic").groupBy(n("fold"), "scope").agg(F.count(F.lit(1)).alias("rows"), r(F.avg("probability_up"), "mean_probability"))
+    """Fold loop with two models per fold: all tickers, and without the held-out tickers; rows and mean score per fold and scope."""
+    return scored(v, "logistic").groupBy(n("fold"), F.col("audit_scope").alias("scope")).agg(F.count(F.lit(1)).alias("rows"), r(F.avg("probability_up"), "mean_probability"))
+
+
+@query("mlt_05f")
+def mlt_05f(v):
+    """Final fit on all rows whose label is known at the newest decision, and the scores of that decision's group."""
+    d = settled(training(v).select("ticker", "group_id", "decision_time", "label_available", "target", "overlap_weight", *FEATURES))
+    now = d.agg(F.max("decision_time")).first()[0]
+    if now is None:
+        return d.select("ticker", "group_id", F.lit(None).cast("double").alias("probability_up"), F.lit(None).cast("long").alias("prediction"))
+    m = M.final_fit(d, FEATURES, "logistic", "target", "overlap_weight", "label_available", F.lit(now))
+    return M.score(m, d.where(F.col("decision_time") == F.lit(now)), FEATURES).select("ticker", "group_id", r("probability_up"), n("prediction"))
 
 
 _ISO = """ix AS (SELECT k, x, sum(w) AS w, sum(y) AS y FROM it GROUP BY 1, 2),
@@ -183,9 +195,22 @@ def mlt_08(v):
 
 @query("mlt_09")
 def mlt_09(v):
-    """Model metrics per scope."""
-    out = V.classification(scored(v, "logistic"), ["scope"], "target", "probability_up")
-    return out.select("scope", "rows", *[r(c) for c in out.columns if c not in ("scope", "rows")])
+    """Model metrics per scope: classification, NDCG@10, top-10 excess return and its positive rate."""
+    d = settled(scored(v, "logistic"))
+    out = V.classification(d, ["audit_scope"], "target", "probability_up").drop("rows").join(M.ranking_metrics(d, ["audit_scope"], "group_id", "ticker", "probability_up", "grade", "ret", 10), "audit_scope")
+    counts = ("rows", "tickers", "ranking_groups")
+    return out.select(F.col("audit_scope").alias("scope"), *counts, *[r(c) for c in out.columns if c not in ("audit_scope", *counts)])
+
+
+@query("mlt_09r", f"""WITH {_NDCG.replace('group_id', 'scope, group_id').replace('GROUP BY 1', 'GROUP BY 1, 2')}, bs AS (SELECT scope, group_id, avg(ret) AS m, avg(CAST(ret > 0 AS INT)) AS up
+  FROM (SELECT * FROM evidence_x QUALIFY row_number() OVER (PARTITION BY scope, group_id ORDER BY score DESC, ticker) <= 10) GROUP BY ALL),
+ fu AS (SELECT nd.scope, count(*) AS ranking_groups, avg(CASE WHEN ideal > 0 THEN dcg / ideal ELSE 0 END) AS nm, avg(m) AS xm, avg(up) AS um FROM nd JOIN bs ON nd.scope = bs.scope AND nd.group_id = bs.group_id WHERE rows >= 2 GROUP BY 1)
+SELECT e.scope, e.rows, e.tickers, ranking_groups, round(nm, 6) AS mean_ndcg_at_k, round(xm, 6) AS mean_top_k_excess_return, round(um, 6) AS mean_top_k_positive_rate
+FROM (SELECT scope, count(*) AS rows, count(DISTINCT ticker) AS tickers FROM evidence_x GROUP BY 1) e JOIN fu USING (scope)""", EX)
+def mlt_09r(v):
+    """Ranking metrics per scope, of raw scores."""
+    out = M.ranking_metrics(v.evidence, ["scope"], "group_id", "ticker", "score", "grade", "ret", 10)
+    return out.select("scope", "rows", "tickers", "ranking_groups", r("mean_ndcg_at_k"), r("mean_top_k_excess_return"), r("mean_top_k_positive_rate"))
 
 
 @query("top_14")
