@@ -81,14 +81,14 @@ class Encoder:
         """Boundary-state matrix of a chunk of ``size`` characters, followed in ``part`` by what the next chunk begins with.
 
         State i at a boundary: the piece that crosses it ends i characters after it.  Between the first and the last cut
-        inside the chunk every path takes the same places, so only the two ends are run for all states."""
+        inside the chunk every path takes the same places, so only the two ends are run for all states, and what lies
+        between is left out: it adds the same to every entry, which chooses nothing, and the backtrace adds its score up."""
         w = self.lattice.width
         cuts = [c for c in self.lattice.cuts(part) if c <= size]
         if cuts:
             first, last = cuts[0], cuts[-1]
             head = self.lattice.between(part[:first], w, first)[:, :1]
-            middle = float(self.paths([part[first:last]])[2][0]) if last > first else 0.0
-            found = head + middle + self.lattice.between(part[last:], 1, size - last)
+            found = head + self.lattice.between(part[last:], 1, size - last)
         else:
             found = self.lattice.between(part, w, size)
         out = np.full((w, w), NEG)
