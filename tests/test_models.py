@@ -30,7 +30,7 @@ def scores(df, kind, target, **options):
     return got
 
 
-@pytest.mark.parametrize(("kind", "target", "options"), [("logistic", "y", {}), ("trees", "y", {"trees": 5, "depth": 3}), ("ranker", "grade", {"rounds": 4})])
+@pytest.mark.parametrize(("kind", "target", "options"), [("logistic", "y", {"iterations": 20}), ("trees", "y", {"trees": 5, "depth": 3}), ("ranker", "grade", {"rounds": 4})])
 def test_fold_loop(spark, kind, target, options):
     df = rows(spark)
     got = scores(df, kind, target, **options)
