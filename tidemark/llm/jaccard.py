@@ -38,19 +38,17 @@ def _prefix_length(n: int, percent: int) -> int:
 
 
 def common_shingles(docs: DataFrame, text_col: str, size: int, often_from: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles counted ``often_from`` times or more, by ascending frequency; returned sorted by hash, with their rank.  At most
+    """Buckets (upper 32 bits) of the shingles counted ``often_from`` times or more, sorted, with their rank by ascending count.  At most
     ``most``: where more are that frequent, the bar is raised to 1 in ``most`` of all occurrences.
 
-    A task passes on only the shingles that repeat within the stretch of texts it holds, so counts may be low.  The common
-    order of the prefixes is right whatever they say; they only keep passages of many texts out of the prefixes.
+    All shingles of all texts are counted, each task's own first, so that the list is the same however the rows are dealt.  Two shingles
+    of one bucket count together: the common order of the prefixes is right whatever the counts say, they only keep
+    passages of many texts out of the prefixes.
     """
 
-    def repeated(held: list[np.ndarray]) -> pd.DataFrame:
-        flat = np.concatenate(held) if held else np.empty(0, np.uint64)
-        s, n = np.unique(flat, return_counts=True)
-        often = n >= 2
-        total = pd.DataFrame({"s": np.array([0], np.int64), "n": [0], "total": [len(flat)]})
-        return pd.concat([pd.DataFrame({"s": s[often].view(np.int64), "n": n[often], "total": 0}), total])
+    def summed(held: list[np.ndarray]) -> pd.DataFrame:
+        s, n = np.unique((np.concatenate(held) >> np.uint64(32)).astype(np.uint32), return_counts=True)
+        return pd.DataFrame({"s": s.view(np.int32), "n": n.astype(np.int32)})
 
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         held: list[np.ndarray] = []
@@ -60,18 +58,24 @@ def common_shingles(docs: DataFrame, text_col: str, size: int, often_from: int,
                 held.append(shingle_set(text, size))
                 n += len(held[-1])
                 if n >= HELD:
-                    yield repeated(held)
+                    yield summed(held)
                     held, n = [], 0
-        yield repeated(held)
-
-    parts = docs.select(F.col(text_col).cast("string").alias("text")).mapInPandas(count, "s long, n long, total long")
-    sums = parts.groupBy("s").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
-    sums = written(sums.where((F.col("n") >= often_from) | (F.col("total") > 0)), "shingle-counts")
-    total = sums.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
-    frequent = sums.where(F.col("n") >= often_from).select("s", "n")
-    rows = (frequent if frequent.count() <= most else frequent.where(F.col("n") * most >= total)).toArrow()
-    s = rows["s"].to_numpy().view(np.uint64)
-    order = np.lexsort((s, rows["n"].to_numpy()))
+        if n:
+            yield summed(held)
+
+    parts = docs.select(F.col(text_col).cast("string").alias("text")).mapInPandas(count, "s int, n int")
+    sums = parts.groupBy("s").agg(F.sum("n").alias("n"))
+    low = F.when(F.col("n") < often_from, F.col("n"))  # the many rare ones only count in the total
+    key = F.when(F.col("n") >= often_from, F.col("s"))
+    sums = written(sums.groupBy(key.alias("s")).agg(F.max(F.when(key.isNotNull(), F.col("n"))).alias("n"), F.coalesce(F.sum(low), F.lit(0)).alias("rare")), "shingle-counts")
+    frequent = sums.where("s IS NOT NULL").select("s", "n")
+    bar = often_from
+    if frequent.count() > most:
+        total = sums.agg(F.sum(F.col("rare") + F.coalesce("n", F.lit(0)))).first()[0]
+        bar = max(often_from, -(-total // most))
+    rows = frequent.where(F.col("n") >= bar).toArrow()
+    s, n = rows["s"].to_numpy().view(np.uint32), rows["n"].to_numpy()
+    order = np.lexsort((s, n))
     rank = np.empty(len(s), np.int64)
     rank[order] = np.arange(len(s))
     by = np.argsort(s)
@@ -92,10 +96,11 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int
                 s = shingle_set(text, size)
                 first, plain, rank = s, len(s), np.empty(0, np.int64)
                 if len(s) and len(hashes):
-                    at = np.minimum(np.searchsorted(hashes, s), len(hashes) - 1)
-                    often = hashes[at] == s
+                    bucket = (s >> np.uint64(32)).astype(np.uint32)
+                    at = np.minimum(np.searchsorted(hashes, bucket), len(hashes) - 1)
+                    often = hashes[at] == bucket
                     rank = np.sort(ranks[at[often]])
-                    first, plain = np.concatenate([s[~often], s[often][np.argsort(ranks[at[often]])]]), int((~often).sum())
+                    first, plain = np.concatenate([s[~often], s[often][np.argsort(ranks[at[often]], kind="stable")]]), int((~often).sum())
                 first = first[: _prefix_length(len(s), percent)] if len(s) else s
                 # place of the prefix's last shingle in the common order: a frequent one's rank, else its hash
                 tail.append(int(rank[len(first) - plain - 1]) if len(first) > plain else -1)
@@ -230,105 +235,9 @@ def _across(entries: DataFrame, key: list[str], meet: Column | None = None) -> D
     return cross.select(F.least("x_cls", "y_cls").alias("a"), F.greatest("x_cls", "y_cls").alias("b"), *[c.alias(k) for k, c in pick.items()])
 
 
-def _linked(a: list[np.ndarray], b: list[np.ndarray] | None, percent: int) -> np.ndarray:
-    """Which of the sets ``a`` link with which of ``b``; without ``b``, of ``a`` with one another.  Shingles that many hold are
-    counted by products of 0/1 matrices, the others pair by pair."""
-    one, b = b is None, a if b is None else b
-    na, nb = len(a), len(b)
-    n_a, n_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
-    col = np.unique(np.concatenate(a if one else [*a, *b]), return_inverse=True)[1].ravel()
-    rows, cols = [np.repeat(np.arange(len(n)), n) for n in (n_a, n_b)], [col[: n_a.sum()], col if one else col[n_a.sum():]]
-    by = [np.argsort(c, kind="stable") for c in cols]
-    rows, cols = [r[o] for r, o in zip(rows, by)], [c[o] for c, o in zip(cols, by)]
-    width = int(col.max()) + 1 if len(col) else 0
-    has = [np.bincount(c, minlength=width) for c in cols]
-    met = has[0] * has[1]
-    often = met * 200 > na * nb
-    shared = np.zeros((na, nb), np.int64)
-
-    new = np.cumsum(often) - 1
-    (ra, ca), (rb, cb) = ((r[often[c]], new[c[often[c]]]) for r, c in zip(rows, cols))
-    step = max(1, (1 << 22) // (na + nb))
-    for at in range(0, int(often.sum()), step):
-        x, y = np.zeros((na, step), np.float32), np.zeros((nb, step), np.float32)
-        for m, r, c in ((x, ra, ca), (y, rb, cb)):
-            s, e = np.searchsorted(c, [at, at + step])
-            m[r[s:e], c[s:e] - at] = 1
-        shared += (x @ y.T).astype(np.int64)  # at most ``step``, which float32 holds exactly
-
-    few = ~often & (met > 0)
-    start = np.cumsum(has[1]) - has[1]
-    ra, ca = rows[0][few[cols[0]]], cols[0][few[cols[0]]]
-    upto = np.cumsum(has[1][ca])
-    at = 0
-    while at < len(ca):
-        e = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + (1 << 22), "right")))
-        k = has[1][ca[at:e]]
-        other = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) + np.repeat(start[ca[at:e]], k)
-        shared += np.bincount(np.repeat(ra[at:e], k) * nb + rows[1][other], minlength=na * nb).reshape(na, nb)
-        at = e
-
-    linked = shared * (100 + percent) >= (n_a[:, None] + n_b) * percent
-    if one:
-        np.fill_diagonal(linked, False)
-    return linked
-
-
-def _degrees(labels: DataFrame, sizes: DataFrame, band: Column, percent: int, sets, block_rows: int, block_shingles: int) -> DataFrame:
-    """``cls, linked``: with how many other classes each class links, for components (``sizes``: ``comp, k, total``) of three or more.
-
-    Links never leave a component.  One of more than ``block_rows`` classes or ``block_shingles`` shingles is cut by size band and
-    by a hash of the class; every block meets every other of its own and the next band, which is where a link can be.  A
-    task holds two blocks at a time and returns a count for each class, never pairs."""
-    sizes = sizes.where("k > 2")
-    small = (F.col("k") <= block_rows) & (F.col("total") <= block_shingles)
-    inside = written(labels.join(sizes, "comp").select("cls", "n", "comp", F.when(small, F.lit(0)).otherwise(band).alias("band")), "inside")
-    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / block_rows, F.sum("n") / block_shingles)).cast("int")
-    # the blocks of a component's bands: some dozens at most
-    cut = inside.groupBy("comp", "band").agg(F.when(F.col("band") == 0, F.lit(1)).otherwise(blocks).alias("blocks"))
-    cut = cut.groupBy("comp").agg(F.map_from_entries(F.collect_list(F.struct("band", "blocks"))).alias("cut"))
-
-    def of(b: Column) -> Column:
-        n = F.coalesce(F.try_element_at("cut", b), F.lit(0))
-        return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda s: F.struct(b.alias("band"), s.alias("salt")))).otherwise(F.array())
-
-    own = F.struct("band", F.pmod(F.xxhash64("cls"), F.element_at("cut", F.col("band"))).cast("int").alias("salt"))
-    near = F.concat(of(F.col("band") - 1), of(F.col("band")), of(F.col("band") + 1))
-    met = inside.join(cut, "comp").select("cls", "comp", own.alias("own"), F.explode(near).alias("other"))
-    low, high = F.least("own", "other"), F.greatest("own", "other")
-    pair = F.concat_ws("|", F.hex("comp"), low["band"], low["salt"], high["band"], high["salt"])
-    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") == low, 1).otherwise(2)
-    placed = met.select("cls", pair.alias("pair"), side.alias("side"))
-
-    def of_pair(rows: list[pd.DataFrame]) -> pd.DataFrame:
-        r = pd.concat(rows)
-        halves = [r[r["side"] == s] for s in (0, 1, 2)]
-        a, b, c = ([s.view(np.uint64) for s in h["shingles"]] for h in halves)
-        if a:
-            return pd.DataFrame({"cls": halves[0]["cls"], "linked": _linked(a, None, percent).sum(1)})
-        if not b or not c:
-            return pd.DataFrame({"cls": [], "linked": []})
-        m = _linked(b, c, percent)
-        return pd.DataFrame({"cls": pd.concat([halves[1]["cls"], halves[2]["cls"]]), "linked": np.concatenate([m.sum(1), m.sum(0)])})
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        for b in batches:
-            for pair, part in b.groupby("pair", sort=False):
-                if held and held[0]["pair"].iloc[0] != pair:
-                    yield of_pair(held)
-                    held = []
-                held.append(part)
-        if held:
-            yield of_pair(held)
-
-    found = placed.join(sets(inside.select("cls")), "cls").repartition("pair").sortWithinPartitions("pair")
-    return found.mapInPandas(count, "cls binary, linked long").groupBy("cls").agg(F.sum("linked").alias("linked"))
-
-
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, often_from: int = 16, most_common: int = 1 << 21, block_rows: int = 1024, block_shingles: int = 1 << 20) -> DataFrame:
-    """One row per row of ``docs``: id, ``n_shingles``, ``component_id``, ``n_links`` (how many other sets its set links with; rows
-    of equal sets are one), ``set_digest``.
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, often_from: int = 16, most_common: int = 1 << 21) -> DataFrame:
+    """One row per row of ``docs``: id, ``n_shingles``, ``component_id``, ``set_digest`` (its class: rows of equal sets are one) and
+    ``link_digest`` (a class that its class links with, verified; null where it links with none).
 
     Two texts link when 100 * |intersection| >= percent * |union| of their shingle sets; ``component_id`` is the smallest
     id reachable by links, itself included.  Sets without shingles link with nothing, not even one another.
@@ -339,16 +248,16 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     hold several components do the same again, member by member, in another order.  Last, all pairs of one list in
     different components meet, apart from those between members of its largest component; a bound from the shared part of
     the prefixes drops most, and the rest is verified.  So a group of near copies costs pairs in proportion to its size,
-    and no link between different components is missed.  ``n_links`` then compares all sets of a component, block by block
-    (see _degrees): work that grows with the square of the component, rows that grow with its number of blocks.
+    and no link between different components is missed.  The links kept by the way connect each component; ``link_digest``
+    is one of them, so that every membership can be checked.
 
     Null text is empty.  A null id is never a component's id while another is there.  Repeated rows are returned as often as
     they come.  An empty table gives no rows.  Other columns are not read.
     """
-    return _joined(docs, id_col, text_col, size, percent, often_from, most_common, block_rows, block_shingles).drop("_comp")
+    return _joined(docs, id_col, text_col, size, percent, often_from, most_common).drop("_comp")
 
 
-def _joined(docs: DataFrame, id_col: str, text_col: str, size: int = 5, percent: int = 75, often_from: int = 16, most_common: int = 1 << 21, block_rows: int = 1024, block_shingles: int = 1 << 20) -> DataFrame:
+def _joined(docs: DataFrame, id_col: str, text_col: str, size: int = 5, percent: int = 75, often_from: int = 16, most_common: int = 1 << 21) -> DataFrame:
     """See jaccard_join; with ``_comp``, which tells components apart whose smallest ids are equal."""
     common = common_shingles(docs, text_col, size, often_from, most_common)
     signed = _signed(docs, id_col, text_col, size, percent, common)
@@ -398,17 +307,15 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, size: int = 5, percent:
         links = links.unionAll(_verified(rest, members, percent, sets))
         labels = _labelled(members.select("cls", *key), links)
 
-    labels = written(labels, "labelled")
-    sizes = labels.groupBy("comp").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("total"))
-    degree = _degrees(labels, sizes, band, percent, lambda wanted: sets(wanted.join(members.select("cls", "p"), "cls")), block_rows, block_shingles)
-    # two classes of a component are linked with each other
-    labels = labels.join(sizes, "comp").join(degree, "cls", "left").select("cls", "comp", F.when(F.col("k") == 2, 1).otherwise(F.coalesce("linked", F.lit(0))).cast("long").alias("n_links"))
+    both = links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    one_link = both.groupBy(F.col("a").alias("cls")).agg(F.min("b").alias("link"))
+    labels = written(labels.select("cls", "comp").join(one_link, "cls", "left"), "labelled")
     rows = signed.select("id", "n", "cls")
     full = rows.where("n > 0").join(labels, "cls")
     least = full.groupBy("comp").agg(F.min("id").alias("component_id"))
-    full = full.join(least, "comp").select("id", "n", "component_id", "n_links", "cls", "comp")
-    empty = rows.where("n = 0").select("id", "n", F.col("id").alias("component_id"), F.lit(0).cast("long").alias("n_links"), "cls", F.col("cls").alias("comp"))
-    return full.unionAll(empty).select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), "component_id", "n_links", F.lower(F.hex("cls")).alias("set_digest"), F.col("comp").alias("_comp"))
+    full = full.join(least, "comp").select("id", "n", "component_id", "link", "cls", "comp")
+    empty = rows.where("n = 0").select("id", "n", F.col("id").alias("component_id"), F.lit(None).cast("binary").alias("link"), "cls", F.col("cls").alias("comp"))
+    return full.unionAll(empty).select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), "component_id", F.lower(F.hex("cls")).alias("set_digest"), F.lower(F.hex("link")).alias("link_digest"), F.col("comp").alias("_comp"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
