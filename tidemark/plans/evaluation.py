@@ -7,6 +7,7 @@ from tidemark.operators import evaluation as V
 from tidemark.plans.crosssection import _NDCG, PHASE, QCUT, SEL, SWING_PHASE, phase_trades, quantile_trades, selected, swing_trades
 from tidemark.plans.fmt import n, r, s, us
 from tidemark.plans.registry import query
+from tidemark.session import written
 
 EX = ("evidence_x",)
 _bin = lambda op: " + ".join(f"CAST(score {op} {i * 0.1!r}e0 AS INT)" for i in range(1, 10))
@@ -159,7 +160,7 @@ def evl_09(v):
     """Ranking economics: NDCG, downside cap, top k, non-overlapping groups, economics."""
     e = v.evidence
     nd = V.ndcg(e, ["group_id"], "score", "grade", 10).where("rows >= 2").agg(F.count(F.lit(1)).alias("ranking_groups"), F.avg("ndcg").alias("mean_ndcg"))
-    cand = X.top_k(e.where("downside <= 0.9"), ["group_id"], [F.desc("score"), F.col("ticker")], 10)
+    cand = written(X.top_k(e.where("downside <= 0.9"), ["group_id"], [F.desc("score"), F.col("ticker")], 10))  # at most ten rows a group, read twice
     kept = V.non_overlapping_groups(cand, [], "group_id", "entry_time", "exit_time").select("group_id")
     tr = cand.join(kept, "group_id", "left_semi").withColumn("scope_all", F.lit("all"))
     ec = V.economics(tr, ["scope_all"], "session", "group_id", "ret")
