@@ -5,14 +5,15 @@ from pyspark.sql import functions as F
 from tidemark.functions.clock import bar_grid, market_sessions, stride_offset
 from tidemark.operators import audits as A
 from tidemark.operators import crosssection as X
+from tidemark.operators import dataset_audits as DA
 from tidemark.operators import evaluation as V
 from tidemark.operators import signals as S
 from tidemark.plans.aggregates import PROFILE_SQL, profile
 from tidemark.plans.crosssection import _CAND, candidates
 from tidemark.plans.fmt import n, r, s, us
 from tidemark.plans.joins import _MEMBER_JOIN, member_match
-from tidemark.plans.labels import _SES, exact, session_labels
 from tidemark.plans.registry import query
+from tidemark.session import written
 
 EX = ("evidence_x",)
 
@@ -139,25 +140,93 @@ def aud_11(v):
 
 audit_query("aud_12", "supp_dim", lambda v: v.supp_dim, {"sector_missing": "sector IS NULL OR sector = ''", "negative_cap": "market_cap < 0"}, {"one_row_per_ticker": ["ticker"]}, ("supp_dim",), "Benchmark mapping populated.")
 
-LABEL_RULES = {
-    "entry_after_decision": "entry_time < timestamp", "exit_after_entry": "exit_time < entry_time", "exclusive_outcomes": "target_before_stop + stop_before_target + path_timeout <> 1", "realized_above_target": "path_realized_return_net > 10",
-    "bar_in_horizon": "path_outcome_bar NOT BETWEEN 1 AND 3", "stop_below_entry": "stop_price >= entry_price", "large_loss": "path_realized_return_net < -0.5"}
-_LAB = f"""WITH {_SES}, ll AS (SELECT ticker, timestamp, et AS entry_time, t3 AS exit_time, CAST(outcome = 'target_first' AS INT) AS target_before_stop, CAST(outcome = 'stop_first' AS INT) AS stop_before_target, CAST(outcome = 'timeout' AS INT) AS path_timeout,
- CASE outcome WHEN 'target_first' THEN tp WHEN 'stop_first' THEN sp ELSE c3 END / e - 1 - 0.001 AS path_realized_return_net, obar AS path_outcome_bar, sp AS stop_price, e AS entry_price, session_date_et FROM lab)"""
-audit_query("aud_13", "ll", session_labels, LABEL_RULES, {"identity": ["ticker", "timestamp"]}, ("bars_hour",), "Intraday label audit: order, exclusivity, ranges, identity.", _LAB)
+DS = ("dataset",)
+FEATURES = ("score", "downside", "liquidity")
+DEVELOPMENT_UNTIL = "2024-01-25 00:00:00"
 
-SWING_RULES = {"decision_before_entry": "entry_time <= decision_time", "exit_after_entry": "exit_time <= entry_time", "score_range": "score < 0 OR score > 1", "cost_applied": "ret > 0.2", "target_agrees": "(target = 1 AND ret < -0.001) OR (target = 0 AND ret > 0)", "liquidity_low": "liquidity < 2"}
-audit_query("aud_14", "evidence_x", lambda v: v.evidence, SWING_RULES, {"identity": ["ticker", "session"]}, EX, "Swing dataset audit.")
 
+def _count(cond: str, scope: str = "true") -> str:
+    return f"count(*) FILTER (WHERE {scope} AND coalesce({cond}, false))"
 
-@query("aud_15", """WITH g AS (SELECT group_id, count(*) AS k, count(DISTINCT decision_time) AS t FROM evidence_x GROUP BY 1), j AS (SELECT e.*, g.k, g.t FROM evidence_x e JOIN g USING (group_id))
-SELECT 'group_too_small' AS "check", count(*) FILTER (WHERE k < 30) AS failures, count(*) AS rows_checked FROM j UNION ALL SELECT 'group_spans_times', count(*) FILTER (WHERE t > 1), count(*) FROM j
-UNION ALL SELECT 'cross_session_exit', count(*) FILTER (WHERE CAST(exit_time AS DATE) <> session), count(*) FROM j UNION ALL SELECT 'weight_range', count(*) FILTER (WHERE liquidity <= 0), count(*) FROM j""", EX)
+
+def report_sql(frm: str, checks: dict[str, tuple[str, str]], per_key: dict[str, tuple[str, str, str]], pre: str = "") -> str:
+    """One SELECT per rule: failures and rows checked over ``frm``, or over a grouped form of it."""
+    parts = [f"SELECT '{k}' AS \"check\", CAST({f} + 0 * count(*) AS BIGINT) AS failures, CAST({c} AS BIGINT) AS rows_checked FROM {frm}" for k, (f, c) in checks.items()]
+    parts += [f"SELECT '{k}', CAST({f} AS BIGINT), CAST({c} AS BIGINT) FROM ({g})" for k, (f, c, g) in per_key.items()]
+    return f"{pre} SELECT *, CASE WHEN failures = 0 THEN 'passed' ELSE 'failed' END AS status FROM ({' UNION ALL '.join(parts)})"
+
+
+def _identity_sql(frm: str, keys: str) -> dict:
+    return {"identity": ("coalesce(sum(k - 1), 0)", "coalesce(sum(k), 0)", f"SELECT count(*) AS k FROM {frm} GROUP BY {keys}")}
+
+
+_INPUTS = ("one_minute_available_at", "spy_available_at", "qqq_available_at", "sector_available_at", "source_status_available_at_click", "source_status_available_at_view",
+           "global_source_status_available_at_macro")
+_FUTURE_SQL = " + ".join([_count("feature_available_at IS NULL OR feature_available_at > decision_time"), *[_count(f"{c} > decision_time") for c in _INPUTS]])
+_N, _OK = "count(*)", "feature_eligible"
+
+
+def _source_sql(name: str, prefix: str, scope: str) -> str:
+    end, known = f"{prefix}source_coverage_end_{name}", f"{prefix}source_status_available_at_{name}"
+    return _count(f"{prefix}source_status_{name} NOT IN ('observed', 'observed_empty') OR {end} IS NULL OR {known} IS NULL OR {end} > {known} OR {end} > decision_time OR epoch_us(decision_time) - epoch_us({end}) > 86400000000", scope)
+
+
+_COMMON = {"schema": ("0", _N), "rows": ("CAST(count(*) = 0 AS INT)", _N), "timestamps": (_count("decision_time IS NULL") + " + " + _count("feature_available_at IS NULL"), _N), "no_future_features": (_FUTURE_SQL, _N),
+           "price_feed": (_count("lower(price_feed) <> 'sip'", _OK), _count(_OK)), "adjustment": (_count("lower(adjustment) <> 'all'", _OK), _count(_OK)),
+           "cross_section": (_count("NOT cross_section_eligible", _OK), _count(_OK)), "feature_names": ("0", "3"), "schema_version": (_count("feature_schema_version <> 'v1'"), _N)}
+_EXACT = "(feature_eligible AND label_path_exact)"
+_INTRADAY_SQL = _COMMON | {
+    "benchmark_coverage": (_count("spy_available_at IS NULL OR qqq_available_at IS NULL OR sector_available_at IS NULL", _OK), _count(_OK)),
+    "warmup": (_count("five_minute_bar_count < 20 OR one_minute_bar_count < 120 OR NOT five_minute_history_exact OR NOT one_minute_history_exact", _OK) + f" + CAST({_count(_OK)} = 0 AS INT)", _N),
+    "exact_label_path": (_count("NOT label_path_exact", "feature_eligible AND label_window_expected"), _count("feature_eligible AND label_window_expected")),
+    "label_order": (_count("entry_time IS NULL OR exit_time IS NULL OR label_available_at IS NULL OR label_window_end IS NULL OR entry_time < decision_time OR exit_time <= entry_time OR label_available_at < exit_time OR label_window_end < exit_time", "label_eligible"), _count("label_eligible")),
+    "label_values": (_count("path_target_first_60m + path_stop_first_60m + path_timeout_60m <> 1 OR greatest(path_target_first_60m, path_stop_first_60m, path_timeout_60m) > 1", "label_eligible"), _count("label_eligible")),
+    "label_costs": (_count("abs(path_realized_return_net_60m - (path_realized_return_gross_60m - 0.001::DOUBLE)) > 1e-12::DOUBLE + 1e-5::DOUBLE * abs(path_realized_return_gross_60m - 0.001::DOUBLE)", "label_eligible"), _count("label_eligible")),
+    "label_benchmarks": (_count("future_excess_return_60m_vs_spy IS NULL OR future_excess_return_60m_vs_qqq IS NULL OR future_excess_return_60m_vs_sector IS NULL", _EXACT), _count(_EXACT)),
+    "overlap_metadata": (_count("concurrent_label_count < 1 OR overlap_weight <= 0", "label_path_exact"), _count("label_path_exact")),
+    "catalyst_timing": (_count("one_minute_available_at > decision_time", "catalyst_eligible"), _count("catalyst_eligible"))}
+
+
+@query("aud_13", report_sql("dataset", _INTRADAY_SQL, _identity_sql("dataset", "ticker, decision_time") | {
+    "group_sessions": (_count("k > 1"), _N, "SELECT count(DISTINCT session_date_et) AS k FROM dataset GROUP BY group_id")}), DS)
+def aud_13(v):
+    """Intraday dataset: the twenty rules."""
+    return DA.intraday_audit(written(v.dataset), 60, FEATURES, min_one_minute_bars=120)
+
+
+_SWING_SQL = _COMMON | {
+    "benchmark_coverage": (_count("spy_available_at IS NULL OR qqq_available_at IS NULL OR sector_available_at IS NULL", "daily_bar_count >= 40"), _count("daily_bar_count >= 40")),
+    "source_coverage": (_source_sql("click", "", _OK) + " + " + _source_sql("view", "", _OK), _count(_OK)), "global_source_coverage": (_source_sql("macro", "global_", _OK), _count(_OK)),
+    "warmup": (f"CAST({_count(_OK)} = 0 AS INT)", _N), "exact_label_path": (_count("NOT label_path_exact", "feature_eligible AND label_window_expected"), _count("label_window_expected")),
+    "label_order": (_count("entry_time <= decision_time OR exit_time <= entry_time OR label_available_at < exit_time", "label_eligible"), _count("label_eligible")),
+    "label_values": (_count("target_5d IS NULL OR target_5d NOT IN (0, 1)", "label_eligible"), _count("label_eligible"))}
+
+
+@query("aud_14", report_sql("dataset", _SWING_SQL, _identity_sql("dataset", "ticker, decision_time")), DS)
+def aud_14(v):
+    """Swing dataset: the seventeen rules."""
+    return DA.swing_audit(written(v.dataset), 5, FEATURES, global_sources=["macro"])
+
+
+_DATE = lambda c: f"CAST(({c} AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York' AS DATE)"
+_TRAIN_SQL = {
+    "schema": ("0", _N), "rows": ("CAST(count(*) = 0 AS INT)", _N), "timestamps": (_count("decision_time IS NULL OR feature_available_at IS NULL OR entry_time IS NULL OR exit_time IS NULL"), _N),
+    "feature_availability": (_count("feature_available_at > decision_time"), _N), "entry_after_decision": (_count("entry_time <= decision_time"), _N), "exit_before_entry": (_count("exit_time < entry_time"), _N),
+    **{f"session_of_{k}": (_count(f"{_DATE(c)} IS DISTINCT FROM session_date_et"), _N) for k, c in (("decision", "decision_time"), ("entry", "entry_time"), ("exit", "exit_time"))},
+    "development_only": (_count(f"decision_time > TIMESTAMP '{DEVELOPMENT_UNTIL}'"), _N), "feature_schema": (_count("feature_schema_version <> 'v1'") + " + CAST(count(feature_schema_version) = 0 AS INT)", _N),
+    **{f"one_label_{k}": (f"CAST(count(DISTINCT {c}) <> 1 AS INT)", _N) for k, c in (("schema", "label_schema_version"), ("config", "label_config_json"), ("hash", "label_config_hash"))},
+    "label_hash": ("CAST(coalesce(sha256(min(label_config_json)) <> min(label_config_hash), true) AS INT)", _N), "label_config_object": ("CAST(coalesce(json_type(min(label_config_json)) <> 'OBJECT', true) AS INT)", _N),
+    "price_feed": (_count("lower(trim(coalesce(price_feed, ''))) <> 'sip'"), _N), "universe_snapshot": (_count("trim(coalesce(universe_snapshot_id, '')) = ''"), _N),
+    "overlap_weight": (_count("overlap_weight IS NULL OR overlap_weight <= 0 OR overlap_weight > 1"), _N), "binary_stop": (_count("stop_before_target NOT IN (0, 1)"), _N),
+    "ranking_target": (_count("ranking_target IS NULL"), _N), "ranking_grade": (_count("ranking_grade < 0 OR ranking_grade % 1 <> 0"), _N), "feature_names": ("0", "3")}
+
+
+@query("aud_15", report_sql("dataset", _TRAIN_SQL, _identity_sql("dataset", "group_id, ticker") | {
+    "one_time_per_group": (_count("k <> 1"), _N, "SELECT count(DISTINCT decision_time) AS k FROM dataset GROUP BY group_id"),
+    "group_size": (_count("NOT fits"), _N, "SELECT bool_and(coalesce(ranking_group_size = n, false)) AS fits FROM (SELECT group_id, ranking_group_size, count(*) OVER (PARTITION BY group_id) AS n FROM dataset) GROUP BY group_id")}), DS)
 def aud_15(v):
-    """Training-frame validation: group size, one time per group, no cross-session exit, weights."""
-    g = v.evidence.groupBy("group_id").agg(F.count(F.lit(1)).alias("k"), F.min("decision_time").alias("t0"), F.max("decision_time").alias("t1"))
-    j = v.evidence.join(g, "group_id")
-    return A.audit(j, {"group_too_small": "k < 30", "group_spans_times": "t0 <> t1", "cross_session_exit": F.to_date("exit_time") != F.col("session"), "weight_range": "liquidity <= 0"}).drop("status")
+    """Training frame: sessions, order of times, one label configuration, group sizes, weights, grades."""
+    return DA.training_audit(written(v.dataset), DEVELOPMENT_UNTIL, FEATURES)
 
 
 @query("aud_16", """WITH b AS (SELECT count(*) AS rows, count(DISTINCT ticker) AS tickers, count(DISTINCT date) AS sessions, max(date) AS last FROM bars_supp), u AS (SELECT count(*) FILTER (WHERE ticker NOT IN (SELECT ticker FROM bars_supp)) AS missing FROM supp_dim),
@@ -239,16 +308,45 @@ def aud_21(v):
     return base.join(d, "source", "left").select("source", "rows_in", "missing_required_rows_removed", F.coalesce("dup", F.lit(0)).alias("duplicate_rows_removed"))
 
 
-@query("aud_22", """WITH m AS (SELECT max(completed_at) AS now FROM collections), s AS (SELECT source_family, max(requested_end) FILTER (WHERE status IN ('observed', 'observed_empty')) AS cov, count(*) FILTER (WHERE status = 'failed') AS failed FROM collections GROUP BY 1)
-SELECT source_family, epoch_us(cov) AS watermark, failed AS failed_attempts, CAST(cov IS NULL OR epoch_us(now) - epoch_us(cov) > 3600000000 AS BIGINT) AS stale FROM s, m""", ("collections",))
+_LIVE = "lv AS (SELECT * FROM dataset WHERE decision_time = (SELECT max(decision_time) FROM dataset) AND feature_eligible)"
+_LIVE_COLUMNS = ("ticker", "group_id", "session_date_et", "decision_time", "feature_available_at", *_INPUTS, "five_minute_bar_count", "one_minute_bar_count", "five_minute_history_exact", "one_minute_history_exact", "feature_eligible", "cross_section_eligible",
+                 "catalyst_eligible", "price_feed", "adjustment", "feature_schema_version", *FEATURES, *[f"{p}{c}_{k}" for c in ("source_status", "source_coverage_end") for p, k in (("", "click"), ("", "view"), ("global_", "macro"))], "label_window_end")
+_LIVE_SQL = {k: _COMMON[k] for k in ("schema", "rows", "timestamps", "no_future_features")} | {
+    "decision_group": ("greatest(0, count(DISTINCT group_id) - 1)", _N), "cutoff_contract": ("0", _N), "no_labels": ("1", str(len(_LIVE_COLUMNS))),
+    "sources": (" + ".join(_source_sql(k, p, "true") for p, k in (("", "click"), ("", "view"), ("global_", "macro"))), _N), "price_feed": (_count("lower(price_feed) <> 'sip'"), _N), "adjustment": (_count("lower(adjustment) <> 'all'"), _N),
+    "warmup": (" + ".join(_count(x) for x in ("five_minute_bar_count < 20", "one_minute_bar_count < 120", "NOT five_minute_history_exact", "NOT one_minute_history_exact")), _N),
+    "cross_section": ("CAST(count(*) < 5 AS INT) + " + _count("NOT cross_section_eligible"), _N), "catalyst": (_count("NOT catalyst_eligible"), _N), "schema_version": (_count("feature_schema_version <> 'v1'"), _N)}
+
+
+def live(v):
+    """Newest decision group and its report; one label column is left in, so that its rule has something to find."""
+    return DA.live_audit(written(v.dataset.select(*_LIVE_COLUMNS)), "intraday", FEATURES, min_one_minute_bars=120, global_sources=["macro"])
+
+
+@query("aud_22", report_sql("lv", _LIVE_SQL, _identity_sql("lv", "ticker, decision_time"), f"WITH {_LIVE}"), DS)
 def aud_22(v):
-    """Live source audit: coverage watermark and staleness per source."""
-    c = v.collections
+    """Live snapshot: the fifteen rules over the newest decision group."""
+    return live(v)[1]
+
+
+@query("aud_22w", f"WITH {_LIVE} " + " UNION ALL ".join(
+    f"""SELECT '{kind}:{k}' AS source, CASE WHEN {bad} = 0 THEN epoch_us(min({p}source_coverage_end_{k})) END AS watermark, {bad} AS invalid_rows FROM lv"""
+    for kind, p, k in (("ticker", "", "click"), ("ticker", "", "view"), ("global", "global_", "macro")) for bad in (_count(f"{p}source_coverage_end_{k} IS NULL OR {p}source_coverage_end_{k} > decision_time"),)), DS)
+def aud_22w(v):
+    """Source watermarks of the live snapshot: the earliest coverage end."""
+    return DA.watermarks(live(v)[0]).select("source", us("watermark"), "invalid_rows")
+
+
+@query("aud_22s", """WITH m AS (SELECT max(completed_at) AS now FROM collections), c AS (SELECT ticker, source_family, max(requested_end) FILTER (WHERE status IN ('observed', 'observed_empty')) AS cov, count(*) FILTER (WHERE status = 'failed') AS failed FROM collections GROUP BY 1, 2),
+ s AS (SELECT source_family, min(cov) AS cov, count(*) FILTER (WHERE cov IS NULL) AS never, CAST(sum(failed) AS BIGINT) AS failed FROM c GROUP BY 1)
+SELECT source_family, epoch_us(cov) AS watermark, failed AS failed_attempts, never AS tickers_without_coverage, CAST(cov IS NULL OR epoch_us(now) - epoch_us(cov) > 3600000000 AS BIGINT) AS stale FROM s, m""", ("collections",))
+def aud_22s(v):
+    """Watermark of each source's log: the earliest of its tickers' latest coverage ends, failures and staleness."""
     ok = F.col("status").isin("observed", "observed_empty")
-    g = c.groupBy("source_family").agg(F.max(F.when(ok, F.col("requested_end"))).alias("cov"), F.count_if(F.col("status") == "failed").alias("failed_attempts"))
-    now = c.agg(F.max("completed_at").alias("now"))
-    j = g.join(F.broadcast(now))  # one-row aggregate
-    return j.select("source_family", us("cov", "watermark"), "failed_attempts", n(F.col("cov").isNull() | (F.unix_micros("now") - F.unix_micros("cov") > 3_600_000_000), "stale"))
+    each = v.collections.groupBy("ticker", "source_family").agg(F.max(F.when(ok, F.col("requested_end"))).alias("cov"), F.count_if(F.col("status") == "failed").alias("failed"), F.max("completed_at").alias("last"))
+    g = each.groupBy("source_family").agg(F.min("cov").alias("cov"), F.count_if(F.col("cov").isNull()).alias("tickers_without_coverage"), F.sum("failed").alias("failed_attempts"), F.max("last").alias("last"))
+    now = F.max("last").over(Window.partitionBy(F.lit(0)))  # one row per source
+    return g.select("source_family", us("cov", "watermark"), "failed_attempts", "tickers_without_coverage", n(F.col("cov").isNull() | (F.unix_micros(now) - F.unix_micros("cov") > 3_600_000_000), "stale"))
 
 
 @query("aud_23", """WITH m AS (SELECT 'rows' AS metric, count(*)::DOUBLE AS value FROM evidence_x UNION ALL SELECT 'win_rate', avg(CAST(ret > 0 AS INT)) FROM evidence_x UNION ALL SELECT 'brier_score', avg((score - target) * (score - target)) FROM evidence_x UNION ALL SELECT 'sessions', count(DISTINCT session) FROM evidence_x),

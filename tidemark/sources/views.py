@@ -11,10 +11,12 @@ collections             source-collection log per (user, event type)
 facts / memberships     order history as fundamental facts and SCD-2 intervals
 headlines               documents as news items (title = first line)
 evidence                scored cross-section with forward outcome per (user, day)
+dataset                 the same rows as a dataset with availability times, source states, labels and flags, some of them faulty
 ======================  ==========================================================
 """
 from __future__ import annotations
 
+import re
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -180,6 +182,72 @@ class Views:
             "exit_time": F.col("decision_time") + F.make_dt_interval(mins=(F.lit(35) + 60 * F.col("slot")).cast("int")),
         })
 
+    @cached_property
+    def dataset(self) -> DataFrame:
+        from tidemark.operators.joins import source_status
+
+        e = self.evidence
+        size = e.groupBy("group_id").agg(F.count(F.lit(1)).alias("group_rows"))
+        d = source_status(e, self.collections, ["click", "view", "signup"]).join(size, "group_id")
+        d = d.withColumns({f"global_{c.replace('signup', 'macro')}": F.col(c) for c in d.columns if c.endswith("_signup") and "observed" not in c})
+        d = d.withColumns({"seed": F.expr("user_id * 31 + dayofmonth(session)"), "us": F.unix_micros("decision_time"), "decision_date_et": et_date("decision_time")})
+        cols = {name: F.expr(_at(sql, "timestamp_micros(us + ({}) * 1000000)").replace("HASH(", "sha2(").replace("HASHED)", "256)")) for name, sql in DATASET.items()}
+        return d.withColumns(cols).drop("seed", "us", "decision_date_et", "group_rows", "source_state_available_at", *[c for c in d.columns if c.endswith("_signup")], *[c for c in d.columns if "observed_rows" in c])
+
+
+def _at(sql: str, form: str) -> str:
+    """``AT[seconds]`` is the decision time moved by them."""
+    return re.sub(r"AT\[(.*?)\]", lambda m: form.format(m.group(1)), sql)
+
+
+# Columns of the dataset view over evidence.  ``seed`` spreads faults over users and days.
+DATASET = {
+    "session_date_et": "CASE WHEN seed % 97 = 0 THEN session ELSE decision_date_et END",
+    "feature_available_at": "CASE WHEN seed % 89 = 0 THEN AT[60] WHEN seed % 149 <> 0 THEN AT[-30] END",
+    "one_minute_available_at": "CASE WHEN seed % 83 <> 0 THEN AT[seed % 61 - 59] END",
+    "spy_available_at": "CASE WHEN seed % 79 <> 0 THEN AT[-15] END",
+    "qqq_available_at": "AT[CASE WHEN seed % 73 = 0 THEN 5 ELSE -5 END]",
+    "sector_available_at": "CASE WHEN seed % 71 <> 0 THEN AT[-20] END",
+    "label_available_at": "AT[2100 + 3600 * slot + CASE WHEN seed % 67 = 0 THEN -60 ELSE 60 END]",
+    "label_window_end": "AT[2100 + 3600 * slot]",
+    "price_feed": "CASE WHEN seed % 59 = 0 THEN 'IEX' ELSE 'SIP' END",
+    "adjustment": "CASE WHEN seed % 53 = 0 THEN 'raw' ELSE 'all' END",
+    "daily_bar_count": "CAST(liquidity * 20 AS BIGINT)",
+    "five_minute_bar_count": "CAST(liquidity * 10 AS BIGINT)",
+    "one_minute_bar_count": "CAST(liquidity * 40 AS BIGINT)",
+    "five_minute_history_exact": "seed % 47 <> 0",
+    "one_minute_history_exact": "seed % 43 <> 0",
+    "feature_eligible": "liquidity >= 2",
+    "cross_section_eligible": "group_rows >= 5",
+    "catalyst_eligible": "user_id % 2 = 0",
+    "label_window_expected": "slot < 2",
+    "label_path_exact": "seed % 41 <> 0",
+    "label_eligible": "liquidity >= 2 AND seed % 41 <> 0",
+    "path_target_first_60m": "target",
+    "path_stop_first_60m": "CASE WHEN target = 0 AND ret < -0.05 THEN 1 ELSE 0 END",
+    "path_timeout_60m": "CASE WHEN target = 0 AND ret >= -0.05 OR seed % 37 = 0 THEN 1 ELSE 0 END",
+    "path_realized_return_gross_60m": "ret + 0.001",
+    "path_realized_return_net_60m": "CASE WHEN seed % 29 = 0 THEN ret + 0.0005 ELSE ret END",
+    "future_excess_return_60m_vs_spy": "CASE WHEN seed % 101 <> 0 THEN ret END",
+    "future_excess_return_60m_vs_qqq": "ret",
+    "future_excess_return_60m_vs_sector": "CASE WHEN seed % 103 <> 0 THEN ret END",
+    "target_5d": "CASE WHEN seed % 107 <> 0 THEN target END",
+    "future_net_return_5d": "ret",
+    "future_excess_return_5d_vs_spy": "ret",
+    "future_excess_return_5d_vs_qqq": "ret",
+    "future_excess_return_5d_vs_sector": "ret",
+    "concurrent_label_count": "CAST(liquidity AS BIGINT)",
+    "overlap_weight": "CASE WHEN seed % 109 = 0 THEN 0 ELSE 1 / liquidity END",
+    "feature_schema_version": "CASE WHEN seed % 113 = 0 THEN 'v0' ELSE 'v1' END",
+    "label_schema_version": "'labels_v1'",
+    "label_config_json": "'{\"horizon\": 60}'",
+    "label_config_hash": "HASH('{\"horizon\": 60}', HASHED)",
+    "universe_snapshot_id": "CASE WHEN seed % 127 = 0 THEN '' ELSE 'u1' END",
+    "ranking_group_size": "CASE WHEN seed % 131 = 0 THEN group_rows + 1 ELSE group_rows END",
+    "stop_before_target": "CASE WHEN seed % 137 = 0 THEN 2 WHEN ret < 0 THEN 1 ELSE 0 END",
+    "ranking_target": "CASE WHEN seed % 139 <> 0 THEN ret END",
+    "ranking_grade": "CASE WHEN seed % 151 = 0 THEN 1.5 ELSE grade END",
+}
 
 # The collection statuses in their k % 5 order.
 STATUSES = ("observed", "observed_empty", "partial", "failed", "disabled")
@@ -187,6 +255,22 @@ STATUSES = ("observed", "observed_empty", "partial", "failed", "disabled")
 _K = "CAST(regexp_extract(props, '([0-9]+)', 1) AS INT)"
 _STATUS = f"(['observed','observed_empty','partial','failed','disabled'])[{_K} % 5 + 1]"
 
+
+
+def _dataset_sql() -> str:
+    families = ("click", "view", "signup")
+    names = {"click": ("", "click"), "view": ("", "view"), "signup": ("global_", "macro")}
+    joins = " ".join(f"ASOF LEFT JOIN (SELECT * FROM collections WHERE source_family = '{f}' QUALIFY row_number() OVER (PARTITION BY ticker, completed_at ORDER BY collection_id DESC) = 1) c_{f}"
+                     f" ON c_{f}.ticker = e.ticker AND e.decision_time >= c_{f}.completed_at" for f in families)
+    states = ", ".join(f"coalesce(c_{f}.status, 'not_collected') AS {p}source_status_{n}, c_{f}.completed_at AS {p}source_status_available_at_{n}, c_{f}.requested_end AS {p}source_coverage_end_{n}"
+                       for f, (p, n) in names.items())
+    cols = ", ".join(f"{_at(sql, 'make_timestamp(us + CAST({} AS BIGINT) * 1000000)').replace('HASH(', 'sha256(').replace(', HASHED)', ')')} AS {name}" for name, sql in DATASET.items())
+    return f"""
+        SELECT * EXCLUDE (seed, us, decision_date_et, group_rows), {cols} FROM (SELECT e.*, {states}, count(*) OVER (PARTITION BY e.group_id) AS group_rows,
+          e.user_id * 31 + dayofmonth(e.session) AS seed, epoch_us(e.decision_time) AS us,
+          CAST((e.decision_time AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York' AS DATE) AS decision_date_et FROM evidence_x e {joins})"""
+
+
 #: view name -> (views it needs, SQL body)
 CTE: dict[str, tuple[tuple[str, ...], str]] = {
     "bars_supp": ((), """
@@ -266,4 +350,5 @@ CTE: dict[str, tuple[tuple[str, ...], str]] = {
             CAST(session AS TIMESTAMP) + to_hours(CAST(user_id % 3 AS INT)) + INTERVAL 30 SECOND AS decision_time
           FROM (SELECT *, CAST(substr(ticker, 2) AS BIGINT) AS user_id,
               CAST(greatest(0, least(4, floor((ret + 0.201) / 0.4::DOUBLE * 5))) AS BIGINT) AS grade FROM evidence))"""),
+    "dataset": (("evidence_x", "collections"), _dataset_sql()),
 }
