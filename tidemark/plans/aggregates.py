@@ -8,9 +8,11 @@ from tidemark.functions.clock import time_bucket
 from tidemark.operators import crosssection as X
 from tidemark.operators.features import session_summary
 from tidemark.operators.ordered import quantiles, row_blocks, frame, own, time_block
-from tidemark.plans.crosssection import SEL, QCUT, quantile_trades, selected
+from tidemark.operators import diagnostics as D
+from tidemark.plans.crosssection import ASEL, SEL, QCUT, quantile_trades, selected
 from tidemark.plans.evaluation import outcome_report
 from tidemark.plans.fmt import n, r, s, us
+from tidemark.sources.views import OUTCOMES
 from tidemark.plans.registry import query
 from tidemark.sources.views import bars
 
@@ -140,27 +142,21 @@ def agg_11(v):
     return d.select("ticker", s("session"), rec.alias("recovered"), valid.alias("valid_one_hot"))
 
 
-_DIMS = {"month": "strftime(session, '%Y-%m')", "regime": "regime", "slot": "CAST(slot AS VARCHAR)", "grade": "CAST(grade AS VARCHAR)"}
-_STRATA = " UNION ALL ".join(f"""SELECT p.scope, '{k}' AS dimension, p.value, coalesce(s.selected_rows, 0) AS selected_rows, p.population_rows, round(s.m, 6) AS selected_mean, round(p.m, 6) AS population_mean, round(s.m - p.m, 6) AS selection_delta,
- round(s.pos, 6) AS selected_positive_rate, CAST(coalesce(s.selected_rows >= 100 AND s.sessions >= 10, false) AS BIGINT) AS meets_minimum_evidence
- FROM (SELECT scope, {x} AS value, count(*) AS population_rows, avg(ret) AS m FROM evidence_x GROUP BY ALL) p
- LEFT JOIN (SELECT scope, {x} AS value, count(*) AS selected_rows, avg(ret) AS m, avg(CASE WHEN ret > 0 THEN 1 ELSE 0 END) AS pos, count(DISTINCT session) AS sessions FROM sel GROUP BY ALL) s USING (scope, value)""" for k, x in _DIMS.items())
+_DIMS = ("month", "fold_bucket", "time_bucket", "market_regime", "sector", "market_cap_bucket", "liquidity_bucket", "liquidity_rank_quartile", "volatility_rank_quartile")
+_STRATA = " UNION ALL ".join(f"""SELECT p.scope, '{x}' AS dimension, p.value, s.selected_rows, p.population_rows, s.decision_groups, s.sessions,
+ {", ".join(f"round(s.{o}, 6) AS selected_{o}, round(p.{o}, 6) AS population_{o}, round(s.{o} - p.{o}, 6) AS delta_{o}" for o in OUTCOMES)},
+ round(s.pos, 6) AS selected_positive_rate, CAST(s.selected_rows >= 100 AND s.sessions >= 20 AS BIGINT) AS meets_minimum_evidence
+ FROM (SELECT scope, {x} AS value, count(*) AS population_rows, {", ".join(f"avg({o}) AS {o}" for o in OUTCOMES)} FROM attributed WHERE {x} IS NOT NULL GROUP BY ALL) p
+ JOIN (SELECT scope, {x} AS value, count(*) AS selected_rows, count(DISTINCT group_id) AS decision_groups, {", ".join(f"avg({o}) AS {o}" for o in OUTCOMES)},
+   avg(CASE WHEN net_excess_1b > 0 THEN 1 ELSE 0 END) AS pos, count(DISTINCT session) AS sessions FROM sel WHERE {x} IS NOT NULL GROUP BY ALL) s USING (scope, value)""" for x in _DIMS)
 
 
-@query("agg_12", f"WITH {SEL} {_STRATA}", EX)
+@query("agg_12", f"WITH {ASEL} {_STRATA}", ("attributed",))
 def agg_12(v):
-    """Stratified selected-against-population summaries over several dimensions in one pass."""
-    sel = selected(v).select("scope", "group_id", "ticker", F.lit(1).alias("hit"))
-    d = v.evidence.join(sel, ["scope", "group_id", "ticker"], "left").withColumns({
-        "month": F.date_format("session", "yyyy-MM"), "slot": F.col("slot").cast("string"), "grade": F.col("grade").cast("string")})
-    dims = ("month", "regime", "slot", "grade")
-    long = d.unpivot(["scope", "session", "ret", "hit"], list(dims), "dimension", "value")
-    hit = F.col("hit") == 1
-    g = long.groupBy("scope", "dimension", "value").agg(
-        F.count("hit").alias("selected_rows"), F.count(F.lit(1)).alias("population_rows"), F.avg(F.when(hit, F.col("ret"))).alias("m"), F.avg("ret").alias("p"),
-        F.avg(F.when(hit, (F.col("ret") > 0).cast("double"))).alias("pos"), F.countDistinct(F.when(hit, F.col("session"))).alias("sessions"))
-    return g.select("scope", "dimension", "value", "selected_rows", "population_rows", r("m", "selected_mean"), r("p", "population_mean"), r(F.col("m") - F.col("p"), "selection_delta"),
-                    r("pos", "selected_positive_rate"), n((F.col("selected_rows") >= 100) & (F.col("sessions") >= 10), "meets_minimum_evidence"))
+    """Stratified selected-against-population summaries over nine dimensions and eight outcomes in one pass."""
+    out = D.strata(v.attributed, _DIMS, OUTCOMES, "net_excess_1b")
+    kinds = [f"{a}_{o}" for o in OUTCOMES for a in ("selected", "population", "delta")]
+    return out.select("scope", "dimension", "value", "selected_rows", "population_rows", "decision_groups", "sessions", *[r(c) for c in kinds], r("selected_positive_rate"), n("meets_minimum_evidence"))
 
 
 @query("agg_13", """WITH d AS (SELECT *, least(10, greatest(1, ceil(row_number() OVER (PARTITION BY group_id ORDER BY score, ticker)::DOUBLE / count(*) OVER (PARTITION BY group_id) * 10))) AS dec FROM evidence_x)

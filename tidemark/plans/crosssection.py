@@ -178,6 +178,7 @@ def rnk_13(v):
 
 # --- top-k ------------------------------------------------------------------------------------------------------
 SEL = "sel AS (SELECT * FROM evidence_x QUALIFY row_number() OVER (PARTITION BY scope, group_id ORDER BY score DESC, ticker) <= 10)"
+ASEL = SEL.replace("evidence_x", "attributed")
 
 
 def selected(v, k: int = 10):

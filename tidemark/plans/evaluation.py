@@ -3,11 +3,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import crosssection as X
+from tidemark.operators import diagnostics as D
 from tidemark.operators import evaluation as V
-from tidemark.plans.crosssection import _NDCG, PHASE, QCUT, SEL, SWING_PHASE, phase_trades, quantile_trades, selected, swing_trades
+from tidemark.plans.crosssection import ASEL, _NDCG, PHASE, QCUT, SEL, SWING_PHASE, phase_trades, quantile_trades, selected, swing_trades
 from tidemark.plans.fmt import n, r, s, us
 from tidemark.plans.registry import query
 from tidemark.session import written
+from tidemark.sources.views import OUTCOMES
 
 EX = ("evidence_x",)
 _bin = lambda op: " + ".join(f"CAST(score {op} {i * 0.1!r}e0 AS INT)" for i in range(1, 10))
@@ -185,14 +187,7 @@ def evl_10(v):
     return means.join(F.broadcast(ci)).select("baseline_mean", "overlay_mean", r("point", "delta"), r("low", "delta_low"), r("high", "delta_high"))  # one-row aggregates
 
 
-_OUT = ("ret", "target", "grade")
-_OUTCOME = " UNION ALL ".join(f"""SELECT scope, '{o}' AS outcome, count(*) AS groups, round(avg(s), 6) AS selected_mean, round(avg(p), 6) AS population_group_mean, round(avg(s - p), 6) AS selection_delta,
-  round(avg(o), 6) AS oracle_top_k_mean, round(avg(CAST(s > 0 AS INT)), 6) AS selected_positive_group_rate FROM
-  (SELECT scope, group_id, avg({o}) AS p FROM evidence_x GROUP BY ALL) JOIN (SELECT scope, group_id, avg({o}) AS s FROM sel GROUP BY ALL) USING (scope, group_id)
-  JOIN (SELECT scope, group_id, avg({o}) AS o FROM (SELECT * FROM evidence_x QUALIFY row_number() OVER (PARTITION BY scope, group_id ORDER BY {o} DESC, ticker) <= 10) GROUP BY ALL) USING (scope, group_id) GROUP BY ALL""" for o in _OUT)
-
-
-def outcome_report(v, outcomes=_OUT):
+def outcome_report(v, outcomes):
     """Selected, population and best-k group means per outcome; outcomes are unpivoted, so one pass serves all."""
     keys = ["scope", "group_id", "outcome"]
     long = v.evidence.select("scope", "group_id", "ticker", *[F.col(o).cast("double").alias(o) for o in outcomes]).unpivot(
@@ -204,13 +199,23 @@ def outcome_report(v, outcomes=_OUT):
     return pop.join(chosen, keys).join(best, keys)
 
 
-@query("evl_11", f"WITH {SEL} {_OUTCOME}", EX)
+_LONG = " UNION ALL ".join(f"""SELECT scope, '{o}' AS outcome, session, p, s, o FROM (SELECT scope, group_id, min(session) AS session, avg({o}) AS p FROM attributed GROUP BY ALL)
+  JOIN (SELECT scope, group_id, avg({o}) AS s FROM sel GROUP BY ALL) USING (scope, group_id)
+  JOIN (SELECT scope, group_id, avg({o}) AS o FROM (SELECT * FROM attributed QUALIFY row_number() OVER (PARTITION BY scope, group_id ORDER BY {o} DESC, ticker) <= 10) GROUP BY ALL) USING (scope, group_id)""" for o in OUTCOMES)
+
+
+@query("evl_11", f"""WITH {ASEL}, pg AS ({_LONG}), b0 AS (SELECT scope, outcome, session, sum(s) AS t, sum(s - p) AS d, count(*) AS c FROM pg GROUP BY ALL),
+ bl AS (SELECT *, row_number() OVER (PARTITION BY scope, outcome ORDER BY session) - 1 AS pos, count(*) OVER (PARTITION BY scope, outcome) AS n FROM b0),
+ dr AS (SELECT scope, outcome, i, CAST('0x' || substr(md5('42:' || i || ':' || pos), 1, 8) AS BIGINT) % n AS pick FROM bl, range(1000) z(i)),
+ sa AS (SELECT dr.scope, dr.outcome, i, sum(t) / sum(c) AS t, sum(d) / sum(c) AS d FROM dr JOIN bl ON bl.scope = dr.scope AND bl.outcome = dr.outcome AND bl.pos = dr.pick GROUP BY ALL),
+ ci AS (SELECT scope, outcome, quantile_cont(t, 0.025) AS tl, quantile_cont(t, 0.975) AS th, quantile_cont(d, 0.025) AS dl, quantile_cont(d, 0.975) AS dh FROM sa GROUP BY ALL)
+SELECT scope, outcome, groups, round(sm, 6) AS selected_mean, round(pm, 6) AS population_group_mean, round(sm - pm, 6) AS selection_delta, round(om, 6) AS oracle_top_k_mean, round(pos, 6) AS selected_positive_group_rate,
+ round(tl, 6) AS selected_mean_low, round(th, 6) AS selected_mean_high, round(dl, 6) AS selection_delta_low, round(dh, 6) AS selection_delta_high
+FROM (SELECT scope, outcome, count(*) AS groups, avg(s) AS sm, avg(p) AS pm, avg(o) AS om, avg(CAST(s > 0 AS INT)) AS pos FROM pg GROUP BY ALL) JOIN ci USING (scope, outcome)""", ("attributed",))
 def evl_11(v):
-    """Failure attribution: selection against population and best k, per scope and outcome."""
-    paired = outcome_report(v)
-    return paired.groupBy("scope", "outcome").agg(
-        F.count(F.lit(1)).alias("groups"), r(F.avg("s"), "selected_mean"), r(F.avg("p"), "population_group_mean"), r(F.avg(F.col("s") - F.col("p")), "selection_delta"),
-        r(F.avg("o"), "oracle_top_k_mean"), r(F.avg((F.col("s") > 0).cast("double")), "selected_positive_group_rate"))
+    """Failure attribution: selection against population and best k with intervals, per scope and eight outcomes."""
+    out = D.attribution(written(v.attributed), OUTCOMES)
+    return out.select("scope", "outcome", "groups", *[r(c) for c in out.columns if c not in ("scope", "outcome", "groups")])
 
 
 @query("evl_12", """SELECT ticker, group_id, scope, epoch_us(decision_time) AS decision_time, epoch_us(entry_time) AS entry_time, epoch_us(exit_time) AS exit_time, round(score, 6) AS probability,

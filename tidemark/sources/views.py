@@ -11,7 +11,8 @@ collections             source-collection log per (user, event type)
 facts / memberships     order history as fundamental facts and SCD-2 intervals
 headlines               documents as news items (title = first line)
 evidence                scored cross-section with forward outcome per (user, day)
-dataset                 the same rows as a dataset with availability times, source states, labels and flags, some of them faulty
+attributed              evidence with eight forward outcomes and nine diagnostic dimensions
+dataset                 evidence as a dataset with availability times, source states, labels and flags, some of them faulty
 ======================  ==========================================================
 """
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.clock import et_date, et_minute
+from tidemark.session import written
 from tidemark.sources.tables import table
 
 ET = "America/New_York"
@@ -182,6 +184,30 @@ class Views:
             "exit_time": F.col("decision_time") + F.make_dt_interval(mins=(F.lit(35) + 60 * F.col("slot")).cast("int")),
         })
 
+    @cached_property
+    def attributed(self) -> DataFrame:
+        from tidemark.operators import diagnostics as D
+        from tidemark.operators.crosssection import rank_features
+        from tidemark.operators.features import blocks
+        from tidemark.operators.ordered import frame, own
+
+        w = frame(["ticker"])
+        b = own(blocks(self.bars_user, "date", back=0, ahead=5).withColumns({"_next": F.lead("open").over(w), **{f"_c{k}": F.lead("close", k).over(w) for k in HORIZONS.values()}}))
+        net = {f"net_return_{h}": F.coalesce(F.least(F.lit(0.2), F.greatest(F.lit(-0.2), (F.col(f"_c{k}") - F.col("_next")) / 1000.0)) - 0.001, F.lit(0.0)) for h, k in HORIZONS.items()}
+        e = written(self.evidence.join(b.select("ticker", F.col("date").alias("session"), *[c.alias(k) for k, c in net.items()]), ["ticker", "session"]))  # read three times
+        market = e.groupBy("group_id").agg(*[F.avg(f"net_return_{h}").alias(f"_m_{h}") for h in HORIZONS])
+        pct = rank_features(e, ["group_id"], "ticker", ["liquidity", "downside"]).select("group_id", "ticker", "pct_liquidity", "pct_downside")
+        minute = et_minute("decision_time")
+        return e.join(market, "group_id").join(pct, ["group_id", "ticker"]).withColumns({
+            **{f"net_excess_{h}": F.col(f"net_return_{h}") - F.col(f"_m_{h}") for h in HORIZONS},
+            "month": F.date_format("session", "yyyy-MM"), "fold_bucket": D.or_unknown(F.when(F.dayofmonth("session") > 7, F.floor((F.dayofmonth("session") - 1) / 7)), "-1"),
+            "time_bucket": D.time_bucket(minute, {"evening": 1140, "late_evening": 1200, "night": 1260}, 1440),
+            "market_regime": D.regime_name((F.col("downside") > 0.98).cast("int"), (F.col("regime") == "risk_off").cast("int"), (F.col("regime") == "risk_on").cast("int")),
+            "sector": D.or_unknown(F.when(F.col("user_id") % 7 > 0, F.concat(F.lit("s"), F.col("user_id") % 7))), "market_cap_bucket": D.or_unknown(F.when(F.col("user_id") % 4 > 0, F.col("user_id") % 4)),
+            "liquidity_bucket": F.when(F.col("liquidity") >= 3, "high").otherwise("low"), "liquidity_rank_quartile": D.rank_quartile(F.col("pct_liquidity")),
+            "volatility_rank_quartile": D.rank_quartile(F.col("pct_downside")),
+        }).drop(*[f"_m_{h}" for h in HORIZONS], "pct_liquidity", "pct_downside")
+
     @cached_property
     def dataset(self) -> DataFrame:
         from tidemark.operators.joins import source_status
@@ -195,6 +221,11 @@ class Views:
         return d.withColumns(cols).drop("seed", "us", "decision_date_et", "group_rows", "source_state_available_at", *[c for c in d.columns if c.endswith("_signup")], *[c for c in d.columns if "observed_rows" in c])
 
 
+#: outcome horizons of the attributed view, in bars
+HORIZONS = {"1b": 1, "2b": 2, "3b": 3, "5b": 5}
+OUTCOMES = tuple(f"net_{kind}_{h}" for kind in ("excess", "return") for h in HORIZONS)
+
+
 def _at(sql: str, form: str) -> str:
     """``AT[seconds]`` is the decision time moved by them."""
     return re.sub(r"AT\[(.*?)\]", lambda m: form.format(m.group(1)), sql)
@@ -271,6 +302,23 @@ def _dataset_sql() -> str:
           CAST((e.decision_time AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York' AS DATE) AS decision_date_et FROM evidence_x e {joins})"""
 
 
+def _attributed_sql() -> str:
+    net = ", ".join(f"coalesce(least(0.2::DOUBLE, greatest(-0.2::DOUBLE, (c{k} - nx) / 1000.0::DOUBLE)) - 0.001::DOUBLE, 0) AS net_return_{h}" for h, k in HORIZONS.items())
+    excess = ", ".join(f"net_return_{h} - avg(net_return_{h}) OVER (PARTITION BY group_id) AS net_excess_{h}" for h in HORIZONS)
+    pct = lambda c: f"(rank() OVER (PARTITION BY group_id ORDER BY {c}) + (count(*) OVER (PARTITION BY group_id, {c}) - 1) / 2.0::DOUBLE) / count(*) OVER (PARTITION BY group_id)"
+    quarter = lambda c: f"CASE WHEN {c} <= 0.25 THEN 'q1_low' WHEN {c} <= 0.5 THEN 'q2' WHEN {c} <= 0.75 THEN 'q3' ELSE 'q4_high' END"
+    minute = "(hour(et) * 60 + minute(et))"
+    return f"""
+        SELECT * EXCLUDE (pl, pd, et), strftime(session, '%Y-%m') AS month, CASE WHEN dayofmonth(session) > 7 THEN CAST((dayofmonth(session) - 1) // 7 AS VARCHAR) ELSE '-1' END AS fold_bucket,
+          CASE WHEN {minute} >= 1260 THEN 'night' WHEN {minute} >= 1200 THEN 'late_evening' WHEN {minute} >= 1140 THEN 'evening' END AS time_bucket,
+          CASE WHEN downside > 0.98 THEN 'high_volatility' WHEN regime IN ('risk_off', 'risk_on') THEN regime ELSE 'neutral' END AS market_regime,
+          CASE WHEN user_id % 7 > 0 THEN 's' || (user_id % 7) ELSE 'unknown' END AS sector, CASE WHEN user_id % 4 > 0 THEN CAST(user_id % 4 AS VARCHAR) ELSE 'unknown' END AS market_cap_bucket,
+          CASE WHEN liquidity >= 3 THEN 'high' ELSE 'low' END AS liquidity_bucket, {quarter('pl')} AS liquidity_rank_quartile, {quarter('pd')} AS volatility_rank_quartile
+        FROM (SELECT *, {excess}, {pct('liquidity')} AS pl, {pct('downside')} AS pd, (decision_time AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York' AS et
+          FROM (SELECT e.*, {net} FROM evidence_x e JOIN (SELECT ticker, date, lead(open) OVER w AS nx, {', '.join(f'lead(close, {k}) OVER w AS c{k}' for k in HORIZONS.values())}
+            FROM bars_user WINDOW w AS (PARTITION BY ticker ORDER BY date)) b ON b.ticker = e.ticker AND b.date = e.session))"""
+
+
 #: view name -> (views it needs, SQL body)
 CTE: dict[str, tuple[tuple[str, ...], str]] = {
     "bars_supp": ((), """
@@ -351,4 +399,5 @@ CTE: dict[str, tuple[tuple[str, ...], str]] = {
           FROM (SELECT *, CAST(substr(ticker, 2) AS BIGINT) AS user_id,
               CAST(greatest(0, least(4, floor((ret + 0.201) / 0.4::DOUBLE * 5))) AS BIGINT) AS grade FROM evidence))"""),
     "dataset": (("evidence_x", "collections"), _dataset_sql()),
+    "attributed": (("evidence_x", "bars_user"), _attributed_sql()),
 }
