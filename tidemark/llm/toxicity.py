@@ -71,16 +71,17 @@ class TextCnn:
         return float(h @ self.out[:-1] + self.out[-1])
 
     def score(self, text: str | None) -> float:
-        if self.emb is None:
-            return self.rate
-        return float(1 / (1 + np.exp(-np.clip(self.logit(self.rows[word_buckets(text, self.buckets)]) + self.shift, -30, 30))))
+        return self.rate if self.emb is None else self.score_words(word_buckets(text, self.buckets))
+
+    def score_words(self, words: np.ndarray) -> float:
+        return float(1 / (1 + np.exp(-np.clip(self.logit(self.rows[words]) + self.shift, -30, 30))))
 
     def threshold(self, lang: str | None) -> float:
         return self.thresholds.get(lang, self.thresholds.get(None, 0.5))
 
 
-def train(texts: list, labels: np.ndarray, langs: list, rate: float, buckets: int = 1 << 18, dim: int = 8, filters: int = 8, min_docs: int = 3, epochs: int = 6, seed: int = 5) -> TextCnn:
-    """Fit on whole texts.  A fifth, by position of a seeded shuffle, is left out to set the thresholds.
+def train(words: list, labels: np.ndarray, langs: list, rate: float, buckets: int = 1 << 18, dim: int = 8, filters: int = 8, min_docs: int = 3, epochs: int = 6, seed: int = 5) -> TextCnn:
+    """Fit on whole texts, given as the buckets of their words.  A fifth, by position of a seeded shuffle, is left out to set the thresholds.
 
     The first embedding coordinate starts as the shrunken log-odds of a word's document frequencies, the others near zero.
     Gradients reach only the windows that max pooling picked.  The sample may hold another share of label 1 than all labels
@@ -94,10 +95,9 @@ def train(texts: list, labels: np.ndarray, langs: list, rate: float, buckets: in
     if not len(fit) or labels[fit].min() == labels[fit].max():
         model.thresholds = {None: 0.5}
         return model
-    raw = [word_buckets(t, buckets) for t in texts]
     yes, no = np.zeros(buckets), np.zeros(buckets)
     for i in fit:
-        (yes if labels[i] else no)[np.unique(raw[i])] += 1
+        (yes if labels[i] else no)[np.unique(words[i])] += 1
     seen = np.flatnonzero(yes + no >= min_docs)
     model.rows = np.zeros(buckets, np.int32)
     model.rows[seen] = np.arange(1, len(seen) + 1)
@@ -114,7 +114,7 @@ def train(texts: list, labels: np.ndarray, langs: list, rate: float, buckets: in
     model.out = np.concatenate([np.full(len(WIDTHS) * filters, 0.15), [-1.0]])
     params = [model.emb, *model.filters, *model.bias, model.out]
     squares = [np.full(a.shape, 1e-6) for a in params]
-    docs = [model.rows[r] for r in raw]
+    docs = [model.rows[x] for x in words]
 
     def move(k: int, g: np.ndarray, rate_: float, at=slice(None)) -> None:
         squares[k][at] += g * g
@@ -141,12 +141,12 @@ def train(texts: list, labels: np.ndarray, langs: list, rate: float, buckets: in
                     continue
                 move(1 + nw + v, g, lr)
                 for k in range(w):
-                    words = x[ats[v][live] + k]
+                    at = x[ats[v][live] + k]
                     grad_f = np.zeros((dim, nf))
-                    grad_f[:, live] = model.emb[words].T * g[live]
+                    grad_f[:, live] = model.emb[at].T * g[live]
                     grad_e = model.filters[v][k][:, live].T * g[live, None]
                     move(1 + v, grad_f, lr, k)
-                    some, where = np.unique(words, return_inverse=True)
+                    some, where = np.unique(at, return_inverse=True)
                     total = np.zeros((len(some), dim))
                     np.add.at(total, where, grad_e)
                     total[some == 0] = 0
@@ -155,7 +155,7 @@ def train(texts: list, labels: np.ndarray, langs: list, rate: float, buckets: in
     if 0 < rate < 1:
         model.shift = float(np.log(rate / (1 - rate)) - np.log(p / (1 - p)))
     weight = np.where(labels == 1, rate / labels.mean(), (1 - rate) / max(1e-9, 1 - labels.mean()))
-    scores = np.array([model.score(texts[i]) for i in held])
+    scores = np.array([model.score_words(words[i]) for i in held])
     model.thresholds = calibrated(scores, labels[held], weight[held], [langs[i] for i in held])
     return model
 
@@ -184,10 +184,11 @@ def calibrated(scores: np.ndarray, labels: np.ndarray, weight: np.ndarray, langs
 
 def learn(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "toxic",
-    mod: int = 4, held_fold: int = 2, max_positive: int = 3_000, max_negative: int = 6_000, **options,
+    mod: int = 4, held_fold: int = 2, max_positive: int = 3_000, max_negative: int = 6_000, buckets: int = 1 << 18, **options,
 ) -> TextCnn:
     """Fit on a bounded sample of the labelled rows outside the held-out fold: ``max_positive`` and ``max_negative`` documents
-    at most, the smallest by hash of their id, whole texts.  The share of label 1 is counted over all those labels.
+    at most, the smallest by hash of their id, whole texts.  Tasks turn texts into word buckets; the driver gets four bytes a
+    word of the sample and no text.  The share of label 1 is counted over all those labels.
 
     A document with both labels counts as 1; null labels and null ids are not used.  Without both labels the model gives
     every text the share of label 1 (0 without labels).
@@ -197,12 +198,18 @@ def learn(
     counts = known.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("yes")).first()
     rate = counts["yes"] / counts["n"] if counts["n"] else 0.0
     picked = [known.where(F.col("y") == y).orderBy(F.xxhash64(F.lit(11), "id")).limit(n) for y, n in ((1, max_positive), (0, max_negative))]
+
+    def packed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([word_buckets(t, buckets).astype(np.int32).tobytes() for t in texts], dtype=object)
+
     sample = (
         docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
         .join(F.broadcast(picked[0].unionAll(picked[1])), "id").groupBy("id", "y").agg(F.min(F.struct("text", "lang")).alias("d"))
-        .select("id", "y", "d.text", "d.lang").toPandas().sort_values("id", ignore_index=True)
+        .select("id", "y", "d.lang", F.pandas_udf(packed, "binary")("d.text").alias("words")).toPandas().sort_values("id", ignore_index=True)
     )
-    return train(sample["text"].tolist(), sample["y"].to_numpy(), sample["lang"].tolist(), rate, **options)
+    words = [np.frombuffer(w, np.int32) for w in sample["words"]]
+    return train(words, sample["y"].to_numpy(), sample["lang"].tolist(), rate, buckets=buckets, **options)
 
 
 def scored(docs: DataFrame, model: TextCnn, text_col: str = "text", lang_col: str | None = None) -> DataFrame:
