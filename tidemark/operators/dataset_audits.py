@@ -274,3 +274,48 @@ def watermarks(live: DataFrame) -> DataFrame:
         return live.sparkSession.createDataFrame([], "source string, watermark timestamp, invalid_rows long")
     items = [F.struct(F.lit(name).alias("source"), F.min(col).alias("low"), _sum(F.col(col).isNull() | (F.col(col) > F.col("decision_time"))).alias("invalid_rows")) for name, col in names]
     return live.agg(F.array(*items).alias("_i")).select(F.inline("_i")).select("source", F.when(F.col("invalid_rows") == 0, F.col("low")).alias("watermark"), "invalid_rows")
+
+
+# How a bar's availability may have been set, and the feeds known.
+BAR_POLICIES = ("observed", "market_interval_close")
+FEEDS = ("sip", "iex", "unknown")
+
+
+def bars_audit(df: DataFrame, require_feed: str | None = "sip", version: str = "v1") -> DataFrame:
+    """The nine rules of canonical bars.  Without ``require_feed`` any known feed will do, and a null one is unknown.  A bar
+    whose availability was observed may not be available before it was ingested."""
+    prices = ("open", "high", "low", "close")
+    if missing_columns(df, ["ticker", "timeframe", "bar_start", "bar_end", "available_at", "ingested_at", *prices, "volume", "availability_policy", "price_feed", "schema_version"]):
+        return _schema_failed(df)
+    c = F.col
+    start, end, known, ingested = c("bar_start"), c("bar_end"), c("available_at"), c("ingested_at")
+    num = {x: F.nullif(c(x).try_cast("double"), F.lit(float("nan"))) for x in (*prices, "volume")}
+    some = lambda *v: F.greatest(*[_yes(x) for x in v])
+    feed = F.lower(F.trim(F.coalesce(c("price_feed").cast("string"), F.lit("unknown"))))
+    rows = _report(df, {
+        "schema": (F.lit(0), _rows()), "rows": ((_rows() == 0).cast("long"), _rows()), "timestamps": _rule(some(start.isNull(), end.isNull(), known.isNull(), ingested.isNull())),
+        "availability_order": _rule(some(end <= start, known < end, (c("availability_policy") == "observed") & (known < ingested))),
+        "ohlcv": _rule(some(*[x.isNull() for x in num.values()], *[num[p] <= 0 for p in prices], num["volume"] < 0, num["high"] < F.greatest(num["open"], num["close"], num["low"]),
+                            num["low"] > F.least(num["open"], num["close"], num["high"]))),
+        "price_feed": _rule(feed != require_feed if require_feed else ~feed.isin(*FEEDS)), "availability_policy": _rule(~_yes(c("availability_policy").isin(*BAR_POLICIES))),
+        "schema_version": _rule(_same("schema_version", version))})
+    return rows.unionByName(_identity(df, ["ticker", "timeframe", "bar_start"]))
+
+
+def events_audit(df: DataFrame, require_observed: bool = True, version: str = "v1") -> DataFrame:
+    """The six rules of canonical events and that there are any.  Features of an event are available when its sentiment was
+    scored, or, without a score, when the event was."""
+    names = ("event_id", "ticker", "source_family")
+    if missing_columns(df, [*names, "published_at", "provider_updated_at", "first_seen", "available_at", "sentiment_scored_at", "feature_available_at", "availability_policy", "sentiment", "schema_version"]):
+        return _schema_failed(df)
+    c = F.col
+    known, feature, scored, observed = c("available_at"), c("feature_available_at"), c("sentiment_scored_at"), _yes(c("availability_policy") == "observed")
+    some = lambda *v: F.greatest(*[_yes(x) for x in v])
+    has = c("sentiment").isNotNull() & ~F.isnan(c("sentiment").cast("double"))
+    blank = some(*[F.trim(F.coalesce(c(x).cast("string"), F.lit(""))) == "" for x in names])
+    rows = _report(df, {
+        "schema": (F.lit(0), _rows()), "rows": ((_rows() == 0).cast("long"), _rows()), "timestamps": _rule(some(*[c(x).isNull() for x in ("published_at", "first_seen", "available_at", "feature_available_at")])),
+        "availability_order": _rule(some(known < c("published_at"), known < c("provider_updated_at"), observed & (known < c("first_seen")), feature < known, has & scored.isNull(),
+                                         ~F.coalesce(feature == F.coalesce(scored, known), F.lit(False)))),
+        "observed_history": (_sum(~observed) if require_observed else F.lit(0), _rows()), "identity_present": _rule(blank), "schema_version": _rule(_same("schema_version", version))})
+    return rows.unionByName(_identity(df, ["event_id"]))

@@ -43,6 +43,56 @@ EVENT_RULES = {"timestamps": "first_seen IS NULL", "availability_order": "featur
 audit_query("aud_02", "news", lambda v: v.news, EVENT_RULES, {"identity": ["event_id"]}, ("news",), "Events: timestamps, availability order, identity.")
 
 
+def _count(cond: str, scope: str = "true") -> str:
+    return f"count(*) FILTER (WHERE {scope} AND coalesce({cond}, false))"
+
+
+def report_sql(frm: str, checks: dict[str, tuple[str, str]], per_key: dict[str, tuple[str, str, str]], pre: str = "") -> str:
+    """One SELECT per rule: failures and rows checked over ``frm``, or over a grouped form of it."""
+    parts = [f"SELECT '{k}' AS \"check\", CAST({f} + 0 * count(*) AS BIGINT) AS failures, CAST({c} AS BIGINT) AS rows_checked FROM {frm}" for k, (f, c) in checks.items()]
+    parts += [f"SELECT '{k}', CAST({f} AS BIGINT), CAST({c} AS BIGINT) FROM ({g})" for k, (f, c, g) in per_key.items()]
+    return f"{pre} SELECT *, CASE WHEN failures = 0 THEN 'passed' ELSE 'failed' END AS status FROM ({' UNION ALL '.join(parts)})"
+
+
+def _identity_sql(frm: str, keys: str) -> dict:
+    return {"identity": ("coalesce(sum(k - 1), 0)", "coalesce(sum(k), 0)", f"SELECT count(*) AS k FROM {frm} GROUP BY {keys}")}
+
+
+# Provenance columns of the canonical audits, some of them faulty.
+_BARS_C = {"timeframe": "'1h'", "bar_end": "timestamp", "price_feed": "CASE WHEN sd % 7 = 0 THEN 'IEX' WHEN sd % 5 > 0 THEN 'SIP ' END",
+           "availability_policy": "CASE WHEN sd % 11 = 0 THEN 'guessed' WHEN sd % 3 = 0 THEN 'observed' ELSE 'market_interval_close' END", "schema_version": "CASE WHEN sd % 13 <> 0 THEN 'v1' END"}
+_SEED, _SHIFT = "(hour(bar_start) + dayofmonth(bar_start))", "(sd % 5 - 3)"
+_AS = lambda cols: ", ".join(f"{x} AS {k}" for k, x in cols.items())
+_BARS_C_SQL = {
+    "schema": ("0", "count(*)"), "rows": ("CAST(count(*) = 0 AS INT)", "count(*)"), "timestamps": (_count("bar_start IS NULL OR bar_end IS NULL OR available_at IS NULL OR ingested_at IS NULL"), "count(*)"),
+    "availability_order": (_count("bar_end <= bar_start OR available_at < bar_end OR (availability_policy = 'observed' AND available_at < ingested_at)"), "count(*)"),
+    "ohlcv": (_count("open IS NULL OR high IS NULL OR low IS NULL OR close IS NULL OR volume IS NULL OR least(open, high, low, close) <= 0 OR volume < 0 OR high < greatest(open, close, low) OR low > least(open, close, high)"), "count(*)"),
+    "price_feed": (_count("lower(trim(coalesce(price_feed, 'unknown'))) <> 'sip'"), "count(*)"), "availability_policy": (_count("availability_policy NOT IN ('observed', 'market_interval_close')"), "count(*)"),
+    "schema_version": (_count("schema_version IS DISTINCT FROM 'v1'"), "count(*)")}
+
+
+@query("aud_01c", report_sql("cb", _BARS_C_SQL, _identity_sql("cb", "ticker, timeframe, bar_start"), f"WITH cb AS (SELECT * EXCLUDE sd, {_AS(_BARS_C)}, available_at + to_seconds({_SHIFT}) AS ingested_at FROM (SELECT *, {_SEED} AS sd FROM bars_hour))"), ("bars_hour",))
+def aud_01c(v):
+    """Canonical bars: the nine rules, with feed, availability policy and version."""
+    d = v.bars_hour.withColumn("sd", F.expr(_SEED))
+    return DA.bars_audit(d.withColumns({**{k: F.expr(x) for k, x in _BARS_C.items()}, "ingested_at": F.expr(f"available_at + make_dt_interval(0, 0, 0, {_SHIFT})")}))
+
+
+_EVENTS_C = {"published_at": "first_seen", "available_at": "first_seen", "provider_updated_at": "CASE WHEN k % 9 = 0 THEN feature_available_at END", "sentiment_scored_at": "CASE WHEN k % 2 = 1 THEN feature_available_at END",
+             "availability_policy": "CASE WHEN k % 10 = 0 THEN 'backfill' ELSE 'observed' END", "schema_version": "CASE WHEN k % 17 = 0 THEN 'v0' ELSE 'v1' END"}
+_EVENTS_C_SQL = {
+    "schema": ("0", "count(*)"), "rows": ("CAST(count(*) = 0 AS INT)", "count(*)"), "timestamps": (_count("published_at IS NULL OR first_seen IS NULL OR available_at IS NULL OR feature_available_at IS NULL"), "count(*)"),
+    "availability_order": (_count("available_at < published_at OR coalesce(available_at < provider_updated_at, false) OR (availability_policy = 'observed' AND available_at < first_seen) OR feature_available_at < available_at OR (sentiment IS NOT NULL AND sentiment_scored_at IS NULL) OR feature_available_at <> coalesce(sentiment_scored_at, available_at)"), "count(*)"),
+    "observed_history": (_count("availability_policy <> 'observed'"), "count(*)"), "identity_present": (_count("event_id IS NULL OR trim(coalesce(ticker, '')) = '' OR trim(coalesce(source_family, '')) = ''"), "count(*)"),
+    "schema_version": (_count("schema_version <> 'v1'"), "count(*)")}
+
+
+@query("aud_02c", report_sql("ce", _EVENTS_C_SQL, _identity_sql("ce", "event_id"), f"WITH ce AS (SELECT *, {_AS(_EVENTS_C)} FROM news)"), ("news",))
+def aud_02c(v):
+    """Canonical events: order of times with the sentiment's, observed history, identity, version."""
+    return DA.events_audit(v.news.withColumns({k: F.expr(x) for k, x in _EVENTS_C.items()}))
+
+
 @query("aud_03", f"""WITH mc AS (SELECT d.decision_id, count(m.snapshot_id) AS k {_MEMBER_JOIN} GROUP BY 1),
  ov AS (SELECT a.ticker, a.effective_from, count(*) AS k FROM memberships a JOIN memberships b ON a.ticker = b.ticker AND a.effective_from >= b.effective_from AND (b.effective_to IS NULL OR a.effective_from < b.effective_to) GROUP BY 1, 2)
 SELECT 'overlapping_windows' AS "check", count(*) FILTER (WHERE k > 1) AS failures, count(*) AS rows_checked FROM ov UNION ALL SELECT 'decision_uncovered', count(*) FILTER (WHERE k = 0), count(*) FROM mc
@@ -145,21 +195,6 @@ FEATURES = ("score", "downside", "liquidity")
 DEVELOPMENT_UNTIL = "2024-01-25 00:00:00"
 
 
-def _count(cond: str, scope: str = "true") -> str:
-    return f"count(*) FILTER (WHERE {scope} AND coalesce({cond}, false))"
-
-
-def report_sql(frm: str, checks: dict[str, tuple[str, str]], per_key: dict[str, tuple[str, str, str]], pre: str = "") -> str:
-    """One SELECT per rule: failures and rows checked over ``frm``, or over a grouped form of it."""
-    parts = [f"SELECT '{k}' AS \"check\", CAST({f} + 0 * count(*) AS BIGINT) AS failures, CAST({c} AS BIGINT) AS rows_checked FROM {frm}" for k, (f, c) in checks.items()]
-    parts += [f"SELECT '{k}', CAST({f} AS BIGINT), CAST({c} AS BIGINT) FROM ({g})" for k, (f, c, g) in per_key.items()]
-    return f"{pre} SELECT *, CASE WHEN failures = 0 THEN 'passed' ELSE 'failed' END AS status FROM ({' UNION ALL '.join(parts)})"
-
-
-def _identity_sql(frm: str, keys: str) -> dict:
-    return {"identity": ("coalesce(sum(k - 1), 0)", "coalesce(sum(k), 0)", f"SELECT count(*) AS k FROM {frm} GROUP BY {keys}")}
-
-
 _INPUTS = ("one_minute_available_at", "spy_available_at", "qqq_available_at", "sector_available_at", "source_status_available_at_click", "source_status_available_at_view",
            "global_source_status_available_at_macro")
 _FUTURE_SQL = " + ".join([_count("feature_available_at IS NULL OR feature_available_at > decision_time"), *[_count(f"{c} > decision_time") for c in _INPUTS]])

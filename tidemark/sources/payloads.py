@@ -97,13 +97,19 @@ EARNINGS_FIELDS = {
 
 
 def field(payload: str, names) -> Column:
-    """First present alias; an object contributes its value, grade or rating."""
-    picks = []
-    for n in names:
-        raw = F.get_json_object(payload, f"$.{n}")
+    """First alias with a value, keys in any case; of keys that differ in case only, the last counts.
+
+    An object contributes its value, grade or rating and ends the search, also without any of them.  A payload that is no
+    object gives null.
+    """
+    entries = F.map_entries(F.from_json(payload, "map<string,string>"))
+    at = lambda n: F.try_element_at(F.filter(entries, lambda e: F.lower(e["key"]) == n.lower()), F.lit(-1))["value"]
+    out = F.lit(None).cast("string")
+    for n in reversed(names):
+        raw = at(n)
         inner = F.coalesce(*[_blank(F.get_json_object(raw, f"$.{k}")) for k in ("value", "grade", "rating")])
-        picks.append(F.when(raw.startswith("{"), inner).otherwise(_blank(raw)))
-    return F.coalesce(*picks)
+        out = F.when(raw.startswith("{"), inner).when(_blank(raw).isNotNull(), raw).otherwise(out)
+    return out
 
 
 def company_facts(df: DataFrame, payload: str = "payload") -> DataFrame:
