@@ -12,6 +12,7 @@ from tidemark.operators.evaluation import bootstrap
 # Lower bounds (minute of the ET day) of the market's time buckets, the last one is its end.
 TIME_BUCKETS = {"opening": 570, "late_morning": 630, "midday": 720, "afternoon": 840}
 TIME_END = 960
+ROUNDING = 1e-12  # a mean within it of zero is zero, whatever the order of summation
 QUARTILES = ("q1_low", "q2", "q3", "q4_high")
 
 
@@ -58,7 +59,7 @@ def attribution(df: DataFrame, outcomes: Sequence[str], scope: str = "scope", gr
     each = long.groupBy(*keys, group).agg(F.min(session).alias("_s"), F.avg("value").alias("population"), F.avg(F.when(F.col("hit"), F.col("value"))).alias("selected"))
     best = top_k(long.select(*keys, group, tie, "value"), [*keys, group], [F.desc("value"), F.col(tie)], k).groupBy(*keys, group).agg(F.avg("value").alias("oracle"))
     paired = each.join(best, [*keys, group]).where("selected is not null")
-    blocks = paired.groupBy(*keys, "_s").agg(F.count(F.lit(1)).alias("groups"), *[F.sum(c).alias(c) for c in ("selected", "population", "oracle")], F.count_if(F.col("selected") > 0).alias("positive"))
+    blocks = paired.groupBy(*keys, "_s").agg(F.count(F.lit(1)).alias("groups"), *[F.sum(c).alias(c) for c in ("selected", "population", "oracle")], F.count_if(F.col("selected") > ROUNDING).alias("positive"))
     mean = lambda c: F.sum(c) / F.sum("groups")
     out = blocks.groupBy(*keys).agg(
         F.sum("groups").alias("groups"), mean("selected").alias("selected_mean"), mean("population").alias("population_group_mean"), mean("oracle").alias("oracle_top_k_mean"),

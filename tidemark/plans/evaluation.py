@@ -211,7 +211,7 @@ _LONG = " UNION ALL ".join(f"""SELECT scope, '{o}' AS outcome, session, p, s, o
  ci AS (SELECT scope, outcome, quantile_cont(t, 0.025) AS tl, quantile_cont(t, 0.975) AS th, quantile_cont(d, 0.025) AS dl, quantile_cont(d, 0.975) AS dh FROM sa GROUP BY ALL)
 SELECT scope, outcome, groups, round(sm, 6) AS selected_mean, round(pm, 6) AS population_group_mean, round(sm - pm, 6) AS selection_delta, round(om, 6) AS oracle_top_k_mean, round(pos, 6) AS selected_positive_group_rate,
  round(tl, 6) AS selected_mean_low, round(th, 6) AS selected_mean_high, round(dl, 6) AS selection_delta_low, round(dh, 6) AS selection_delta_high
-FROM (SELECT scope, outcome, count(*) AS groups, avg(s) AS sm, avg(p) AS pm, avg(o) AS om, avg(CAST(s > 0 AS INT)) AS pos FROM pg GROUP BY ALL) JOIN ci USING (scope, outcome)""", ("attributed",))
+FROM (SELECT scope, outcome, count(*) AS groups, avg(s) AS sm, avg(p) AS pm, avg(o) AS om, avg(CAST(s > 1e-12::DOUBLE AS INT)) AS pos FROM pg GROUP BY ALL) JOIN ci USING (scope, outcome)""", ("attributed",))
 def evl_11(v):
     """Failure attribution: selection against population and best k with intervals, per scope and eight outcomes."""
     out = D.attribution(written(v.attributed), OUTCOMES)
