@@ -78,6 +78,12 @@ def ratio(a, b) -> Column:
     return F.try_divide(_c(a).cast("double"), F.nullif(_c(b).cast("double"), F.lit(0.0)))
 
 
+def ieee_ratio(a, b) -> Column:
+    """a / b as doubles divide: 0 / 0 is NaN, x / 0 is infinite (an error in Spark's own division)."""
+    a, b = _c(a).cast("double"), _c(b).cast("double")
+    return F.when(b == 0, a * F.pow(b, F.lit(-1.0))).otherwise(F.try_divide(a, b))
+
+
 def first_number(df: DataFrame, names: Sequence[str], default: float | None = None) -> Column:
     """First present, non-null numeric column of the list."""
     present = [F.col(n).try_cast("double") for n in names if n in df.columns]

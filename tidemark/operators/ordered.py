@@ -30,10 +30,11 @@ def value_block(value: Column | str, per_efold: int = 16) -> Column:
     """Monotone block of a number: ``per_efold`` blocks per factor e from 1e-6 up.
 
     Needs no pass over the data, and has at most ~45 * per_efold * 2 values for
-    any column below 1e13, which bounds the per-key summary table.
+    any column below 1e13, which bounds the per-key summary table.  NaN sorts
+    last, so it shares the block of infinity.
     """
     v = F.col(value) if isinstance(value, str) else value
-    v = v.cast("double")
+    v = F.when(F.isnan(v.cast("double")), F.lit(float("inf"))).otherwise(v.cast("double"))
     return F.floor(F.signum(v) * F.log1p(F.abs(v) * 1e6) * per_efold).cast("long")
 
 

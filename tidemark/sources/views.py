@@ -23,6 +23,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.clean import ieee_ratio
 from tidemark.functions.clock import et_date, et_minute
 from tidemark.session import written
 from tidemark.sources.tables import table
@@ -165,7 +166,7 @@ class Views:
                                     F.col("open").alias("n_open"), F.col("close").alias("n_close"))
         j = b.join(nxt, ["ticker", "date"])
         return j.select(
-            "ticker", F.col("date").alias("session"), (F.col("close") / (F.col("high") + F.col("open"))).alias("score"),
+            "ticker", F.col("date").alias("session"), ieee_ratio("close", F.col("high") + F.col("open")).alias("score"),
             F.least(F.lit(1.0), F.col("low") / (F.col("close") + 1)).alias("downside"),
             (F.least(F.lit(0.2), F.greatest(F.lit(-0.2), (F.col("n_close") - F.col("n_open")) / 1000.0)) - 0.001).alias("ret"),
             F.when(F.col("n_close") > F.col("n_open"), 1).otherwise(0).cast("long").alias("target"),
