@@ -13,7 +13,8 @@ from tidemark.operators.ordered import quantiles, value_counts
 
 def classification(df: DataFrame, keys: Sequence[str], target: str, probability: str) -> DataFrame:
     """AUC (average ranks), average precision, threshold metrics, Brier, log loss, ECE, top-decile lift per key."""
-    d = df.withColumn("_p", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(probability)))).withColumn("_y", F.col(target).cast("double"))
+    p = F.col(probability)  # NaN stays: greatest and least would make it 1
+    d = df.withColumn("_p", F.when(F.isnan(p), p).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), p)))).withColumn("_y", F.col(target).cast("double"))
     c = value_counts(d, keys, "_p", {"_pos": F.col("_y")})
     tp, seen = F.col("_pos_n") - F.col("_pos_le") + F.col("_pos"), F.col("_n") - F.col("_le") + F.col("_eq")
     P, N = F.max("_pos_n"), F.max(F.col("_n") - F.col("_pos_n"))
