@@ -90,3 +90,16 @@ def test_greedy_matches_a_loop(spark):
                 want.add((k, r.i))
                 last = r.e
     assert got == want
+
+
+def test_range_sums_of_many_rows_in_one_window(spark):
+    """A row a second for a day, one decision a minute: a frame summed anew for each row takes minutes here."""
+    n, at = 86_400, pd.Timestamp("2024-01-01").value // 1000
+    right = spark.range(n).select(F.timestamp_micros(F.lit(at) + F.col("id") * 1_000_000).alias("ts"), (F.col("id") % 7).alias("v"))
+    left = spark.range(0, n, 60).select("id", F.timestamp_micros(F.lit(at) + F.col("id") * 1_000_000).alias("ts"))
+    out = O.range_sums(left, right, [], "ts", "ts", {"6h": 21_600, "7m": 420, "7h": 25_200}, {"n": F.lit(1), "s": F.col("v")})
+    total = np.concatenate([[0], np.cumsum(np.arange(n) % 7)])
+    for r in out.collect():
+        for name, w in (("6h", 21_600), ("7m", 420), ("7h", 25_200)):
+            first = max(0, r.id - w)
+            assert (r[f"n_{name}"], r[f"s_{name}"]) == (r.id - first + 1, total[r.id + 1] - total[first])
