@@ -36,10 +36,40 @@ def true_range(prior: str = "prior_close") -> Column:
     return F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - F.col(prior)), F.abs(F.col("low") - F.col(prior)))
 
 
+def apart(df: DataFrame, w, wanted: Mapping[str, tuple[int, int]]) -> DataFrame:
+    """Adds ``<column>_<i>``, the value i rows before, for every ``step`` rows within the last ``rows`` (``wanted``: column -> (step, rows))."""
+    return df.withColumns({f"{c}_{i}": F.lag(c, i).over(w) for c, (step, rows) in wanted.items() for i in range(step, rows, step)})
+
+
+def parts(column: str, step: int, rows: int) -> list[Column]:
+    """The columns of :func:`apart`, own row first: what ``step`` rows each give, side by side over ``rows`` rows."""
+    return [F.col(column), *[F.col(f"{column}_{i}") for i in range(step, rows, step)]]
+
+
+def pooled_std(column: str, step: int, rows: int) -> Column:
+    """Sample deviation of ``rows`` values from ``_m`` means and ``_v`` population variances of ``step`` rows each."""
+    means = parts(f"_m_{column}", step, rows)
+    mean = sum(means) / len(means)
+    squares = sum(v + (m - mean) * (m - mean) for m, v in zip(means, parts(f"_v_{column}", step, rows)))
+    return F.sqrt(squares * step / (rows - 1.0))
+
+
+def z_reaches(z: str, value: str, total: str, squares: str, rows: int, edge: float) -> Column:
+    """Whether a z-score among ``rows`` values is at least ``edge`` > 0; ties, which rounding would decide, by their sums, exact for whole numbers."""
+    gap, spread = rows * F.col(value) - F.col(total), rows * F.col(squares) - F.col(total) * F.col(total)
+    exact = (gap >= 0) & (gap * gap * (rows - 1) >= edge * edge * rows * spread)
+    return F.when(F.abs(F.col(z) - edge) < 1e-9, exact).otherwise(F.col(z) >= edge)
+
+
 def daily_windows(bars: DataFrame, ts: str = "date", keys: Sequence[str] = ("ticker",)) -> DataFrame:
-    """Row-frame features of a bar series (returns, volatility, means, extremes, ATR, RSI, volume pressure)."""
+    """Row-frame features of a bar series (returns, volatility, means, extremes, ATR, RSI, volume pressure).
+
+    A long frame is put together from short ones some rows apart, so that its cost does not grow with its rows; nothing is
+    subtracted from a running sum, so no digits are lost.  Minimum periods come from running counts.
+    """
     w = frame(keys)
     rows = lambda a, b=0: frame(keys, a, b)
+    kept = {*bars.columns, "_rn", "_blk", "_home", "_ag", "_al", "_gain", "_loss"}
     d = blocks(bars, ts, back=280, keys=keys).withColumns({
         "prior_close": F.lag("close").over(w), **{f"_lag_{k}": F.lag("close", k).over(w) for k in (5, 10, 20, 60)}})
     delta = F.col("close") - F.col("prior_close")
@@ -47,19 +77,37 @@ def daily_windows(bars: DataFrame, ts: str = "date", keys: Sequence[str] = ("tic
         "bar_count": F.col("_rn"), "return_1d": ratio("close", "prior_close") - 1,
         **{f"return_{k}d": ratio("close", f"_lag_{k}") - 1 for k in (5, 10, 20, 60)},
         "true_range": true_range(), "_gain": F.when(delta > 0, delta).when(delta <= 0, 0.0), "_loss": F.when(delta < 0, -delta).when(delta >= 0, 0.0)})
-    cols: dict[str, Column] = {f"realized_vol_{k}d": guarded(F.stddev_samp("return_1d"), "return_1d", rows(-k + 1), k) for k in (10, 20, 60)}
-    cols |= {f"sma_{k}": guarded(F.avg("close"), "close", rows(-k + 1), k) for k in (20, 50, 200)}
-    cols |= {
-        "atr_14": guarded(F.avg("true_range"), "true_range", rows(-13), 14),
-        "_ag": guarded(F.avg("_gain"), "_gain", rows(-13), 14), "_al": guarded(F.avg("_loss"), "_loss", rows(-13), 14),
-        "_vm": guarded(F.avg("volume"), "volume", rows(-19), 20), "_vs": guarded(F.stddev_samp("volume"), "volume", rows(-19), 20),
-        "high_252": guarded(F.max("close"), "close", rows(-251), 20), "low_252": guarded(F.min("close"), "close", rows(-251), 20),
-        "recent_high_20": guarded(F.max("high"), "high", rows(-19), 5), "recent_low_20": guarded(F.min("low"), "low", rows(-19), 5),
-        "prior_high_20": guarded(F.max("high"), "high", rows(-20, -1), 5), "prior_low_20": guarded(F.min("low"), "low", rows(-20, -1), 5),
-        "prior_volume_median": guarded(F.percentile("volume", F.lit(0.5)), "volume", rows(-20, -1), 5),
-    }
-    d = d.withColumns(cols).withColumn("_sma_lag", F.lag("sma_200", 20).over(w))
-    return own(d.withColumns({
+    counted = {"close": (50, 200, 252), "return_1d": (10, 20, 60), "high": (20,), "low": (20,), "volume": (20,)}
+    d = d.withColumns({
+        **{f"_n_{c}": F.count(c).over(rows(Window.unboundedPreceding)) for c in counted},
+        "_s_close": F.sum("close").over(rows(-9)),
+        **{f"_{a}_{c}": f(c).over(rows(-9)) for c in ("return_1d", "volume") for a, f in (("m", F.avg), ("v", F.var_pop))},
+        "_s_volume": F.sum("volume").over(rows(-9)), "_q_volume": F.sum(F.col("volume") * F.col("volume")).over(rows(-9)),
+        "_max_close": F.max("close").over(rows(-5)), "_min_close": F.min("close").over(rows(-5)),
+        "_max_high": F.max("high").over(rows(-4)), "_min_low": F.min("low").over(rows(-4)),
+        # short means are summed row by row, in the order of the SQL: their rounded values are compared
+        "sma_20": guarded(F.avg("close"), "close", rows(-19), 20),
+        **{a: guarded(F.avg(c), c, rows(-13), 14) for a, c in (("atr_14", "true_range"), ("_ag", "_gain"), ("_al", "_loss"))},
+        "prior_volume_median": guarded(F.percentile("volume", F.lit(0.5)), "volume", rows(-20, -1), 5)})
+    d = d.withColumns({f"_n_{c}_{k}": F.lag(f"_n_{c}", k, 0).over(w) for c, ks in counted.items() for k in ks})
+    d = apart(d, w, {
+        "_s_close": (10, 50), "_m_return_1d": (10, 60), "_v_return_1d": (10, 60), "_m_volume": (10, 20), "_v_volume": (10, 20), "_s_volume": (10, 20), "_q_volume": (10, 20),
+        "_max_close": (6, 36), "_min_close": (6, 36), "_max_high": (5, 20), "_min_low": (5, 20)})
+    full = lambda c, k, least, x: F.when(F.col(f"_n_{c}") - F.col(f"_n_{c}_{k}") >= least, x)
+    d = d.withColumns({
+        **{f"realized_vol_{k}d": full("return_1d", k, k, pooled_std("return_1d", 10, k)) for k in (10, 20, 60)},
+        "sma_50": full("close", 50, 50, sum(parts("_s_close", 10, 50)) / 50), "_s50_close": sum(parts("_s_close", 10, 50)),
+        "_max36_close": F.greatest(*parts("_max_close", 6, 36)), "_min36_close": F.least(*parts("_min_close", 6, 36)),
+        "recent_high_20": full("high", 20, 5, F.greatest(*parts("_max_high", 5, 20))), "recent_low_20": full("low", 20, 5, F.least(*parts("_min_low", 5, 20))),
+        "volume_sum_20": full("volume", 20, 20, sum(parts("_s_volume", 10, 20))), "volume_squares_20": full("volume", 20, 20, sum(parts("_q_volume", 10, 20))),
+        "_vs": full("volume", 20, 20, pooled_std("volume", 10, 20)), "_vm": full("volume", 20, 20, sum(parts("_s_volume", 10, 20)) / 20)})
+    d = apart(d, w, {"_s50_close": (50, 200), "_max36_close": (36, 252), "_min36_close": (36, 252)}).withColumns(
+        {"prior_high_20": F.lag("recent_high_20").over(w), "prior_low_20": F.lag("recent_low_20").over(w)})
+    d = d.withColumns({
+        "sma_200": full("close", 200, 200, sum(parts("_s50_close", 50, 200)) / 200),
+        "high_252": full("close", 252, 20, F.greatest(*parts("_max36_close", 36, 252))), "low_252": full("close", 252, 20, F.least(*parts("_min36_close", 36, 252)))})
+    d = d.withColumn("_sma_lag", F.lag("sma_200", 20).over(w))
+    out = d.withColumns({
         **{f"dist_sma_{k}": ratio("close", f"sma_{k}") - 1 for k in (20, 50, 200)},
         "sma_200_slope_20d": ratio("sma_200", "_sma_lag") - 1,
         "atr_pct_14": ratio("atr_14", "close"), "rsi_14": rsi("_ag", "_al"),
@@ -70,7 +118,8 @@ def daily_windows(bars: DataFrame, ts: str = "date", keys: Sequence[str] = ("tic
         "dollar_volume_log": F.log1p(F.col("close") * F.col("volume")),
         "pct_from_52w_high": ratio("close", "high_252") - 1, "pct_from_52w_low": ratio("close", "low_252") - 1,
         "volume_burst_20bar": ratio("volume", "prior_volume_median"),
-    })).drop("_sma_lag", "_vm", "_vs", *[f"_lag_{k}" for k in (5, 10, 20, 60)])
+    })
+    return own(out.drop(*[c for c in out.columns if c.startswith("_") and c not in kept]))
 
 
 def rsi(gain: str, loss: str, edges: bool = False) -> Column:

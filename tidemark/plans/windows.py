@@ -155,7 +155,7 @@ def win_27(v):
     d = setups(v)
     c = F.col
     r3, r6 = c("close") / c("c3") - 1, c("close") / c("c6") - 1
-    score = sum(flag(x) for x in (c("volume_burst_20bar") >= 1.3, c("volume_z20") >= 0.5, c("close") > c("ema_20"), c("ema_10") > c("ema_20"),
+    score = sum(flag(x) for x in (c("volume_burst_20bar") >= 1.3, W.z_reaches("volume_z20", "volume", "volume_sum_20", "volume_squares_20", 20, 0.5), c("close") > c("ema_20"), c("ema_10") > c("ema_20"),
                                   c("macd_histogram") > c("prior_hist"), c("close") > c("open"), c("return_1d") > 0.05, r3 > 0))
     return d.select("ticker", s("date"), r(r3 - r6 / 2, "return_acceleration_3v6"), score.alias("setup_candidate_score"))
 
