@@ -130,6 +130,11 @@ def rsi(gain: str, loss: str, edges: bool = False) -> Column:
     return F.when((F.col(loss) == 0) & (F.col(gain) > 0), 100.0).when((F.col(loss) == 0) & (F.col(gain) == 0), 50.0).otherwise(base)
 
 
+def mean_of_mean(inner: str, outer: str, a: float, c: float) -> Column:
+    """Exponential mean (factor ``c``) of the exponential mean ``inner`` (factor ``a``) of a series whose mean with ``c`` is ``outer``."""
+    return (F.col(inner) * (c * (1 - a)) - F.col(outer) * (a * (1 - c))) / (c - a)
+
+
 def exponential(
     df: DataFrame, keys: Sequence[str] = ("ticker",), spans: Mapping[int, int] | None = None,
     macd_periods: tuple[int, int, int] = (1, 1, 1),
@@ -145,17 +150,20 @@ def exponential(
     m12, m26, m9 = macd_periods
     series = {f"ema_{k}": ("close", span(k), 1) for k in spans}
     series |= {"_e12": ("close", span(12), 1), "_e26": ("close", span(26), 1), "_ag_w": ("_g", WILDER, 2), "_al_w": ("_l", WILDER, 2),
-               "atr_14_wilder": ("_tr", WILDER, 1)}
+               "atr_14_wilder": ("_tr", WILDER, 1)} | ({"_e9": ("close", span(9), 1)} if max(m12, m26) == 1 else {})
     d = ewm(d, keys, series)
     first = max(m12, m26)
-    d = d.withColumn("macd", F.when(F.col("_rn") >= first, F.col("_e12") - F.col("_e26")))
-    d = ewm(d, keys, {"macd_signal": ("macd", span(9), first)})
+    macd = F.when(F.col("_rn") >= first, F.col("_e12") - F.col("_e26"))
+    if first == 1:  # one pass: the mean of a mean is a sum of two means
+        d = d.withColumns({"macd": macd, "macd_signal": mean_of_mean("_e12", "_e9", span(12), span(9)) - mean_of_mean("_e26", "_e9", span(26), span(9))})
+    else:
+        d = ewm(d.withColumn("macd", macd), keys, {"macd_signal": ("macd", span(9), first)})
     d = d.withColumns({
         **{f"ema_{k}": F.when(F.col("_rn") >= m, F.col(f"ema_{k}")) for k, m in spans.items()},
         "macd_signal": F.when(F.col("_rn") >= first + m9 - 1, F.col("macd_signal")),
         "rsi_14_wilder": rsi("_ag_w", "_al_w", edges=True),
     })
-    return d.withColumn("macd_histogram", F.col("macd") - F.col("macd_signal")).drop("_g", "_l", "_tr", "_e12", "_e26", "_ag_w", "_al_w")
+    return d.withColumn("macd_histogram", F.col("macd") - F.col("macd_signal")).drop("_g", "_l", "_tr", "_e9", "_e12", "_e26", "_ag_w", "_al_w")
 
 
 def session_windows(bars: DataFrame, ts: str = "timestamp", opening_minutes: int = 30) -> DataFrame:

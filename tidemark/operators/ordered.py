@@ -334,7 +334,7 @@ def ewm(
     })
     d = d.withColumn("_home", F.floor(F.col("_sub") / span).cast("long")).withColumn(
         "_sup", F.explode(F.array_compact(F.array(
-            "_home", F.when(F.pmod("_sub", F.lit(span)) >= span - depth, F.col("_home") + 1)))))
+            "_home", F.when(F.pmod("_sub", F.lit(span)) >= span - depth, F.col("_home") + 1))))).repartition(*keys, "_sup")  # for both windows
     inside = Window.partitionBy(*keys, "_sup", "_sub").orderBy(rn).rowsBetween(Window.unboundedPreceding, 0)
     local = {}
     for n, (col, alpha, first) in series.items():
