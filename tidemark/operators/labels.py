@@ -27,8 +27,11 @@ def first_touch(path: Column, hit) -> Column:
 
 def barriers(path: Column, entry: Column, target: Column, stop: Column, horizon: Column, ambiguous: str = "stop") -> dict[str, Column]:
     """Which barrier is touched first along a path of h/l/c structs; equal bars follow the tie policy."""
-    t0 = first_touch(path, lambda x: x["h"] >= target)
-    s0 = first_touch(path, lambda x: x["l"] <= stop)
+    return decided(first_touch(path, lambda x: x["h"] >= target), first_touch(path, lambda x: x["l"] <= stop), horizon, ambiguous)
+
+
+def decided(t0: Column, s0: Column, horizon: Column, ambiguous: str = "stop") -> dict[str, Column]:
+    """:func:`barriers` from the places of the first touch of target and stop (0: none)."""
     none = horizon + 1
     t, s = F.when(t0 == 0, none).otherwise(t0), F.when(s0 == 0, none).otherwise(s0)
     tie = (t == s) & (t <= horizon)
@@ -211,14 +214,17 @@ def entry_exit_labels(
     d = d.withColumns({"_raw": F.collect_list(path_array(fields)).over(ahead)})
     p = F.col("_raw") if not session else F.filter("_raw", lambda x: x["s"] == F.element_at("_raw", 1)["s"])
     tail = F.size("_raw") < horizon
+    # every step's columns are used several times: they are computed once, as columns
     d = d.withColumn("_path", p)
-    p, e, a = F.col("_path"), F.element_at("_path", 1)["o"], F.col("atr_14")
+    p, a = F.col("_path"), F.col("atr_14")
+    d = d.withColumns({"_entry": F.try_element_at(p, F.lit(1))["o"], "_last": F.try_element_at(p, F.lit(-1))["c"], "_bars": F.size(p)})
+    e, last, n = F.col("_entry"), F.col("_last"), F.col("_bars")
     ok = F.coalesce(~tail & (a > 0) & (e > 0), F.lit(False))
     rt = cost_bps / 10_000.0
-    target, stop = e * (1 + rt) + target_atr * a, e - stop_atr * a
-    n = F.size(p)
-    b = barriers(p, e, target, stop, n, ambiguous)
-    last = F.element_at(p, -1)["c"]
+    d = d.withColumns({"_target": e * (1 + rt) + target_atr * a, "_stop": e - stop_atr * a})
+    target, stop = F.col("_target"), F.col("_stop")
+    d = d.withColumns({"_t0": first_touch(p, lambda x: x["h"] >= target), "_s0": first_touch(p, lambda x: x["l"] <= stop)})
+    b = decided(F.col("_t0"), F.col("_s0"), n, ambiguous)
     net = lambda x: x * (1 - rt / 2) / (e * (1 + rt / 2)) - 1
     timeout = b["outcome"] == "timeout"
     undecided = b["ambiguous"] if ambiguous == "ignore" else F.lit(False)
@@ -230,4 +236,4 @@ def entry_exit_labels(
         "max_favorable_excursion": v(F.array_max(F.transform(p, lambda x: x["h"])) / e - 1), "max_adverse_excursion": v(F.array_min(F.transform(p, lambda x: x["l"])) / e - 1),
         "net_horizon_return": v(net(last)), "net_realized_return": v(net(realized)), "target_entry_success": v(F.when(~undecided, b["target_first"].cast("int"))),
         "target_exit_risk": v(F.when(~undecided, b["stop_first"].cast("int"))), "target_timeout_positive": v((timeout & (net(last) > 0)).cast("int")),
-        "target_net_positive": v((net(last) > 0).cast("int"))})).drop("_raw", "_path")
+        "target_net_positive": v((net(last) > 0).cast("int"))})).drop("_raw", "_path", "_entry", "_last", "_bars", "_target", "_stop", "_t0", "_s0")
