@@ -122,6 +122,31 @@ def test_jaccard_shows_a_link_of_every_class(spark):
         assert set_of[r["link_digest"]] in others if others else r["link_digest"] is None
 
 
+def test_jaccard_pairs_of_a_group_of_copies_that_just_do_not_link(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    base, texts = rng.integers(0, 400, 150).tolist(), []
+    for k in range(200):  # 3 to 5 edits each: some 25 of 146 shingles, so that most pairs share less than the bar
+        t = list(base)
+        for at in rng.integers(0, 150, 3 + k % 3):
+            t[int(at)] = int(rng.integers(1000, 900_000))
+        texts.append(" ".join(f"t{x}" for x in t))
+    words = [t.split() for t in texts]
+    sets = [frozenset(tuple(w[j:j + 5]) for j in range(len(w) - 4)) for w in words]
+    bits = [jaccard.parities(jaccard.shingle_set(t)).view(np.uint64) for t in texts]
+    comp = list(range(200))
+    for a, b in itertools.combinations(range(200), 2):
+        assert np.bitwise_count(bits[a] ^ bits[b]).sum() <= len(sets[a] ^ sets[b])
+        if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]) and comp[a] != comp[b]:
+            low, high = sorted((comp[a], comp[b]))
+            comp = [low if c == high else c for c in comp]
+    made, across = [], jaccard._across
+    monkeypatch.setattr(jaccard, "_across", lambda *a: made.append(across(*a)) or made[-1])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_join(df, often_from=4).collect()}
+    assert got == dict(enumerate(comp)) and len(set(comp)) > 20
+    assert made[0].count() < 10 * len(texts)
+
+
 def test_frequent_shingles_do_not_depend_on_partitions(spark):
     rng = np.random.default_rng(8)
     passage = " ".join(f"p{i}" for i in range(30))

@@ -15,6 +15,7 @@ from tidemark.llm.common import row_hash, words_of, written
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 HELD = 4_000_000  # shingles a task gathers before it passes on what repeats
 BITS = 1 << 26  # of the bitmap that spares reading again texts without candidates
+SIGNATURE = 512  # bits of a set's parities
 
 
 def shingle_set(text: str | None, size: int = 5) -> np.ndarray:
@@ -32,6 +33,19 @@ def shingle_set(text: str | None, size: int = 5) -> np.ndarray:
     return np.unique(h)
 
 
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """``SIGNATURE`` bits, as longs: of each bit whether an odd number of shingles falls on it.  Bits in which two sets differ are no
+    more than shingles in which they differ."""
+    at = (shingles * _MIX[0]) >> np.uint64(64 - SIGNATURE.bit_length() + 1)
+    return np.packbits((np.bincount(at.astype(np.int64), minlength=SIGNATURE) & 1).astype(np.uint8)).view(np.int64)
+
+
+def _alike(a: Column, b: Column, sizes: Column, percent: int) -> Column:
+    """Whether sets of these parities and this sum of sizes can reach the likeness: 100 - percent in 100 + percent of the sum may differ."""
+    bits = sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(SIGNATURE // 64)), F.lit(0))
+    return bits * (100 + percent) <= sizes * (100 - percent)
+
+
 def _prefix_length(n: int, percent: int) -> int:
     """Two sets of at least this likeness share one of the first n - ceil(percent * n / 100) + 1 in any common order."""
     return n - -(-percent * n // 100) + 1
@@ -83,15 +97,15 @@ def common_shingles(docs: DataFrame, text_col: str, size: int, often_from: int,
 
 
 def _signed(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, common: tuple) -> DataFrame:
-    """``id, p, n, cls, grp, tail, end, prefix``: set size, digest of the set, hash of size and prefix, where the prefix ends in
-    the common order, and the prefix (once for each group and task, else null)."""
+    """``id, p, n, cls, sig, grp, tail, end, prefix``: set size, digest and parities of the set, hash of size and prefix, where the
+    prefix ends in the common order, and the prefix (once for each group and task, else null)."""
     sent = docs.sparkSession.sparkContext.broadcast(common)
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, ranks = sent.value
         told: set[int] = set()
         for b in batches:
-            n, cls, grp, prefix, tail, end = [], [], [], [], [], []
+            n, cls, sig, grp, prefix, tail, end = [], [], [], [], [], [], []
             for text in b["text"]:
                 s = shingle_set(text, size)
                 first, plain, rank = s, len(s), np.empty(0, np.int64)
@@ -108,15 +122,16 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int
                 g = xxhash.xxh64_intdigest(first.tobytes(), len(s)) - (1 << 63)
                 n.append(len(s))
                 cls.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                sig.append(parities(s))
                 grp.append(g)
                 if len(told) > 300_000:
                     told = set()
                 prefix.append(None if g in told or not len(s) else first.view(np.int64))
                 told.add(g)
-            yield pd.DataFrame({"id": b["id"], "p": b["p"], "n": n, "cls": cls, "grp": grp, "tail": tail, "end": end, "prefix": prefix})
+            yield pd.DataFrame({"id": b["id"], "p": b["p"], "n": n, "cls": cls, "sig": sig, "grp": grp, "tail": tail, "end": end, "prefix": prefix})
 
     rows = docs.select(F.col(id_col).cast("string").alias("id"), _place(id_col).alias("p"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    signed = rows.mapInPandas(sign, "id string, p long, n int, cls binary, grp long, tail long, end long, prefix array<long>")
+    signed = rows.mapInPandas(sign, "id string, p long, n int, cls binary, sig array<long>, grp long, tail long, end long, prefix array<long>")
     return written(signed.withColumn("id", F.col("id").cast(docs.schema[id_col].dataType)), "shingle-prefixes")
 
 
@@ -185,14 +200,15 @@ def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
 
 def _likely(shared: DataFrame, ends: DataFrame, percent: int) -> DataFrame:
     """The pairs of classes ``a, b`` that can reach the likeness, of those keyed ``a, na, b, nb`` (key and set size), given ``o``
-    shared shingles in their prefixes, the last at places ``la`` and ``lb``.  ``ends``: class and prefix end of ``key, n``.  Both hold their shingles in one order, so only what follows the last shared place can be
+    shared shingles in their prefixes, the last at places ``la`` and ``lb``.  ``ends``: class, parities and prefix end of ``key, n``.  Both hold their shingles in one order, so only what follows the last shared place can be
     shared too; and the prefix that ends first in that order was compared whole, so of that set only the rest."""
     need = F.ceil((F.col("na") + F.col("nb")) * percent / (100.0 + percent) - 1e-9)
     # the smaller set's rest is a bound that needs no further look at the pair
     rough = F.col("o") + F.least(F.col("na") - F.col("la") - 1, F.col("nb") - F.col("lb") - 1, F.ceil(F.greatest("na", "nb") * percent / 100.0 - 1e-9) - 1)
     pairs = shared.where(rough >= need)
     for side in "ab":
-        pairs = pairs.join(ends.select(F.col("key").alias(side), F.col("n").alias(f"n{side}"), F.col("cls").alias(f"cls_{side}"), F.col("ends").alias(f"ends_{side}")), [side, f"n{side}"])
+        pairs = pairs.join(ends.select(F.col("key").alias(side), F.col("n").alias(f"n{side}"), F.col("cls").alias(f"cls_{side}"), F.col("sig").alias(f"sig_{side}"), F.col("ends").alias(f"ends_{side}")), [side, f"n{side}"])
+    pairs = pairs.where(_alike(F.col("sig_a"), F.col("sig_b"), F.col("na") + F.col("nb"), percent))
     first = F.when(F.col("ends_a") <= F.col("ends_b"), F.col("na")).otherwise(F.col("nb"))
     return pairs.where(F.col("o") + F.ceil(first * percent / 100.0 - 1e-9) - 1 >= need).select(F.least("cls_a", "cls_b").alias("a"), F.greatest("cls_a", "cls_b").alias("b"))
 
@@ -204,12 +220,12 @@ def _mixed(lists: DataFrame, labels: DataFrame, key: list[str]) -> DataFrame:
     return lists.join(several, "s", "left_semi")
 
 
-def _sparse(entries: DataFrame, ends: DataFrame, percent: int, seed: int) -> DataFrame:
-    """Few pairs of different components, entries being groups or classes (``key``): in every list and size band each entry meets the first and the one before it in a
-    seeded order.  Lists where a pair does not meet are not counted for its bound, so this may drop pairs that the last
+def _sparse(entries: DataFrame, ends: DataFrame, percent: int) -> DataFrame:
+    """Few pairs of different groups (``key``): in every list and size band each meets the first and the one before it in an
+    order by hash.  Lists where a pair does not meet are not counted for its bound, so this may drop pairs that the last
     round looks at again."""
     place = F.struct("key", "comp", "n", "at")
-    order = Window.partitionBy("s", "band").orderBy(F.xxhash64(F.lit(seed), "key"), "key")
+    order = Window.partitionBy("s", "band").orderBy(F.xxhash64("key"), "key")
     met = entries.select(F.first(place).over(order).alias("x"), F.lag(place).over(order).alias("y"), place.alias("z"))
     met = met.select("z", F.explode(F.array_distinct(F.array("x", "y"))).alias("x")).where(F.col("x.comp") != F.col("z.comp"))
     first = F.col("x.key") < F.col("z.key")
@@ -220,19 +236,64 @@ def _sparse(entries: DataFrame, ends: DataFrame, percent: int, seed: int) -> Dat
     return _likely(shared.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent), ends, percent)
 
 
-def _across(entries: DataFrame, key: list[str], meet: Column | None = None) -> DataFrame:
-    """Pairs ``a, b`` of classes in one list (``key``) but different components, with both sides' ``n`` and ``at``: every member
-    outside the list's largest component with every other.  ``meet``: the bands an entry meets besides its own list."""
+def _spread(entries: DataFrame, ends: DataFrame, percent: int, seed: int) -> DataFrame:
+    """Pairs ``a, b`` of classes in different components that can reach the likeness, few: in every list and size band each class meets the first
+    and the one before it, in an order of the list's own, so that a class of many lists meets many others."""
+    place = F.struct("cls", "comp", "n", "at")
+    order = Window.partitionBy("s", "band").orderBy(F.xxhash64(F.lit(seed), "s", "cls"), "cls")
+    met = entries.select(F.first(place).over(order).alias("x"), F.lag(place).over(order).alias("y"), place.alias("z"))
+    met = met.select("z", F.explode(F.array_distinct(F.array("x", "y"))).alias("x")).where(F.col("x.comp") != F.col("z.comp"))
+    n, left = F.col("x.n") + F.col("z.n"), F.least(F.col("x.n") - F.col("x.at"), F.col("z.n") - F.col("z.at"))
+    pairs = met.where(left * (100 + percent) >= n * percent)  # see _across
+    pairs = pairs.select(F.least("x.cls", "z.cls").alias("a"), F.greatest("x.cls", "z.cls").alias("b"), n.alias("sizes")).distinct()
+    for side in "ab":
+        pairs = pairs.join(ends.select(F.col("cls").alias(side), F.col("sig").alias(f"sig_{side}")), side)
+    return pairs.where(_alike(F.col("sig_a"), F.col("sig_b"), F.col("sizes"), percent)).select("a", "b")
+
+
+def _sided(entries: DataFrame, key: list[str]) -> DataFrame:
+    """The entries of lists (``key``) with several components, each with whether it is ``minor``: outside the list's largest component."""
     by_comp = entries.groupBy(*key, "comp").agg(F.count(F.lit(1)).alias("k"))
     largest = by_comp.groupBy(*key).agg(F.max_by("comp", F.struct("k", "comp")).alias("major"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-    rows = entries.join(largest.select(*key, "major"), key).withColumn("minor", F.col("comp") != F.col("major"))
-    side = {i: [F.col(c).alias(f"{i}_{c}") for c in ("cls", "comp", "n", "at", "minor")] for i in "xy"}
-    x = rows.where("minor").select(*key, (F.explode(meet) if meet is not None else F.lit(0)).alias("meet"), *side["x"])
-    y = rows.select(*key, (F.col("band") if meet is not None else F.lit(0)).alias("meet"), *side["y"])
-    cross = x.join(y, [*key, "meet"]).where((F.col("x_comp") != F.col("y_comp")) & (~F.col("y_minor") | (F.col("x_cls") < F.col("y_cls"))))
-    first = F.col("x_cls") < F.col("y_cls")
-    pick = {f"{c}{k}": F.when(first if k == "a" else ~first, F.col(f"x_{c}")).otherwise(F.col(f"y_{c}")) for c in ("n", "at") for k in "ab"}
-    return cross.select(F.least("x_cls", "y_cls").alias("a"), F.greatest("x_cls", "y_cls").alias("b"), *[c.alias(k) for k, c in pick.items()])
+    return entries.join(largest.select(*key, "major"), key).withColumn("minor", F.col("comp") != F.col("major"))
+
+
+def _across(entries: DataFrame, ends: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a, b`` of classes in different components that can reach the likeness, all of them: those of a list's largest component do
+    not meet one another there.
+
+    Sets that link need 6/7 (at 75 percent) of their mean size in common, and what they share starts with the first shingle that both
+    have in the common order.  In that list at least this much is left of both, so the smaller set has had at most 1/7 of
+    its shingles before; entries further on only wait for smaller sets.  A list where the rest is too short is not that list.
+    Parities drop most of what meets.
+    """
+    rows = _sided(entries, ["s"])
+    rest = (F.col("n") - F.col("at")) * (100 + percent)
+    starts = rest >= F.col("n") * 2 * percent  # may be the smaller one
+    open_ = rows.where(starts).select("s").distinct()
+    rows = rows.join(open_, "s", "left_semi").withColumn("starts", starts).join(ends.select("cls", "sig"), "cls")
+    side = {i: [F.col(c).alias(f"{i}_{c}") for c in ("cls", "comp", "n", "at", "sig")] for i in "xy"}
+    bands = F.array(*[F.struct((F.col("band") + i).alias("band"), F.lit(m).alias("minor")) for i in (0, 1) for m in (True, False)])
+    met = F.filter(bands, lambda x: F.col("minor") | x["minor"])
+    x = rows.where("starts").select("s", F.explode(met).alias("meet"), *side["x"])
+    y = rows.select("s", F.struct("band", "minor").alias("meet"), *side["y"])
+    left = F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at"))
+    both = F.col("x_n") + F.col("y_n")
+    pairs = x.join(y, ["s", "meet"]).where(
+        (F.col("x_comp") != F.col("y_comp")) & (F.struct("x_n", "x_cls") < F.struct("y_n", "y_cls")) & (F.col("x_n") * 100 >= F.col("y_n") * percent)
+        & (left * (100 + percent) >= both * percent) & _alike(F.col("x_sig"), F.col("y_sig"), both, percent)
+    )
+    return pairs.select(F.least("x_cls", "y_cls").alias("a"), F.greatest("x_cls", "y_cls").alias("b")).distinct()
+
+
+def _within(labels: DataFrame, ends: DataFrame, key: list[str], percent: int) -> DataFrame:
+    """Pairs ``a, b`` of classes of one group (``key``) but different components that can reach the likeness."""
+    rows = _sided(labels, key).join(ends.select("cls", "sig"), "cls")
+    side = {i: [F.col(c).alias(f"{i}_{c}") for c in ("cls", "comp", "minor", "sig")] for i in "xy"}
+    pairs = rows.where("minor").select(*key, *side["x"]).join(rows.select(*key, *side["y"]), key).where(
+        (F.col("x_comp") != F.col("y_comp")) & (~F.col("y_minor") | (F.col("x_cls") < F.col("y_cls"))) & _alike(F.col("x_sig"), F.col("y_sig"), F.col("n") * 2, percent)
+    )
+    return pairs.select(F.least("x_cls", "y_cls").alias("a"), F.greatest("x_cls", "y_cls").alias("b"))
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, often_from: int = 16, most_common: int = 1 << 21) -> DataFrame:
@@ -246,8 +307,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     their prefixes, in a common order that puts frequent shingles last.  First every group meets the first of each of its
     lists and one neighbour there, and every class the first of its group; what verifies is contracted.  Lists that still
     hold several components do the same again, member by member, in another order.  Last, all pairs of one list in
-    different components meet, apart from those between members of its largest component; a bound from the shared part of
-    the prefixes drops most, and the rest is verified.  So a group of near copies costs pairs in proportion to its size,
+    different components meet, apart from those between members of its largest component; bounds from their places in the list and
+    from the parities of the sets drop most, and the rest is verified.  So a group of near copies costs pairs in proportion to its size,
     and no link between different components is missed.  The links kept by the way connect each component; ``link_digest``
     is one of them, so that every membership can be checked.
 
@@ -257,15 +318,15 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return _joined(docs, id_col, text_col, size, percent, often_from, most_common).drop("_comp")
 
 
-def _joined(docs: DataFrame, id_col: str, text_col: str, size: int = 5, percent: int = 75, often_from: int = 16, most_common: int = 1 << 21) -> DataFrame:
+def _joined(docs: DataFrame, id_col: str, text_col: str, size: int = 5, percent: int = 75, often_from: int = 16, most_common: int = 1 << 21, spreads: int = 2) -> DataFrame:
     """See jaccard_join; with ``_comp``, which tells components apart whose smallest ids are equal."""
     common = common_shingles(docs, text_col, size, often_from, most_common)
     signed = _signed(docs, id_col, text_col, size, percent, common)
     key = ["grp", "n"]
-    members = signed.where("n > 0").groupBy("cls", *key).agg(F.min("p").alias("p"), F.min(F.struct("tail", "end")).alias("ends"))  # every different set
+    members = signed.where("n > 0").groupBy("cls", *key).agg(F.min("p").alias("p"), F.first("sig").alias("sig"), F.min(F.struct("tail", "end")).alias("ends"))  # every different set
     members = written(members, "classes")
-    groups = members.groupBy(*key).agg(F.min("cls").alias("rep"), F.min("ends").alias("ends"))  # one prefix has one end
-    ends = members.select(F.col("cls").alias("key"), "n", "cls", "ends")
+    groups = members.groupBy(*key).agg(F.min("cls").alias("rep"), F.min_by("sig", "cls").alias("sig"), F.min("ends").alias("ends"))  # one prefix has one end
+    ends = members.select(F.col("cls").alias("key"), "n", "cls", "sig", "ends")
 
     # lists: the groups of a shingle, by size band; a list of one group is dropped
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
@@ -276,9 +337,9 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, size: int = 5, percent:
     seen = postings.withColumns({"before": F.lag(entry).over(in_list), "low": F.first(entry).over(whole), "high": F.last(entry).over(whole)})
     live = seen.where((F.col("low") != F.col("high")) & ~F.coalesce(F.col("before") == entry, F.lit(False)))
     live = written(live.select("s", *key, "at", band.alias("band")), "lists")
-    inside = members.select("cls", *key).join(groups, key).where(F.col("cls") != F.col("rep")).select(F.col("rep").alias("a"), F.col("cls").alias("b"))
+    inside = members.select("cls", *key, F.col("sig").alias("own")).join(groups, key).where((F.col("cls") != F.col("rep")) & _alike(F.col("own"), F.col("sig"), F.col("n") * 2, percent)).select(F.col("rep").alias("a"), F.col("cls").alias("b"))
     apart = live.select("s", "band", F.col("grp").alias("key"), F.col("grp").alias("comp"), "n", "at")
-    pairs = _sparse(apart, groups.select(F.col("grp").alias("key"), "n", F.col("rep").alias("cls"), "ends"), percent, 0)
+    pairs = _sparse(apart, groups.select(F.col("grp").alias("key"), "n", F.col("rep").alias("cls"), "sig", "ends"), percent)
     pairs = written(pairs.unionAll(inside).distinct(), "pairs")
 
     def sets(wanted: DataFrame) -> DataFrame:
@@ -286,22 +347,22 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, size: int = 5, percent:
 
     links = _verified(pairs, members, percent, sets)
 
-    # what is still apart in some list meets others there, in another order; a list of one component stays one
+    # what is still apart in some list meets others there, in other orders; a list of one component stays one
     labels = written(_labelled(members.select("cls", *key), links), "labelled")
     live = written(_mixed(live, labels, key), "mixed-lists")
-    more = written(_sparse(live.join(labels, key).withColumn("key", F.col("cls")), ends, percent, 1).join(pairs, ["a", "b"], "left_anti"), "pairs")
-    if not more.isEmpty():
+    for seed in range(1, spreads + 1):
+        entries = live.join(labels, key).select("s", "band", "cls", "comp", "n", "at")
+        more = written(_spread(entries, ends, percent, seed).join(pairs, ["a", "b"], "left_anti"), "pairs")
+        if more.isEmpty():
+            break
         pairs, links = pairs.unionAll(more), links.unionAll(_verified(more, members, percent, sets))
         labels = written(_labelled(members.select("cls", *key), links), "labelled")
+        live = written(_mixed(live, labels, key), "mixed-lists")
 
     # last round: all pairs of a list in different components
-    live = written(_mixed(live, labels, key), "mixed-lists")
     entries = written(live.join(labels, key).select("s", "band", "cls", "comp", "n", "at"), "entries")
-    cross = _across(entries, ["s"], F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))
-    cross = cross.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-    shared = cross.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("o"), F.max("ata").alias("la"), F.max("atb").alias("lb"))
-    close = _likely(shared, ends, percent)
-    within = _across(labels.withColumn("at", F.lit(0)), key).select("a", "b")
+    close = _across(entries, ends, percent)
+    within = _within(labels, ends, key, percent)
     rest = written(close.unionAll(within).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
     if not rest.isEmpty():
         links = links.unionAll(_verified(rest, members, percent, sets))
