@@ -2,6 +2,7 @@
 import datetime as dt
 import random
 
+import pandas as pd
 import pytest
 
 from tidemark.session import scratch_path
@@ -112,3 +113,49 @@ def test_complete_groups(spark):
     stream = S.complete_groups(fed(spark, batches, schema), "g", "m", "ts", "id", 3, "30 minutes", "15 minutes")
     got = sorted((r["g"], r["m"], r["x"]) for r in R.replay(stream, "groups").collect())
     assert got == [("g1", "A", "newer"), ("g1", "B", "b"), ("g1", "C", "c"), ("g4", "A", "A"), ("g4", "B", "B"), ("g4", "C", "C")]
+
+
+class Store:
+    """State of one bucket, kept by hand."""
+
+    def __init__(self):
+        self.mark, self.value, self.timeout = 0, None, None
+
+    exists = property(lambda self: self.value is not None)
+    get = property(lambda self: self.value)
+
+    def getCurrentWatermarkMs(self):
+        return self.mark
+
+    def update(self, value):
+        self.value = value
+
+    def setTimeoutTimestamp(self, ms):
+        self.timeout = ms
+
+    def remove(self):
+        self.value = None
+
+
+def test_one_call_serves_many_keys():
+    store, calls = Store(), []
+
+    def step(state, rows):
+        calls.append(rows)
+        return [(r[1], (state or 0) + k + 1) for k, r in enumerate(rows)], (state or 0) + len(rows)
+
+    work = S.OrderedState(["at_us", "id"], ["id", "n"], step, 1000)
+    frame = pd.DataFrame({"key_text": [f"k{i % 100}" for i in range(300)], "at_us": [(i // 100 + 1) * 100_000 for i in range(300)], "id": range(300)})
+    assert list(work(None, iter([frame]), store)) == [] and store.timeout == 99  # all wait, in one value
+    store.mark = 200
+    (out,) = work(None, iter([]), store)
+    assert sorted(map(tuple, out.values.tolist())) == [(i, i // 100 + 1) for i in range(200)] and store.timeout == 299
+    late = pd.DataFrame({"key_text": ["k0", "k0"], "at_us": [200_000, 250_000], "id": [900, 901]})  # the first is too late
+    assert list(work(None, iter([late]), store)) == [] and store.timeout == 249
+    store.mark = 1250
+    (out,) = work(None, iter([]), store)
+    assert dict(out.values.tolist())[901] == 3 and dict(out.values.tolist())[200] == 4 and len(out) == 101
+    assert store.timeout == 1299  # silence of ``idle``
+    store.mark = 1300
+    assert list(work(None, iter([]), store)) == [] and not store.exists
+    assert len(calls) == 200

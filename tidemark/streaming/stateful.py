@@ -1,86 +1,77 @@
-"""Ordered state per key on a stream: rows wait in list state until the watermark has passed them, then run in event order.
+"""Ordered state per key on a stream: rows wait in the state until the watermark has passed them, then run in event order.
 
 A row that comes late but within the watermark's delay therefore meets exactly the state that the batch twin gives it, however the
 input is cut into micro-batches.  All state is keyed, kept by the state store, and given up when a key has been silent for
-``idle``: an event-time timer clears it, so that state grows with live keys only.
+``idle``: an event-time timeout clears it, so that state grows with live keys only.
 """
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+OUTPUT = 50_000  # rows that a bucket gathers before it returns them
 
 
-class OrderedState(StatefulProcessor):
+class OrderedState:
     """``step(state, rows)`` gets rows of one key in order of (time, ident) and the state after all earlier ones, or ``None``, and returns
-    (output rows, new state).  Rows are tuples: microseconds, ident, then the payload columns."""
-
-    def __init__(self, row_schema: str, state_schema: str, columns: Sequence[str], out: Sequence[str], step: Callable, idle_ms: int):
-        self.row_schema, self.state_schema, self.columns, self.out, self.step, self.idle_ms = row_schema, state_schema, list(columns), list(out), step, idle_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.pending = handle.getListState("pending", self.row_schema)
-        self.known = handle.getValueState("known", self.state_schema)
-        self.clock = handle.getValueState("clock", "due long, silent long, last long")  # timers set: next row's, expiry's; last row done
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        mark = timerValues.getCurrentWatermarkInMs()
-        added = [r for frame in rows for r in zip(*(_plain(frame[c]) for c in self.columns)) if r[0] // 1000 > mark]
-        if added:
-            self.pending.appendList(added)
-            due, silent, done = self.clock.get() if self.clock.exists() else (None, None, None)
-            first = min(r[0] for r in added) // 1000
-            if due is None or first < due:
-                if due is not None:
-                    self.handle.deleteTimer(due)
-                self.handle.registerTimer(first)
-                due = first
-            last = max(r[0] for r in added) // 1000 + self.idle_ms
-            if silent is None or last > silent:
-                if silent is not None and silent != due:
-                    self.handle.deleteTimer(silent)
-                self.handle.registerTimer(last)
-                silent = last
-            self.clock.update((due, silent, done))
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        mark = timerValues.getCurrentWatermarkInMs()
-        due, silent, done = self.clock.get() if self.clock.exists() else (None, None, None)
-        waiting = list(self.pending.get()) if due is not None and due <= mark else []
-        ready = sorted((r for r in waiting if r[0] // 1000 <= mark), key=lambda r: r[:2])
-        if ready:
-            left = [r for r in waiting if r[0] // 1000 > mark]
-            state, made, start = self.known.get() if self.known.exists() else None, [], 0
-            for i in range(1, len(ready) + 1):  # runs without a silence of ``idle``; the row after one starts anew
-                if i < len(ready) and ready[i][0] - ready[i - 1][0] <= self.idle_ms * 1000:
-                    continue
-                fresh = done is None or ready[start][0] - done > self.idle_ms * 1000
-                rows, state = self.step(None if fresh else state, ready[start:i])
-                made, start, done = made + rows, i, ready[i - 1][0]
-            if state is not None:
-                self.known.update(state)
-            due = min(r[0] for r in left) // 1000 if left else None
-            if left:
-                self.pending.put(left)
-                self.handle.registerTimer(due)
-            else:
-                self.pending.clear()
-            self.clock.update((due, silent, done))
-            if made:
+    (output rows, new state).  Rows are tuples: microseconds, ident, then the payload columns.
+
+    One call serves a bucket of keys, since a call and its read and write of the state store cost far more than a key's few rows.
+    ``held``: for each key its waiting rows, state, when it expires and its last row done."""
+
+    def __init__(self, columns: Sequence[str], out: Sequence[str], step: Callable, idle_ms: int):
+        self.columns, self.out, self.step, self.idle_ms = list(columns), list(out), step, idle_ms
+
+    def __call__(self, bucket, frames: Iterator[pd.DataFrame], store) -> Iterator[pd.DataFrame]:
+        mark = store.getCurrentWatermarkMs()
+        held = pickle.loads(store.get[0]) if store.exists else {}
+        for frame in frames:
+            for key, *row in zip(*(_plain(frame[c]) for c in ("key_text", *self.columns))):
+                if row[0] // 1000 > mark:
+                    one = held.setdefault(key, [[], None, 0, None])
+                    one[0].append(tuple(row))
+                    one[2] = max(one[2], row[0] // 1000 + self.idle_ms)
+        made, due = [], None
+        for key, one in list(held.items()):
+            made += self._passed(one, mark)
+            if not one[0] and one[2] <= mark:
+                del held[key]
+                continue
+            wakes = min(r[0] for r in one[0]) // 1000 if one[0] else one[2]
+            due = wakes if due is None else min(due, wakes)
+            if len(made) >= OUTPUT:
                 yield pd.DataFrame(made, columns=self.out)
-        if silent is not None and silent <= mark and due is None:
-            self.known.clear()
-            self.clock.clear()
-
-    def close(self) -> None:
-        pass
+                made = []
+        if held:
+            store.update((pickle.dumps(held),))
+            store.setTimeoutTimestamp(due - 1)  # called once the watermark is beyond it, so at ``due``
+        elif store.exists:
+            store.remove()
+        if made:
+            yield pd.DataFrame(made, columns=self.out)
+
+    def _passed(self, one: list, mark: int) -> list:
+        """Output of the waiting rows of a key that the watermark has passed; ``one`` is brought up to date."""
+        waiting, state, _, done = one
+        ready = sorted((r for r in waiting if r[0] // 1000 <= mark), key=lambda r: r[:2])
+        if not ready:
+            return []
+        made, start = [], 0
+        for i in range(1, len(ready) + 1):  # runs without a silence of ``idle``; the row after one starts anew
+            if i < len(ready) and ready[i][0] - ready[i - 1][0] <= self.idle_ms * 1000:
+                continue
+            fresh = done is None or ready[start][0] - done > self.idle_ms * 1000
+            rows, state = self.step(None if fresh else state, ready[start:i])
+            made, start, done = made + rows, i, ready[i - 1][0]
+        one[0], one[1], one[3] = [r for r in waiting if r[0] // 1000 > mark], state, done
+        return made
 
 
 def _plain(column: pd.Series) -> list:
@@ -88,24 +79,24 @@ def _plain(column: pd.Series) -> list:
 
 
 def ordered(
-    rows: DataFrame, keys: Sequence[str], ts: str, ident: str, payload: Sequence[str], state_schema: str, out_schema: str, step: Callable, delay: str, idle: str,
+    rows: DataFrame, keys: Sequence[str], ts: str, ident: str, payload: Sequence[str], out_schema: str, step: Callable, delay: str, idle: str, buckets: int = 1024,
 ) -> DataFrame:
     """Stream of what ``step`` returns for the rows of every key in event order (see :class:`OrderedState`).
 
     Rows are final once the watermark, ``delay`` behind the newest row, has passed them; rows older than it are dropped.  A key
     silent for ``idle`` (an interval) beyond its last row starts anew.  Null keys form a key of their own; rows with a null time are dropped.
+    The keys of one of ``buckets`` are held together while a micro-batch is at work on it: more keys than some thousands in each call for more.
     """
     spark = rows.sparkSession
     if spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") != PROVIDER:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)  # the only store that keeps list state and timers
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)  # holds state outside the heap
     columns = ["at_us", ident, *payload]
-    row_schema = ", ".join(f"`{c}` {'long' if c == 'at_us' else kinds[c]}" for c in columns)
     names = [part.split()[0].strip("`") for part in out_schema.split(",")]
     (idle_ms,) = spark.range(1).select(F.unix_millis(F.lit(0).cast("timestamp") + F.expr(f"interval {idle}"))).first()
     d = rows.where(F.col(ts).isNotNull()).withWatermark(ts, delay).withColumn("at_us", F.unix_micros(ts))
-    return d.select(*keys, ts, *columns).groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=OrderedState(row_schema, state_schema, columns, names, step, idle_ms), outputStructType=out_schema, outputMode="Append", timeMode="EventTime",
+    text = F.to_json(F.array(*[F.col(k).cast("string") for k in keys]))
+    return d.select(F.pmod(F.xxhash64(text), F.lit(buckets)).alias("bucket"), text.alias("key_text"), ts, *columns).groupBy("bucket").applyInPandasWithState(
+        OrderedState(columns, names, step, idle_ms).__call__, out_schema, "held binary", "append", GroupStateTimeout.EventTimeTimeout,
     )
 
 
@@ -126,7 +117,7 @@ def session_state(ticks: DataFrame, keys: Sequence[str], ts: str, ident: str, pr
         return out, (first, pv, vol, high, low)
 
     kind = ticks.schema[ident].dataType.simpleString()
-    return ordered(ticks, keys, ts, ident, [price, volume], "first long, pv double, vol double, high double, low double",
+    return ordered(ticks, keys, ts, ident, [price, volume],
                    f"{ident} {kind}, session_vwap double, opening_high double, opening_low double", step, delay, idle)
 
 
@@ -138,17 +129,17 @@ def known_state(union: DataFrame, key: str, ts: str, ident: str, side: str, sour
     """
 
     def step(state, rows):
-        known = dict(zip(state[0], zip(state[1], state[2]))) if state else {}
+        known = dict(state or {})
         out = []
         for us, i, asks, src, v in rows:
             if asks:
                 out.extend((i, s, x, at) for s, (x, at) in known.items())
             else:
                 known[src] = (v, us)
-        return out, (list(known), [x for x, _ in known.values()], [at for _, at in known.values()])
+        return out, known
 
     kind = union.schema[ident].dataType.simpleString()
-    return ordered(union, [key], ts, ident, [side, source, value], "sources array<string>, known array<string>, at array<long>",
+    return ordered(union, [key], ts, ident, [side, source, value],
                    f"{ident} {kind}, source string, known string, known_us long", step, delay, idle)
 
 
@@ -173,7 +164,7 @@ def momentum_state(bars: DataFrame, key: str, ts: str, ident: str, high: str, lo
         return out, (prev, ema, up, down, atr)
 
     kind = bars.schema[ident].dataType.simpleString()
-    return ordered(bars, [key], ts, ident, [high, low, close], "prev double, ema double, up double, down double, atr double",
+    return ordered(bars, [key], ts, ident, [high, low, close],
                    f"{ident} {kind}, ema double, rsi double, atr double", step, delay, idle)
 
 
