@@ -13,6 +13,7 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.clean import finite
 from tidemark.operators.crosssection import top_k
 from tidemark.operators.evaluation import ndcg
 from tidemark.operators.trees import ForestModel, extra_trees, lambda_mart
@@ -139,9 +140,12 @@ def ranking_metrics(scored: DataFrame, keys: Sequence[str], group: str, ident: s
 
 
 def sigmoid(train: DataFrame, probability: str, target: str) -> PipelineModel:
-    return Pipeline(stages=[VectorAssembler(inputCols=[probability], outputCol="features"),
-                            LogisticRegression(featuresCol="features", labelCol=target, probabilityCol="_pr", rawPredictionCol="_rw", predictionCol="_pd")]).fit(train)
+    """Fit on the rows with a finite score and a target."""
+    known = train.where(finite(probability).isNotNull() & F.col(target).isNotNull())
+    return Pipeline(stages=[VectorAssembler(inputCols=[probability], outputCol="features", handleInvalid="keep"),
+                            LogisticRegression(featuresCol="features", labelCol=target, probabilityCol="_pr", rawPredictionCol="_rw", predictionCol="_pd")]).fit(known)
 
 
 def apply_sigmoid(model: PipelineModel, df: DataFrame, out: str = "calibrated") -> DataFrame:
-    return model.transform(df).withColumn(out, vector_to_array("_pr")[1]).drop("features", "_pr", "_rw", "_pd")
+    """Every row stays; without a score (null or NaN) there is no calibrated one."""
+    return model.transform(df).withColumn(out, F.nanvl(vector_to_array("_pr")[1], F.lit(None).cast("double"))).drop("features", "_pr", "_rw", "_pd")
