@@ -391,6 +391,14 @@ def ranks(df: DataFrame, keys: Sequence[str], value: str, prefix: str = "") -> D
     return df.join(stats, on, "left").drop("_k_value", *[f"_k_{k}" for k in keys])
 
 
+def from_top(prefix: str = "") -> Column:
+    """Rank from the highest value down, ties sharing the first place, of the columns of :func:`ranks`.
+
+    Ranking the negated value would put NaN, the highest value of an SQL order, last: its negation is NaN again.
+    """
+    return F.col(f"{prefix}group_n") - F.col(f"{prefix}min_rank") - F.col(f"{prefix}ties") + 2
+
+
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:
     """Exact linearly interpolated quantiles per key from running counts (no value list is built)."""
     c = value_counts(df, keys, value)
