@@ -9,6 +9,7 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from tidemark.llm.lattice import NEG, SPACE, Lattice, Vocabulary, max_plus
 
 UNITS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 RESULT = ("ids", "n_tokens", "path_score", "round_trip")
+AT_ONCE = 1 << 20  # bytes of text that a worker encodes at a time, whatever the size of Spark's batches
 _ENCODERS: dict[int, Encoder] = {}
 
 
@@ -106,6 +108,17 @@ class Encoder:
         return raw.decode("utf-8", "replace")[1:]
 
 
+def portions(texts: pa.Array, most: int = AT_ONCE) -> Iterator[slice]:
+    """Stretches of a batch of about ``most`` bytes of text, one text at least: what a worker holds besides the batch (its units,
+    their places, pieces) is many times its text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start, before = 0, 0
+    while start < len(ends):
+        stop = max(start + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield slice(start, stop)
+        start, before = stop, int(ends[stop - 1])
+
+
 def _arrow(flat: np.ndarray, edges: np.ndarray, scores: np.ndarray, same: np.ndarray) -> pa.StructArray:
     ids = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(flat, pa.int32()))
     return pa.StructArray.from_arrays([ids, pa.array(scores), pa.array(same)], ["ids", "path_score", "round_trip"])
@@ -145,11 +158,14 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", chunk: int
     def short(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         coder = Encoder.here(sent)
         for texts in batches:
-            plain = texts.to_pylist()
-            marked = [mark(t) for t in plain]
-            flat, edges, scores = coder.paths(marked)
-            same = coder.spells(flat, edges, marked) & np.array([SPACE not in t for t in plain], bool)
-            yield _arrow(flat, edges, scores, same)
+            found = [_arrow(np.empty(0, np.int32), np.zeros(1, np.int32), np.empty(0), np.empty(0, bool))]
+            for part in portions(texts):
+                plain = texts[part].to_pylist()
+                marked = [mark(t) for t in plain]
+                flat, edges, scores = coder.paths(marked)
+                same = coder.spells(flat, edges, marked) & np.array([SPACE not in t for t in plain], bool)
+                found.append(_arrow(flat, edges, scores, same))
+            yield pa.concat_arrays(found)
 
     small = docs.where(F.length(text) <= chunk).withColumn(key, F.arrow_udf(short, "ids array<int>, path_score double, round_trip boolean")(text))
     giant = docs.where(F.length(text) > chunk).withColumn(key, F.unhex(F.sha2(text, 256)))
@@ -195,7 +211,7 @@ def _giants(texts: DataFrame, sent: Broadcast, chunk: int, fan: int) -> DataFram
 
     def backtrace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Encoder.here(sent)
-        for b in batches:
+        for b in (batch.slice(p.start, p.stop - p.start) for batch in batches for p in portions(batch["part"])):
             stretch = [p[a:min(chunk, len(p)) + z] for p, a, z in zip(b["part"].to_pylist(), b["entry"].to_pylist(), b["exit"].to_pylist())]
             flat, edges, scores = coder.paths(stretch)
             found = _arrow(flat, edges, scores, coder.spells(flat, edges, stretch))
