@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from tidemark.session import written
 
 FIXED = 1 << 20  # weights and gradients are counted in these units
+PAIRS = 256  # rows of a group up to which its pairs are gone through one by one
 
 
 def placed(x: np.ndarray, feature: np.ndarray, threshold: np.ndarray) -> np.ndarray:
@@ -142,6 +143,8 @@ class ForestModel:
 def pair_gradients(scores: np.ndarray, grades: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Gradient and Hessian of a group's rows: for every pair of different grades the logistic loss of the order, times what
     swapping the two would change in NDCG (gain 2**grade - 1, ranks by score, ties in row order)."""
+    if len(scores) > PAIRS:
+        return summed_gradients(scores, grades)
     order = np.argsort(-scores, kind="stable")
     rank = np.empty(len(scores))
     rank[order] = np.arange(1, len(scores) + 1)
@@ -156,6 +159,67 @@ def pair_gradients(scores: np.ndarray, grades: np.ndarray) -> tuple[np.ndarray,
     return pull.sum(0) - pull.sum(1), curve.sum(0) + curve.sum(1)
 
 
+def summed_gradients(scores: np.ndarray, grades: np.ndarray, run: int = 128) -> tuple[np.ndarray, np.ndarray]:
+    """The sums of :func:`pair_gradients` over all pairs, to double precision, without going through the pairs.
+
+    In order of rank, the change of a pair is a difference of two discounts, so a row needs of each grade above and below it only the
+    sums of K(s_i - s_j) and of discount_j K(s_i - s_j), where K(x) = 1 / (1 + exp(x)) or its slope.  K(s - t) is smooth in s: its values
+    at Chebyshev nodes give it between them (the next pole is pi away from the real line, which sets their number).  So sums over all
+    higher, and all lower, scores are kept at the nodes; only scores within a run of neighbours meet each other.
+    """
+    order = np.argsort(-scores, kind="stable")
+    levels, grade = np.unique(grades[order], return_inverse=True)
+    gain, n, kinds = 2.0 ** levels - 1, len(scores), len(levels)
+    discount = 1 / np.log2(2 + np.arange(n))
+    ideal = (np.sort(gain[grade])[::-1] * discount).sum()
+    if ideal <= 0:
+        return np.zeros(n), np.zeros(n)
+    s, tie = np.unique(-scores[order], return_inverse=True)
+    s = -s  # different scores, falling
+    held = np.zeros((len(s), 2 * kinds))  # by score: rows of each grade, then their discounts
+    np.add.at(held, (tie, grade), 1.0)
+    np.add.at(held, (tie, kinds + grade), discount)
+
+    half, middle = max((s[0] - s[-1]) / 2, 1e-9), (s[0] + s[-1]) / 2
+    p = int(40 / np.arcsinh(np.pi / half)) + 8
+    angle = np.pi * (np.arange(p) + 0.5) / p
+    nodes = middle + half * np.cos(angle)
+    to_nodes = np.cos(np.outer(np.arange(p), angle)) * np.where(np.arange(p) > 0, 2 / p, 1 / p)[:, None]
+
+    def kernels(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        k = 1 / (1 + np.exp(np.clip(a[:, None] - b[None, :], -50, 50)))
+        return k, k * (1 - k)
+
+    runs = [slice(a, a + run) for a in range(0, len(s), run)]
+    parts = [[k @ held[r] for k in kernels(nodes, s[r])] for r in runs]
+    above, below = np.zeros((2, p, 2 * kinds)), np.sum(parts, 0)
+    sums = np.empty((2, 2, len(s), 2 * kinds))  # kernel, side (higher scores, lower scores)
+    for r, part in zip(runs, parts):
+        below -= part
+        at = np.cos(np.outer(np.arccos(np.clip((s[r] - middle) / half, -1, 1)), np.arange(p))) @ to_nodes
+        for z, k in enumerate(kernels(s[r], s[r])):
+            sums[z, 0, r] = at @ above[z] + np.tril(k, -1) @ held[r]
+            sums[z, 1, r] = at @ below[z] + np.triu(k, 1) @ held[r]
+        above += part
+
+    one = np.zeros((n, 2 * kinds))
+    one[np.arange(n), grade], one[np.arange(n), kinds + grade] = 1.0, discount
+    upto = np.cumsum(one, 0)
+    before = np.concatenate([np.zeros((1, 2 * kinds)), np.cumsum(held, 0)])  # rows of higher scores
+    own, own_all = upto - before[tie], held[tie]  # a row counts itself with a difference of 0
+    d, rest = discount[:, None], upto[-1] - upto
+    apart = lambda higher, lower: higher[:, kinds:] - d * higher[:, :kinds] + d * lower[:, :kinds] - lower[:, kinds:]
+    equal = apart(own, own_all - own)
+    wrong = apart(sums[0, 0][tie], sums[0, 1][tie]) + equal / 2
+    curve = apart(sums[1, 0][tie], sums[1, 1][tie]) + equal / 4
+    stake = np.abs(gain[grade][:, None] - gain[None, :]) / ideal
+    worse = grade[:, None] < np.arange(kinds)[None, :]
+    pull = (stake * np.where(worse, apart(upto, rest) - wrong, -wrong)).sum(1)
+    g, h = np.empty(n), np.empty(n)
+    g[order], h[order] = pull, (stake * curve).sum(1)
+    return g, h
+
+
 @dataclass
 class Ranker:
     """Boosted trees over raw feature values: trees x nodes."""
@@ -176,7 +240,7 @@ def lambda_mart(
 ) -> dict:
     """Rankers of all values of ``model``, grown side by side: one tree per model and round, one aggregate per level for all models.
 
-    A row of the working table is a whole decision group (a few hundred tickers): features as bin numbers, grades, running scores.
+    A row of the working table is a whole decision group: features as bin numbers, grades, running scores, some 40 bytes a ticker.
     Gradients are taken within it and weigh by the group's mean ``weight``; groups of one row are left out.  ``x``: array of finite doubles.
     """
     rows = df.select(F.col(model).alias("m"), F.col(group).alias("g"), F.col(ident).alias("i"), F.col(x).alias("x"), F.col(grade).cast("double").alias("y"), F.col(weight).cast("double").alias("w"))
@@ -196,6 +260,7 @@ def lambda_mart(
         return pd.DataFrame([made] if n else [], columns=["m", "bins", "y", "w", "s"])
 
     kind = df.schema[model].dataType.simpleString()
+    rows = rows.repartition(2 * df.sparkSession.sparkContext.defaultParallelism, "m", "g")  # few bytes, much work: else joined to few tasks
     state = written(rows.groupBy("m", "g").applyInPandas(pack, f"m {kind}, bins binary, y binary, w double, s binary"), "groups")
     models = sorted(cuts, key=str)
     size = 2 ** (depth + 1) - 1
@@ -228,15 +293,16 @@ def lambda_mart(
                         values = np.frombuffer(b, np.uint8).reshape(-1, d)
                         at = placed(values, tree[m][0], tree[m][1])[:, 0] - low
                         here = np.flatnonzero(at >= 0)
-                        gh = np.stack([np.frombuffer(g, np.int64), np.frombuffer(h, np.int64)], 1)[here]
-                        for f in range(d):
-                            np.add.at(sums[m], (at[here], f, values[here, f]), gh)
+                        for z, sent in enumerate((g, h)):
+                            of = np.frombuffer(sent, np.int64)[here].astype(float)  # whole numbers: their sums stay exact
+                            for f in range(d):
+                                sums[m][:, f, :, z] += np.bincount(at[here] * bins + values[here, f], of, n * bins).reshape(n, bins).astype(np.int64)
                 for m, s in sums.items():
                     node, f, b = np.nonzero(s.any(3))
                     yield pd.DataFrame({"m": m, "node": node, "f": f, "b": b, "g": s[node, f, b, 0], "h": s[node, f, b, 1]})
 
             got = {m: np.zeros((n, d, bins, 2), np.int64) for m in models}
-            for r in state.mapInPandas(histogram, f"m {kind}, node long, f long, b long, g long, h long").groupBy("m", "node", "f", "b").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect():
+            for r in state.select("m", "bins", "g", "h").mapInPandas(histogram, f"m {kind}, node long, f long, b long, g long, h long").groupBy("m", "node", "f", "b").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect():
                 got[r["m"]][r["node"], r["f"], r["b"]] = r["g"], r["h"]
             for m in models:
                 _grow(tree[m], got[m] / FIXED, low, n, cuts[m], step, ridge, least_curve)
