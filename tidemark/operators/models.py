@@ -18,7 +18,6 @@ from tidemark.operators import boosting
 from tidemark.operators.crosssection import top_k
 from tidemark.operators.evaluation import ndcg
 from tidemark.operators.trees import ForestModel, extra_trees, lambda_mart
-from tidemark.session import written
 
 
 def prepare(features: Sequence[str]) -> list:
@@ -57,7 +56,7 @@ def fit(df: DataFrame, features: Sequence[str], kind: str, target: str, weight:
     if kind == "trees":
         prepared = Pipeline(stages=prepare(features)).fit(df)
         rows = prepared.transform(df).select(vector_to_array("features").alias("_x"), F.col(target).alias("_y"), (F.col(weight) if weight else F.lit(1.0)).alias("_w"))
-        return ForestModel(prepared, extra_trees(written(rows, "forest"), "_x", "_y", "_w", **options))
+        return ForestModel(prepared, extra_trees(rows, "_x", "_y", "_w", **options))
     return Pipeline(stages=[*prepare(features), estimator(kind, target, weight, **options)]).fit(df)
 
 

@@ -23,15 +23,14 @@ PAIRS = 256  # rows of a group up to which its pairs are gone through one by one
 
 def placed(x: np.ndarray, feature: np.ndarray, threshold: np.ndarray) -> np.ndarray:
     """Node of each row (rows x features) in each tree: ``feature`` and ``threshold`` are trees x nodes, in heap order; -1 marks a leaf."""
-    trees = np.arange(len(feature))[None, :]
-    at = np.zeros((len(x), len(feature)), np.int64)
-    rows = np.arange(len(x))[:, None]
-    while True:
-        f = feature[trees, at]
-        if (f < 0).all():
-            return at
-        right = x[rows, np.maximum(f, 0)] > threshold[trees, at]
-        at = np.where(f >= 0, 2 * at + 1 + right, at)
+    columns, rows = x.ravel("F"), np.arange(len(x))
+    out = np.zeros((len(feature), len(x)), np.int64)
+    for k, (f, cut) in enumerate(zip(feature, threshold)):  # a tree at a time: its nodes and one column of places stay in the cache
+        inner, f, at = f >= 0, np.maximum(f, 0) * len(x), out[k]
+        while (going := inner.take(at)).any():
+            at = np.where(going, 2 * at + 1 + (columns.take(f.take(at) + rows) > cut.take(at)), at)
+        out[k] = at
+    return out.T
 
 
 @dataclass
@@ -56,6 +55,9 @@ def extra_trees(df: DataFrame, x: str, y: str, w: str, trees: int = 150, depth:
     ``x``: array of finite doubles.  Every level costs two passes: extremes of the open nodes, then class weights beside the drawn thresholds.
     """
     rows = df.select(F.col(x).alias("x"), F.col(y).cast("int").alias("y"), F.round(F.col(w) * FIXED).cast("long").alias("w")).where("w > 0")
+    # rows of equal features and target are one row of their weight; few bytes, much work: every task gets its share of them
+    rows = rows.groupBy("x", "y").agg(F.sum("w").alias("w"))
+    rows = written(rows.repartition(2 * df.sparkSession.sparkContext.defaultParallelism, "x"), "forest")
     first = rows.first()
     size, d = 2 ** (depth + 1) - 1, len(first["x"]) if first else 0
     k = max_features or max(1, int(d ** 0.5))
@@ -72,17 +74,27 @@ def extra_trees(df: DataFrame, x: str, y: str, w: str, trees: int = 150, depth:
             break
 
         def each(frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+            """A tree at a time: all rows, and which of them are at which open cells."""
             for frame in frames:
-                values = np.stack(frame["x"].to_numpy())
-                at = placed(values, feature, threshold) - low
-                row, tree = np.nonzero((at >= 0) & open_[np.arange(trees)[None, :], np.maximum(at, 0)])
-                yield values[row], tree * n + at[row, tree], frame["y"].to_numpy()[row], frame["w"].to_numpy()[row]
+                values, y_, w_ = np.asfortranarray(np.stack(frame["x"].to_numpy())), frame["y"].to_numpy(), frame["w"].to_numpy(float)
+                for tree in np.flatnonzero(open_.any(1)):
+                    at = placed(values, feature[tree:tree + 1], threshold[tree:tree + 1])[:, 0] - low
+                    row = np.flatnonzero((at >= 0) & open_[tree, np.maximum(at, 0)])
+                    if len(row):
+                        yield values, row, tree * n + at[row], y_, w_
 
         def extremes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             lo, hi = np.full((trees * n, d), np.inf), np.full((trees * n, d), -np.inf)
-            for values, cell, _, _ in each(frames):
-                np.minimum.at(lo, cell, values)
-                np.maximum.at(hi, cell, values)
+            for values, row, cell, _, _ in each(frames):
+                first = cell.min()
+                order = np.argsort((cell - first).astype(np.int16), kind="stable")  # cells of one tree; a radix sort
+                run, who = cell[order], row[order]
+                start = np.concatenate([[0], np.flatnonzero(np.diff(run)) + 1])
+                cells = run[start]
+                for f in range(d):
+                    some = values[:, f].take(who)
+                    lo[cells, f] = np.minimum(lo[cells, f], np.minimum.reduceat(some, start))
+                    hi[cells, f] = np.maximum(hi[cells, f], np.maximum.reduceat(some, start))
             cell, f = np.nonzero(lo < np.inf)
             yield pd.DataFrame({"cell": cell, "f": f, "lo": lo[cell, f], "hi": hi[cell, f]})
 
@@ -96,11 +108,17 @@ def extra_trees(df: DataFrame, x: str, y: str, w: str, trees: int = 150, depth:
             tried[cell, usable[np.argsort(u[d:][usable], kind="stable")][:k]] = True
             cut[cell] = np.where((at := lo[cell] + u[:d] * (hi[cell] - lo[cell])) < hi[cell], at, lo[cell])
 
+        picked = np.argsort(~tried, 1, kind="stable")[:, :k]  # the features tried in a cell, first ones first
+
         def beside(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             left = np.zeros((trees * n, d, 2), np.int64)
-            for values, cell, y_, w_ in each(frames):
-                row, f = np.nonzero((values <= cut[cell]) & tried[cell])
-                np.add.at(left, (cell[row], f, y_[row]), w_[row])
+            for values, row, cell, y_, w_ in each(frames):
+                first = cell[0] // n * n  # of the tree
+                for j in range(k):
+                    f = picked[cell, j]
+                    here = np.flatnonzero(tried[cell, f] & (values[row, f] <= cut[cell, f]))
+                    at = ((cell[here] - first) * d + f[here]) * 2 + y_[row[here]]
+                    left[first:first + n] += np.bincount(at, w_[row[here]], n * d * 2).astype(np.int64).reshape(n, d, 2)  # whole numbers: exact
             cell, f = np.nonzero(left.sum(2))
             yield pd.DataFrame({"cell": cell, "f": f, "no": left[cell, f, 0], "yes": left[cell, f, 1]})
 
