@@ -61,16 +61,20 @@ def z_reaches(z: str, value: str, total: str, squares: str, rows: int, edge: flo
     return F.when(F.abs(F.col(z) - edge) < 1e-9, exact).otherwise(F.col(z) >= edge)
 
 
-def daily_windows(bars: DataFrame, ts: str = "date", keys: Sequence[str] = ("ticker",)) -> DataFrame:
+def daily_windows(bars: DataFrame, ts: str = "date", keys: Sequence[str] = ("ticker",), horizon: int = 0) -> DataFrame:
     """Row-frame features of a bar series (returns, volatility, means, extremes, ATR, RSI, volume pressure).
 
     A long frame is put together from short ones some rows apart, so that its cost does not grow with its rows; nothing is
-    subtracted from a running sum, so no digits are lost.  Minimum periods come from running counts.
+    subtracted from a running sum, so no digits are lost.  Minimum periods come from running counts.  With ``horizon`` the forward
+    return of that many bars (``future_return``) comes from the same blocks.
     """
     w = frame(keys)
     rows = lambda a, b=0: frame(keys, a, b)
     kept = {*bars.columns, "_rn", "_blk", "_home", "_ag", "_al", "_gain", "_loss"}
-    d = blocks(bars, ts, back=280, keys=keys).withColumns({
+    d = blocks(bars, ts, back=280, ahead=horizon, keys=keys)
+    if horizon:
+        d = d.withColumns({"_exit": F.lead("close", horizon).over(w), "_entry": F.lead("open").over(w)}).withColumn("future_return", ratio("_exit", "_entry") - 1)
+    d = d.withColumns({
         "prior_close": F.lag("close").over(w), **{f"_lag_{k}": F.lag("close", k).over(w) for k in (5, 10, 20, 60)}})
     delta = F.col("close") - F.col("prior_close")
     d = d.withColumns({
